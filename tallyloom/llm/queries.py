@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, fingerprint, tokenstore, toxicity
+from tallyloom.llm import bpe, fingerprint, licenses, mixing, quality, tokenstore, toxicity
 from tallyloom.llm.common import documents, labels
 
 
@@ -13,17 +13,30 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.store_and_index(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("ids", "decoded")
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(documents(spark, sf_dir))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_token_store, op6_bpe_round_trip, op10_fingerprints)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_token_store, op5_quality_rules, op6_bpe_round_trip, op9_source_mix, op10_fingerprints)}
+ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle()}
