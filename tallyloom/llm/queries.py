@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, fingerprint, licenses, mixing, quality, tokenstore, toxicity
+from tallyloom.llm import bpe, fingerprint, licenses, mixing, ngram_join, quality, tokenstore, toxicity
 from tallyloom.llm.common import documents, labels
 
 
@@ -21,6 +21,10 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.store_and_index(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -38,5 +42,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_token_store, op5_quality_rules, op6_bpe_round_trip, op9_source_mix, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_token_store, op4_ngram_join, op5_quality_rules, op6_bpe_round_trip, op9_source_mix, op10_fingerprints)}
 ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle()}
