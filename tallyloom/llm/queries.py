@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, fingerprint, licenses, line_dedup, mixing, ngram_join, quality, tokenstore, toxicity
+from tallyloom.llm import bpe, fingerprint, licenses, line_dedup, maxent_lm, mixing, ngram_join, quality, tokenstore, toxicity
 from tallyloom.llm.common import documents, labels
 
 
@@ -34,6 +34,10 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("ids", "decoded")
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(documents(spark, sf_dir))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_marks(documents(spark, sf_dir))
 
@@ -46,5 +50,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_token_store, op4_ngram_join, op5_quality_rules, op6_bpe_round_trip, op8_line_dedup, op9_source_mix, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_token_store, op4_ngram_join, op5_quality_rules, op6_bpe_round_trip, op7_lm_scores, op8_line_dedup, op9_source_mix, op10_fingerprints)}
 ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle()}
