@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyloom.sources.catalog import Tables, oracle
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    return QUERIES["entry"](spark, sf_dir)
+def query(sql: str | None = None, *views: str):
+    """Register a function of Tables under its name; sql reads the named views."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, path: f(Tables(spark, path))
+        if sql is not None:
+            ORACLES[f.__name__] = oracle(sql, *views)
+        return f
+
+    return add
+
+
+def flagship(spark: SparkSession, path: str) -> DataFrame:
+    return QUERIES["flagship_top_signals"](spark, path)
+
+
+from tallyloom.plans import cross_section, evaluation, history, portfolio, series, streams, text_and_sets  # noqa: E402, F401

@@ -28,46 +28,46 @@ VIEWS["xsection"] = f"""
 SELECT as_of, concat('T', lpad(CAST(pk AS STRING), 6, '0'), {_case('rk', [v for v, _ in VENUES])}) AS ticker, pname AS name,
   {_case('pk % 13', SECTORS)} AS sector, {_case('pk % 9', INDUSTRIES)} AS industry, {_case('rk', [c for _, c in VENUES])} AS currency,
   CAST(price AS DOUBLE) AS current_price,
-  CASE WHEN pk % 29 = 0 THEN NULL ELSE cap * 1000.0 END AS market_cap,
-  CASE WHEN pk % 31 = 0 THEN -1.0 ELSE cap * 1100.0 + (pk % 7) * 10000.0 END AS enterprise_value,
-  CASE WHEN pk % 41 = 0 THEN NULL ELSE vol * 10.0 END AS avg_volume,
-  CASE WHEN pk % 17 = 0 THEN NULL WHEN pk % 97 = 0 THEN 950.0 ELSE 4 + (pk * 37 % 401) / 10.0 END AS pe_trailing,
-  CASE WHEN pk % 19 = 0 THEN NULL ELSE 1 + (pk * 53 % 389) / 10.0 END AS pe_forward,
-  CASE WHEN pk % 23 = 0 THEN NULL ELSE (pk * 29 % 157) / 10.0 - 0.6 END AS price_to_book,
-  CASE WHEN pk % 37 = 0 THEN NULL ELSE (pk * 43 % 211) / 20.0 END AS price_to_sales,
-  CASE WHEN pk % 27 = 0 THEN NULL ELSE (pk * 31 % 263) / 10.0 - 1 END AS ev_to_ebitda,
+  CASE WHEN pk % 29 = 0 THEN NULL ELSE cap * 1000.0e0 END AS market_cap,
+  CASE WHEN pk % 31 = 0 THEN -1.0e0 ELSE cap * 1100.0e0 + (pk % 7) * 10000.0e0 END AS enterprise_value,
+  CASE WHEN pk % 41 = 0 THEN NULL ELSE vol * 10.0e0 END AS avg_volume,
+  CASE WHEN pk % 17 = 0 THEN NULL WHEN pk % 97 = 0 THEN 950.0e0 ELSE 4 + (pk * 37 % 401) / 10.0e0 END AS pe_trailing,
+  CASE WHEN pk % 19 = 0 THEN NULL ELSE 1 + (pk * 53 % 389) / 10.0e0 END AS pe_forward,
+  CASE WHEN pk % 23 = 0 THEN NULL ELSE (pk * 29 % 157) / 10.0e0 - 0.6e0 END AS price_to_book,
+  CASE WHEN pk % 37 = 0 THEN NULL ELSE (pk * 43 % 211) / 20.0e0 END AS price_to_sales,
+  CASE WHEN pk % 27 = 0 THEN NULL ELSE (pk * 31 % 263) / 10.0e0 - 1 END AS ev_to_ebitda,
   CASE WHEN pk % 21 = 0 THEN NULL ELSE cap * ((pk * 17 % 113) - 25) END AS free_cash_flow,
-  cap * (pk % 11) * 100.0 AS total_debt, cap * (pk % 5) * 100.0 AS total_cash, cap * 400.0 AS total_revenue,
-  CASE WHEN pk % 33 = 0 THEN NULL ELSE (pk * 61 % 523) - 5.0 END AS debt_to_equity,
-  CASE WHEN pk % 34 = 0 THEN NULL ELSE (pk * 7 % 71) / 10.0 END AS current_ratio,
-  CASE WHEN pk % 18 = 0 THEN NULL ELSE (pk * 13 % 101) / 200.0 - 0.1 END AS roe,
-  CASE WHEN pk % 22 = 0 THEN NULL ELSE (pk * 11 % 89) / 400.0 - 0.05 END AS roa,
-  1 - disc - 0.9 AS profit_margin, (pk * 19 % 97) / 240.0 - 0.05 AS operating_margin,
-  CASE WHEN pk % 26 = 0 THEN -0.1 ELSE (pk * 23 % 103) / 200.0 + 0.2 END AS gross_margin,
-  CASE WHEN pk % 39 = 0 THEN NULL WHEN pk % 101 = 0 THEN 700.0 ELSE (pk * 41 % 140) / 200.0 - 0.2 END AS revenue_growth,
-  CASE WHEN pk % 42 = 0 THEN NULL ELSE (pk * 47 % 180) / 200.0 - 0.3 END AS earnings_growth,
-  (pk * 59 % 160) / 200.0 - 0.3 AS earnings_quarterly_growth,
-  CASE WHEN pk % 6 = 0 THEN NULL ELSE tax END AS dividend_yield, (pk * 3 % 31) / 20.0 AS payout_ratio,
+  cap * (pk % 11) * 100.0e0 AS total_debt, cap * (pk % 5) * 100.0e0 AS total_cash, cap * 400.0e0 AS total_revenue,
+  CASE WHEN pk % 33 = 0 THEN NULL ELSE (pk * 61 % 523) - 5.0e0 END AS debt_to_equity,
+  CASE WHEN pk % 34 = 0 THEN NULL ELSE (pk * 7 % 71) / 10.0e0 END AS current_ratio,
+  CASE WHEN pk % 18 = 0 THEN NULL ELSE (pk * 13 % 101) / 200.0e0 - 0.1e0 END AS roe,
+  CASE WHEN pk % 22 = 0 THEN NULL ELSE (pk * 11 % 89) / 400.0e0 - 0.05e0 END AS roa,
+  1 - disc - 0.9e0 AS profit_margin, (pk * 19 % 97) / 240.0e0 - 0.05e0 AS operating_margin,
+  CASE WHEN pk % 26 = 0 THEN -0.1e0 ELSE (pk * 23 % 103) / 200.0e0 + 0.2e0 END AS gross_margin,
+  CASE WHEN pk % 39 = 0 THEN NULL WHEN pk % 101 = 0 THEN 700.0e0 ELSE (pk * 41 % 140) / 200.0e0 - 0.2e0 END AS revenue_growth,
+  CASE WHEN pk % 42 = 0 THEN NULL ELSE (pk * 47 % 180) / 200.0e0 - 0.3e0 END AS earnings_growth,
+  (pk * 59 % 160) / 200.0e0 - 0.3e0 AS earnings_quarterly_growth,
+  CASE WHEN pk % 6 = 0 THEN NULL ELSE tax END AS dividend_yield, (pk * 3 % 31) / 20.0e0 AS payout_ratio,
   CASE WHEN pk % 16 = 0 THEN NULL WHEN cap_prior > 0 THEN cap_year / cap_prior - 1 END AS return_12m,
-  (pk * 67 % 140) / 200.0 - 0.2 AS return_6m, (pk * 71 % 90) / 200.0 - 0.15 AS return_3m,
-  volat AS volatility, CASE WHEN pk % 14 = 0 THEN NULL ELSE 0.5 + (pk * 5 % 31) / 20.0 END AS beta,
-  -(pk * 73 % 61) / 200.0 AS pct_from_52w_high, (pk * 79 % 81) / 200.0 - 0.15 AS price_vs_ma200, (pk * 83 % 51) / 200.0 - 0.1 AS price_vs_ma50,
-  CASE WHEN pk % 25 = 0 THEN NULL ELSE 20.0 + pk * 7 % 61 END AS rsi_14,
-  CASE WHEN pk % 24 = 0 THEN NULL ELSE (pk * 89 % 201) / 100.0 - 1 END AS sentiment_raw,
-  CASE WHEN pk % 28 = 0 THEN NULL ELSE (pk * 91 % 260) / 1000.0 END AS short_pct_float,
-  CASE WHEN pk % 9 = 0 THEN NULL ELSE 0.1 + (pk * 97 % 81) / 100.0 END AS options_flow_signal,
-  CASE WHEN pk % 5 = 0 THEN NULL ELSE (pk * 101 % 100) / 100.0 END AS earnings_surprise,
-  CASE WHEN pk % 7 = 0 THEN NULL ELSE (pk * 103 % 100) / 200.0 - 0.2 END AS earnings_revision_rate,
+  (pk * 67 % 140) / 200.0e0 - 0.2e0 AS return_6m, (pk * 71 % 90) / 200.0e0 - 0.15e0 AS return_3m,
+  volat AS volatility, CASE WHEN pk % 14 = 0 THEN NULL ELSE 0.5e0 + (pk * 5 % 31) / 20.0e0 END AS beta,
+  -(pk * 73 % 61) / 200.0e0 AS pct_from_52w_high, (pk * 79 % 81) / 200.0e0 - 0.15e0 AS price_vs_ma200, (pk * 83 % 51) / 200.0e0 - 0.1e0 AS price_vs_ma50,
+  CASE WHEN pk % 25 = 0 THEN NULL ELSE 20.0e0 + pk * 7 % 61 END AS rsi_14,
+  CASE WHEN pk % 24 = 0 THEN NULL ELSE (pk * 89 % 201) / 100.0e0 - 1 END AS sentiment_raw,
+  CASE WHEN pk % 28 = 0 THEN NULL ELSE (pk * 91 % 260) / 1000.0e0 END AS short_pct_float,
+  CASE WHEN pk % 9 = 0 THEN NULL ELSE 0.1e0 + (pk * 97 % 81) / 100.0e0 END AS options_flow_signal,
+  CASE WHEN pk % 5 = 0 THEN NULL ELSE (pk * 101 % 100) / 100.0e0 END AS earnings_surprise,
+  CASE WHEN pk % 7 = 0 THEN NULL ELSE (pk * 103 % 100) / 200.0e0 - 0.2e0 END AS earnings_revision_rate,
   pk % 15 = 0 AS insider_executive_buy, pk % 35 = 0 AS insider_cluster,
   CASE WHEN pk % 30 = 0 THEN NULL ELSE CAST(pk * 7 % 240 AS INT) END AS insider_days,
-  1 + (pk * 107 % 41) / 10.0 AS recommendation_mean, CAST(pk % 10 AS INT) AS piotroski_f, pk AS pk
+  1 + (pk * 107 % 41) / 10.0e0 AS recommendation_mean, CAST(pk % 10 AS INT) AS piotroski_f, pk AS pk
 FROM (
-  SELECT l_partkey AS pk, any_value(p_name) AS pname, any_value(p_retailprice) AS price, min(n_regionkey) AS rk, max(last_day) AS as_of,
+  SELECT l_partkey AS pk, any_value(p_name) AS pname, any_value(p_retailprice) AS price, CAST(l_partkey % 5 AS INT) AS rk, max(last_day) AS as_of,
     sum(l_extendedprice) AS cap, sum(l_quantity) AS vol, avg(l_discount) AS disc, avg(l_tax) AS tax,
     stddev_samp(l_extendedprice) / avg(l_extendedprice) AS volat,
     sum(CASE WHEN CAST(l_shipdate AS DATE) > last_day - INTERVAL '365' DAY THEN l_extendedprice ELSE 0 END) AS cap_year,
     sum(CASE WHEN CAST(l_shipdate AS DATE) <= last_day - INTERVAL '365' DAY AND CAST(l_shipdate AS DATE) > last_day - INTERVAL '730' DAY THEN l_extendedprice ELSE 0 END) AS cap_prior
-  FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey
+  FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey
     CROSS JOIN (SELECT max(CAST(l_shipdate AS DATE)) AS last_day FROM {{lineitem}}) m
   GROUP BY l_partkey)"""
 
@@ -78,7 +78,7 @@ FROM {orders} GROUP BY o_orderpriority, CAST(o_orderdate AS DATE)"""
 
 VIEWS["panel"] = """
 SELECT month, ticker, pred, actual, CAST(ticker % 11 AS INT) AS sector_id FROM (
-  SELECT month, ticker, pred, total, (ticker * 7919 % 1009) / 1009.0 + total / 1000000.0 AS actual
+  SELECT month, ticker, pred, total, (ticker * 7919 % 1009) / 1009e0 + total / 1000000e0 AS actual
   FROM (SELECT date_trunc('month', CAST(o_orderdate AS DATE)) AS month_ts, CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS month,
       o_custkey AS ticker, avg(o_totalprice) AS pred, sum(o_totalprice) AS total FROM {orders}
     GROUP BY date_trunc('month', CAST(o_orderdate AS DATE)), o_custkey))"""
@@ -98,7 +98,7 @@ FROM {lineitem}"""
 VIEWS["chain"] = """
 SELECT CAST(p_brand AS STRING) AS ticker, CASE WHEN p_partkey % 2 = 0 THEN 'call' ELSE 'put' END AS kind, CAST(p_size * 10 AS DOUBLE) AS strike,
   CAST(30 * (1 + p_partkey % 6) AS INT) AS days, p_partkey AS contract, CAST(sum(l_quantity) AS BIGINT) AS open_interest, CAST(sum(l_linenumber) * 10 AS BIGINT) AS volume,
-  avg(l_tax) * 100 AS last_price, 0.1 + avg(l_discount) AS iv, 250.0 AS spot
+  avg(l_tax) * 100 AS last_price, 0.1e0 + avg(l_discount) AS iv, 250e0 AS spot
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_brand, p_partkey, p_size"""
 
 
