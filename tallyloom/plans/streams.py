@@ -1 +1,74 @@
-"""Queries."""
+"""Queries that run as streams over all events, and their batch counterparts."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tallyloom.plans.cross_section import r6
+from tallyloom.plans.registry import query
+from tallyloom.sources.catalog import Tables
+from tallyloom.streaming import alerts as A
+
+
+def stream(t: Tables):
+    return A.event_stream(t.spark, f"{t.path}/events.parquet")
+
+
+def name() -> str:
+    return "stream_" + uuid.uuid4().hex
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stm_12_hourly_counts_stream(t: Tables):
+    """Tumbling windows, run as a stream."""
+    out = A.finished(A.hourly_counts(stream(t)), name(), "complete")
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT event_type, user_id, CAST(ts AS DATE) AS day FROM events GROUP BY ALL")
+def stm_01_dedup_stream(t: Tables):
+    return A.finished(A.deduplicated(stream(t)), name()).select("event_type", "user_id", "day")
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stm_10_daily_digest(t: Tables):
+    w = F.window("ts", "1 day")
+    return t.events.groupBy(w, "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").cast("date").alias("day"), "event_type", "n")
+
+
+SESSIONS = """WITH f AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 30 MINUTE > ts THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts) AS session FROM f)
+SELECT event_type, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY event_type, session"""
+
+
+@query(SESSIONS)
+def stm_window_sessions(t: Tables):
+    out = t.events.groupBy(F.session_window("ts", "30 minutes"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return out.select("event_type", F.col("session_window.start").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT w AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY 1, 2")
+def stm_window_sliding(t: Tables):
+    return t.events.groupBy(F.window("ts", "2 hours", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+@query("SELECT a.event_id, count(*) AS in_hour, count(*) <= 5 AS within FROM events a JOIN events b ON a.event_type = b.event_type AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 1 HOUR GROUP BY a.event_id")
+def stm_02_sliding_hour(t: Tables):
+    """Events of the type in the hour up to each event: one range frame."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("event_type").orderBy("at").rangeBetween(-3_600_000_000, 0)
+    out = t.events.withColumn("at", seconds).withColumn("in_hour", F.count("*").over(w))
+    return out.select("event_id", "in_hour", (F.col("in_hour") <= 5).alias("within"))
+
+
+@query(None)
+def stm_02_rate_limit_stream(t: Tables):
+    return A.finished(A.rate_limited(stream(t), 2), name())
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE value > 100 GROUP BY event_type")
+def stm_06_threshold_alerts(t: Tables):
+    return t.events.where("value > 100").groupBy("event_type").agg(F.count("*").alias("n"), r6(F.avg("value"), "mean"))

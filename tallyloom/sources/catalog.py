@@ -136,4 +136,6 @@ def oracle(body: str, *views: str) -> str:
     if not ctes:
         return body.strip()
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     return f"WITH {ctes}{', ' + body[5:] if body.upper().startswith('WITH ') else ' ' + body}"
