@@ -145,8 +145,8 @@ def planned(base: DataFrame, slim: DataFrame, shards: int, seed: int) -> DataFra
 def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix itself: the columns of docs, a row for each copy, in shards, each in its seeded order."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    out = draws(docs, shards, seed).select(*columns, F.explode("passes").alias("at")).repartitionByRange("at.shard", "at.position").sortWithinPartitions("at.shard", "at.position")
-    return out
+    drawn = draws(docs, shards, seed).select(F.struct(*columns).alias("row"), F.explode("passes").alias("at"))
+    return drawn.repartitionByRange("at.shard", "at.position").sortWithinPartitions("at.shard", "at.position").select("row.*")
 
 
 def taken(docs: DataFrame) -> DataFrame:
