@@ -71,6 +71,15 @@ FROM (
     CROSS JOIN (SELECT max(CAST(l_shipdate AS DATE)) AS last_day FROM {{lineitem}}) m
   GROUP BY l_partkey)"""
 
+VIEWS["smallcap"] = """
+SELECT *, CASE WHEN pk % 11 = 0 THEN NULL ELSE (pk * 109 % 40) / 100e0 END AS insider_pct, CASE WHEN pk % 8 = 0 THEN NULL ELSE (pk * 113 % 2001 - 900) * 1000e0 END AS insider_net_buy_6m,
+  CAST(pk % 5 AS INT) AS insider_buy_count, (pk * 127 % 90) - 4e0 AS book_value, CASE WHEN pk % 12 = 0 THEN NULL ELSE market_cap * ((pk * 131 % 100) - 30) / 1000e0 END AS operating_cashflow,
+  (pk * 137 % 40) / 100e0 - 0.1e0 AS shares_change_pct, total_revenue * 0.9e0 AS revenue_prev, total_revenue * (0.5e0 + (pk % 5) / 20e0) AS cogs, total_revenue * (0.52e0 + (pk % 4) / 20e0) * 0.9e0 AS cogs_prev,
+  total_revenue * (0.1e0 + (pk % 7) / 50e0) AS receivables, total_revenue * 0.12e0 AS receivables_prev, market_cap * 0.8e0 AS assets, market_cap * 0.7e0 AS assets_prev,
+  CASE WHEN pk % 10 = 0 THEN NULL ELSE market_cap * 0.3e0 END AS ppe, market_cap * 0.28e0 AS ppe_prev, market_cap * 0.02e0 AS depreciation, market_cap * 0.025e0 AS depreciation_prev,
+  total_revenue * 0.2e0 AS sga, total_revenue * 0.19e0 AS sga_prev, total_debt * 1.05e0 AS debt_now, total_debt AS debt_prev, total_cash AS liabilities, total_cash * 0.9e0 AS liabilities_prev, market_cap * roe * 0.1e0 AS net_income
+FROM {xsection}"""
+
 VIEWS["bars"] = """
 SELECT o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS ts, min_by(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
   min(o_totalprice) AS low, avg(o_totalprice) AS close, count(*) AS volume
@@ -107,7 +116,7 @@ def text(name: str, source) -> str:
     body = VIEWS[name]
     for other in VIEWS:
         if "{" + other + "}" in body:
-            body = body.replace("{" + other + "}", f"({text(other, source)})")
+            body = body.replace("{" + other + "}", f"({text(other, source)}) {other}_rows")
     for table in TABLES:
         body = body.replace("{" + table + "}", source(table))
     return body
