@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.stats import average_rank, pct_rank, quantile_bucket, ratio
 
-MONTH = Window.partitionBy("month")
+
+
+def month():
+    return Window.partitionBy("month")
 
 
 def rank_ic(panel: DataFrame, least: int = 5) -> DataFrame:
@@ -30,7 +33,7 @@ def ic_decay(ic: DataFrame) -> DataFrame:
 
 
 def placed(panel: DataFrame) -> DataFrame:
-    return panel.withColumn("rn", F.row_number().over(MONTH.orderBy("pred", "ticker"))).withColumn("n", F.count("*").over(MONTH)).where("n >= 5")
+    return panel.withColumn("rn", F.row_number().over(month().orderBy("pred", "ticker"))).withColumn("n", F.count("*").over(month())).where("n >= 5")
 
 
 def bucket_returns(panel: DataFrame, q: int) -> DataFrame:

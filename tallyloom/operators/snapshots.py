@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.stats import known, ratio
 
-BY_TICKER = Window.partitionBy("ticker").orderBy("snapshot_date")
+
+
+def by_ticker():
+    return Window.partitionBy("ticker").orderBy("snapshot_date")
 
 
 def newest_recent(snapshots: DataFrame, as_of: str, days: int) -> DataFrame:
@@ -58,7 +61,7 @@ def score_history(snapshots: DataFrame, n: int) -> DataFrame:
 
 
 def signal_outcomes(snapshots: DataFrame) -> DataFrame:
-    f = ratio(F.lead("close").over(BY_TICKER), "close") - 1
+    f = ratio(F.lead("close").over(by_ticker()), "close") - 1
     return snapshots.withColumn("f", f).groupBy("entry_signal").agg(F.count("f").alias("n"), F.avg("f").alias("mean"), F.avg((F.col("f") > 0).cast("double")).alias("hit_rate"))
 
 
@@ -71,7 +74,7 @@ def universe_audit(universe: DataFrame, snapshots: DataFrame, rare: float, regul
 
 
 def fresh_signals(snapshots: DataFrame, signal: str) -> DataFrame:
-    was = F.lag("entry_signal").over(BY_TICKER)
+    was = F.lag("entry_signal").over(by_ticker())
     return snapshots.withColumn("was", was).where((F.col("entry_signal") == signal) & ~F.col("was").eqNullSafe(F.lit(signal)))
 
 
@@ -88,5 +91,5 @@ def strikes(events: DataFrame, limit: int = 3) -> DataFrame:
 def top_n_backtest(snapshots: DataFrame, n: int) -> DataFrame:
     """Mean return of each date's best n from their price to the next one known."""
     best = Window.partitionBy("snapshot_date").orderBy(F.col("score_total").desc(), "ticker")
-    held = snapshots.withColumn("later", F.lead("close").over(BY_TICKER)).withColumn("k", F.row_number().over(best)).where(F.col("k") <= n)
+    held = snapshots.withColumn("later", F.lead("close").over(by_ticker())).withColumn("k", F.row_number().over(best)).where(F.col("k") <= n)
     return held.groupBy("snapshot_date").agg(F.count("later").alias("n"), F.avg(ratio("later", "close") - 1).alias("mean_return"))
