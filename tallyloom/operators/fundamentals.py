@@ -174,3 +174,49 @@ def m_score(df: DataFrame, least: int = 3) -> DataFrame:
     total = reduce(lambda a, b: a + b, [F.coalesce(c(f"i_{k}") * w, F.lit(0.0)) for k, w in BENEISH.items()])
     out = out.withColumn("m_score", F.when(n >= least, total + BENEISH_BASE))
     return out.withColumn("m_band", F.when(c("m_score") > -1.78, "HIGH").when(c("m_score") > -2.22, "GREY").when(c("m_score").isNotNull(), "LOW").otherwise("UNKNOWN"))
+
+
+# Weights of the early-warning score and its gates.
+EARLY_WEIGHTS = {"fcf": 0.25, "size": 0.15, "ps": 0.15, "leverage": 0.20, "accel": 0.15, "accruals": 0.10}
+EARLY_FLAG, EARLY_CANDIDATE, EARLY_MIN_CAP = 70.0, 59.5, 10_000_000.0
+
+
+def early_warning(df: DataFrame) -> DataFrame:
+    """Six sub-scores (missing values take the median), their weighted total, coverage, flag and candidate.
+
+    df: market_cap, free_cash_flow, price_to_sales, revenue_ttm, revenue_prev, revenue_2y, op_ttm, op_prev, net_income,
+    operating_cashflow, assets, assets_prev, sector, piotroski_f, roa.
+    """
+    c, w, bounds = F.col, Window.partitionBy(*BY), (0.05, 0.95)
+    cap = F.when(c("market_cap") != 0, c("market_cap"))
+    growth = ratio("revenue_ttm", "revenue_prev") - 1
+    op_growth = ratio("op_ttm", "op_prev") - 1
+    levered = (growth > 0) & (c("revenue_prev") > 0) & (c("op_prev") > 0) & (c("op_ttm") > 0)
+    insurer = known(c("sector").isin("Financial Services", "Insurance"))
+    twice = (c("revenue_prev") > 0) & (c("revenue_2y") > 0)
+    mean_assets = (c("assets") + c("assets_prev")) / 2
+    raw = {
+        "e_fcf": (ratio(F.when(c("free_cash_flow") < 0, 0.0).otherwise(c("free_cash_flow")), cap), True),
+        "e_size": (cap, False),
+        "e_ps": (F.when(~insurer, positive("price_to_sales")), False),
+        "e_leverage": (F.when(levered, clip(ratio(op_growth, growth), 0.0, 10.0)), True),
+        "e_accel": (F.when(twice, growth - (F.sqrt(ratio("revenue_ttm", "revenue_2y")) - 1)), True),
+        "e_accruals": (F.when(mean_assets > 0, ratio(c("net_income") - c("operating_cashflow"), mean_assets)), False),
+    }
+    base = df.withColumns({f"{n}_raw": e for n, (e, _) in raw.items()})
+    base = base.withColumns({f"{n}_raw": F.coalesce(f"{n}_raw", F.median(f"{n}_raw").over(w)) for n in raw})
+    out = base.join(rank_metrics(base, KEYS, BY, {n: (c(f"{n}_raw"), up, bounds) for n, (_, up) in raw.items()}), KEYS)
+    out = out.withColumn("e_size", F.when(known(cap >= EARLY_MIN_CAP), c("e_size")).otherwise(50.0))
+    total = reduce(lambda a, b: a + b, [c(f"e_{n}") * x for n, x in EARLY_WEIGHTS.items()])
+    there = [
+        c("free_cash_flow").isNotNull() & c("market_cap").isNotNull(),
+        c("market_cap") > EARLY_MIN_CAP,
+        positive("price_to_sales").isNotNull() & ~insurer,
+        (c("revenue_prev") > 0) & (c("op_prev") > 0) & (c("op_ttm") > 0),
+        twice,
+        c("net_income").isNotNull() & c("operating_cashflow").isNotNull() & (mean_assets > 0),
+    ]
+    coverage = reduce(lambda a, b: a + b, [known(t).cast("int") for t in there])
+    out = out.withColumn("early_score", clip(total, 0.0, 100.0)).withColumn("early_coverage", coverage)
+    gate = known((c("piotroski_f") >= 5) & (c("roa") > 0)) & (c("early_coverage") >= 3) & c("free_cash_flow").isNotNull() & c("market_cap").isNotNull()
+    return out.withColumn("early_flag", known(c("early_score") >= EARLY_FLAG) & gate).withColumn("early_candidate", known(c("early_score") >= EARLY_CANDIDATE) & gate)

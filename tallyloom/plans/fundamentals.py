@@ -138,3 +138,33 @@ def scr_30_boost(t: Tables):
 
     boost = F.when(F.col("piotroski_f") >= 7, 8.0).when(F.col("piotroski_f") <= 3, -8.0).otherwise(0.0)
     return t.xsection.where("roe is not null").select("ticker", clip(F.col("roe") * 200 + boost, 0.0, 100.0).alias("boosted"))
+
+
+def early_view(t: Tables):
+    c = F.col
+    x = t.smallcap
+    return x.select("as_of", "ticker", "sector", "market_cap", "free_cash_flow", "price_to_sales", c("total_revenue").alias("revenue_ttm"), (c("total_revenue") * (0.8 + c("pk") % 5 / 10.0)).alias("revenue_prev"), (c("total_revenue") * 0.7).alias("revenue_2y"), (c("total_revenue") * c("operating_margin")).alias("op_ttm"), (c("total_revenue") * 0.1).alias("op_prev"), "net_income", "operating_cashflow", "assets", "assets_prev", "piotroski_f", "roa")
+
+
+GROW = "(revenue_ttm / nullif(revenue_prev, 0) - 1)"
+MEAN = "((assets + assets_prev) / 2)"
+INSURER = "coalesce(sector IN ('Financial Services', 'Insurance'), false)"
+EARLY_RAW = {
+    "e_fcf": ("CASE WHEN free_cash_flow < 0 THEN 0.0 ELSE free_cash_flow END / nullif(market_cap, 0)", True),
+    "e_size": ("nullif(market_cap, 0)", False),
+    "e_ps": (f"CASE WHEN price_to_sales > 0 AND NOT {INSURER} THEN price_to_sales END", False),
+    "e_leverage": (f"CASE WHEN {GROW} > 0 AND revenue_prev > 0 AND op_prev > 0 AND op_ttm > 0 THEN least(greatest((op_ttm / op_prev - 1) / {GROW}, 0.0), 10.0) END", True),
+    "e_accel": (f"CASE WHEN revenue_prev > 0 AND revenue_2y > 0 THEN {GROW} - (sqrt(revenue_ttm / revenue_2y) - 1) END", True),
+    "e_accruals": (f"CASE WHEN {MEAN} > 0 THEN (net_income - operating_cashflow) / {MEAN} END", False),
+}
+COVER = " + ".join(f"(CASE WHEN {x} THEN 1 ELSE 0 END)" for x in ("free_cash_flow IS NOT NULL AND market_cap IS NOT NULL", "market_cap > 10000000", f"price_to_sales > 0 AND NOT {INSURER}", "revenue_prev > 0 AND op_prev > 0 AND op_ttm > 0", "revenue_prev > 0 AND revenue_2y > 0", f"net_income IS NOT NULL AND operating_cashflow IS NOT NULL AND {MEAN} > 0"))
+EARLY = f"""WITH v AS (SELECT *, total_revenue AS revenue_ttm, total_revenue * (0.8 + (pk % 5) / 10.0) AS rp, total_revenue * 0.7 AS revenue_2y, total_revenue * operating_margin AS op_ttm, total_revenue * 0.1 AS op_prev FROM smallcap),
+u AS (SELECT * EXCLUDE (revenue_prev, rp), rp AS revenue_prev FROM v), a0 AS (SELECT *, {', '.join(f'{e} AS {n}' for n, (e, _) in EARLY_RAW.items())} FROM u),
+a1 AS (SELECT * REPLACE ({', '.join(f'coalesce({n}, median({n}) OVER (PARTITION BY as_of)) AS {n}' for n in EARLY_RAW)}) FROM a0), {winsor_rank('a1', EARLY_RAW, '9')},
+z AS (SELECT *, greatest(0.0, least(100.0, e_fcf * 0.25 + CASE WHEN market_cap >= 10000000 THEN e_size ELSE 50.0 END * 0.15 + e_ps * 0.15 + e_leverage * 0.20 + e_accel * 0.15 + e_accruals * 0.10)) AS s, {COVER} AS cover FROM k9)
+SELECT ticker, round(s, 6) AS early_score, cover::BIGINT AS early_coverage, coalesce(s >= 59.5 AND piotroski_f >= 5 AND roa > 0 AND cover >= 3 AND free_cash_flow IS NOT NULL AND market_cap IS NOT NULL, false) AS early_candidate FROM z"""
+
+
+@query(EARLY, "smallcap")
+def scr_27_28_early_warning(t: Tables):
+    return A.early_warning(early_view(t)).select("ticker", r6("early_score"), F.col("early_coverage").cast("long").alias("early_coverage"), "early_candidate")
