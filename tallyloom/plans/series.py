@@ -189,10 +189,14 @@ def str_12_ma_cross(t: Tables):
     return G.ma_cross(t.bars).select("ticker", "ts", F.col("signal").cast("long").alias("signal"))
 
 
-@query(None)
+DONCHIAN = f"""WITH e AS (SELECT ticker, ts, CASE WHEN row_number() OVER ({W}) <= 20 THEN NULL WHEN close > max(high) OVER ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) THEN 1 WHEN close < min(low) OVER ({W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) THEN 0 END AS event FROM bars)
+SELECT ticker, ts, coalesce(last_value(event IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING), 0)::BIGINT AS position FROM e"""
+
+
+@query(DONCHIAN, "bars")
 def str_06_donchian(t: Tables):
-    """Breakout with a position that holds: a fold over each series."""
-    return G.donchian(t.bars).select("ticker", "ts", "position")
+    """Breakout with a position that holds until the next event."""
+    return G.donchian(t.bars).select("ticker", "ts", F.col("position").cast("long").alias("position"))
 
 
 CROSS = f"s AS (SELECT *, CASE WHEN {roll('avg', 'close', 20)} > {roll('avg', 'close', 50)} THEN 1 WHEN {roll('avg', 'close', 20)} < {roll('avg', 'close', 50)} THEN -1 ELSE 0 END AS signal FROM ch)"
