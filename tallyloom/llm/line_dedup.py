@@ -39,6 +39,7 @@ from tallyloom.llm.common import WordHash, cut_rows, mix64, pick
 
 MIN_WORDS, EDIT_WORDS = 3, 8
 BLOOM_BITS = 26
+PART = 2_000_000  # bytes of text worked on at a time
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 SELF, LACKS, CHANGED, EQUAL, COUNT, GONE = 0, 1, 2, 3, 8, 9
@@ -132,12 +133,12 @@ def shared_gaps(docs: DataFrame) -> np.ndarray:
     def emit(batches):
         hashes, known, seen = WordHash(), {}, set()
         for batch in batches:
-            for part in cut_rows(batch, "text"):
+            for part in cut_rows(batch, "text", PART):
                 lines = Lines(part.column("text").to_pylist(), hashes)
                 k1, _ = lines.keys()
                 _, first = np.unique(k1, return_index=True)
                 first = first[lines.size[first] >= EDIT_WORDS]
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 new = [i for i, k in zip(first.tolist(), k1[first].tolist(), strict=True) if k not in seen]
                 seen.update(k1[new].tolist())
@@ -161,19 +162,18 @@ def shared_gaps(docs: DataFrame) -> np.ndarray:
     bits = coarse.repartition("key").sortWithinPartitions("key", "line").mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     words = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
     words[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+    return words.view(np.uint8)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """doc_id, mark (hash of the text), rows, n_lines and dropped (sorted places) of each different document."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(shared_gaps(docs), bitorder="little"))
+    shared = docs.sparkSession.sparkContext.broadcast(shared_gaps(docs))
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("other", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("place", pa.int64())])
 
     def emit(batches):
-        bloom = np.unpackbits(shared.value, bitorder="little").astype(bool)
-        hashes, known = WordHash(), {}
+        bits, hashes, known = shared.value, WordHash(), {}
         for batch in batches:
-            for part in cut_rows(batch, "text"):
+            for part in cut_rows(batch, "text", PART):
                 lines = Lines(part.column("text").to_pylist(), hashes)
                 ids = part.column("doc_id")
                 none, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
@@ -191,7 +191,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
                 rows.append((EQUAL, k1[first], k2[first], o[first], lines.place[first]))
                 line, a, b, key = lines.coarse(first[lines.size[first] >= EDIT_WORDS], known)
                 at = bloom_places(key)
-                hit = bloom[at[: len(key)]] & bloom[at[len(key) :]]
+                on = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+                hit = (on[: len(key)] & on[len(key) :]).astype(bool)
                 line, a, b = line[hit], a[hit], b[hit]
                 width = lines.size[line] - a - b
                 word = np.repeat(lines.start[line] + a, width) + (np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width))

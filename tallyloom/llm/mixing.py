@@ -144,9 +144,10 @@ def planned(base: DataFrame, slim: DataFrame, shards: int, seed: int) -> DataFra
 
 def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix itself: the columns of docs, a row for each copy, in shards, each in its seeded order."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    drawn = draws(docs, shards, seed).select(F.struct(*columns).alias("row"), F.explode("passes").alias("at"))
-    return drawn.repartitionByRange("at.shard", "at.position").sortWithinPartitions("at.shard", "at.position").select("row.*")
+    base = docs.select("doc_id", "source", word_count().alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("its_row"))
+    slim = materialise(base.select("doc_id", "source", "size"), "sizes")
+    drawn = planned(base, slim, shards, seed).select("its_row", F.explode("passes").alias("at"))
+    return drawn.repartitionByRange("at.shard", "at.position").sortWithinPartitions("at.shard", "at.position").select("its_row.*")
 
 
 def taken(docs: DataFrame) -> DataFrame:

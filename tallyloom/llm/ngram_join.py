@@ -10,9 +10,11 @@ similarity of at least THRESHOLD are linked.
 2. Within a bucket pairs are compared STEP MinHash values at a time.  With m of n
    equal, the posterior of reaching the threshold under a uniform prior is
    P(Bin(n + 1, THRESHOLD) <= m); a pair below TOLERANCE is dropped.
-3. The survivors' connected parts are gathered, the texts' sets are computed
-   anew, pairs within a part are pruned in the same way and the rest verified by
-   their exact Jaccard similarity.
+3. The survivors' connected parts are gathered.  The sets of their texts are
+   computed where the texts are read (a Bloom filter of fixed size tells which;
+   false hits fall out in the join), so no text is shuffled.  Pairs within a part
+   are pruned in the same way and the rest verified by their exact Jaccard
+   similarity.
 
 Buckets and parts of over BLOCK members are split into blocks, and each pair of
 blocks is a piece of work of its own, so no task holds a whole group.  Pieces give
@@ -34,13 +36,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WordHash, materialise, ngram_hashes
+from tallyloom.llm.common import WordHash, materialise, mix64, ngram_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, BANDS = 128, 32
 ROWS = HASHES // BANDS
 STEP, TOLERANCE = 16, 1e-8
 BLOCK = 1024
+BLOOM_BITS = 26
+#: Names that stand beside the columns of the documents, so unlike any of theirs.
+RID, K1, K2, SIG = "tallyloom_rid", "tallyloom_k1", "tallyloom_k2", "tallyloom_sig"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -198,9 +203,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """The rows of docs with rid (a number of the row), the class key (k1, k2) and the MinHash values, written once."""
-    fresh = ["rid", "k1", "k2", "sig"]
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in fresh], F.monotonically_increasing_id().alias("rid"))
+    """The rows of docs with RID (a number of the row), the class key (K1, K2) and the MinHash values SIG, written once."""
+    base = docs.select("*", F.monotonically_increasing_id().alias(RID))
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
 
     def run(batches):
@@ -216,9 +220,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sigs.append(minhash(shingles(words, hashes), a, b).view(np.int32) if words else np.empty(0, np.int32))
             ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             flat = np.concatenate(sigs) if sigs else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*batch.schema.names, "k1", "k2", "sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*batch.schema.names, K1, K2, SIG])
 
-    return materialise(base.mapInArrow(run, f"{plain}, k1 long, k2 long, sig array<int>"), "signatures")
+    return materialise(base.mapInArrow(run, f"{plain}, {K1} long, {K2} long, {SIG} array<int>"), "signatures")
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
@@ -227,7 +231,8 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     keyed = classes.where(F.size("sig") > 0).select("rep", F.explode(F.array(*bands)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("who")).where("n > 1")
     chosen = sizes.groupBy("n", "first", "who").agg(F.min("key").alias("key")).select("key", "n")
-    members = keyed.join(chosen, "key").select("key", "n", "rep").join(classes.select("rep", "sig"), "rep")
+    # both sides grow with the corpus, so neither is left to be broadcast while it happens to be small
+    members = keyed.join(chosen.hint("merge"), "key").select("key", "n", "rep").join(classes.select("rep", "sig").hint("merge"), "rep")
     dealt = in_blocks(members, "key", "n", "rep")
     rules = least_matches()
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -256,17 +261,40 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     return dealt.select("key", "low", "high", "block", "rep", "sig").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(run, "u long, v long")
 
 
-def verified(texts: DataFrame) -> DataFrame:
-    """rep, links, root of each member with a link; texts: rep, part, size, text, sig."""
+def bloom_places(keys: np.ndarray) -> np.ndarray:
+    """Two bits for each key, one row of them after the other."""
+    h = mix64(keys.astype(np.int64).view(np.uint64) + np.uint64(1))
+    return np.stack([h >> np.uint64(64 - BLOOM_BITS), (h << np.uint64(BLOOM_BITS)) >> np.uint64(64 - BLOOM_BITS)]).astype(np.int64)
+
+
+def bloom(rows: DataFrame, key: str) -> np.ndarray:
+    """Packed bits of a Bloom filter over a column: 2^BLOOM_BITS bits, whatever the input."""
+
+    def bits(batches):
+        for batch in batches:
+            at = bloom_places(batch.column(0).to_numpy(zero_copy_only=False)).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bit"])
+
+    found = rows.select(key).mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return words.view(np.uint8)
+
+
+def verified(table: DataFrame, sized: DataFrame) -> DataFrame:
+    """rep, links, root of each member with a link; table: rid, text, sig; sized: rid, part, size."""
     rules = least_matches()
     schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    shared = table.sparkSession.sparkContext.broadcast(bloom(sized, "rid"))
 
     def to_sets(batches):
-        hashes = WordHash()
+        hashes, bits = WordHash(), shared.value
         for batch in batches:
+            at = bloom_places(batch.column("rid").to_numpy())
+            hit = ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
+            batch = batch.filter(pa.array(hit))
             sets = [shingles(words_of(t or ""), hashes).tobytes() for t in batch.column("text").to_pylist()]
-            keep = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(sets, pa.binary())], names=[*keep, "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("sig"), pa.array(sets, pa.binary())], names=["rid", "sig", "set"])
 
     def run(batches):
         for (_, low, high), rows in pieces(batches, ["part", "low", "high"]):
@@ -288,24 +316,25 @@ def verified(texts: DataFrame) -> DataFrame:
             at = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(reps[at]), pa.array(links[at].astype(np.int64)), pa.array(reps[root[at]])], schema=schema)
 
-    sets = texts.mapInArrow(to_sets, "rep long, part long, size long, sig array<int>, set binary")
+    sets = table.select("rid", "text", "sig").mapInArrow(to_sets, "rid long, sig array<int>, set binary").join(sized.hint("merge"), "rid").withColumnRenamed("rid", "rep")
     dealt = in_blocks(sets, "part", "size", "rep").select("part", "low", "high", "block", "rep", "sig", "set")
     return dealt.repartition("part", "low", "high").sortWithinPartitions("part", "low", "high").mapInArrow(run, "rep long, links long, root long")
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The written rows of docs with rid, and for each rid: doc_id, copy_of, class_id, n_links and first.
+    """The written rows of docs with RID, and for each rid: doc_id, copy_of, class_id, n_links and first.
 
     copy_of is the smallest doc_id of the texts with equal words, class_id that of the linked group, n_links the number
     of different texts linked to this one; first marks one row of each group, that of the smallest doc_id.
     """
-    table = signatures(docs)
+    written = signatures(docs)
+    table = written.select(F.col(RID).alias("rid"), "doc_id", "text", F.col(K1).alias("k1"), F.col(K2).alias("k2"), F.col(SIG).alias("sig"))
     classes = table.groupBy("k1", "k2").agg(F.min("rid").alias("rep"))
     one = table.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
     parts = components(candidate_edges(one.select(F.col("rid").alias("rep"), "sig")))
     whole = parts.select("node", "root").union(parts.select(F.col("root").alias("node"), "root").distinct())
     sized = whole.join(whole.groupBy("root").agg(F.count("*").alias("size")), "root").select(F.col("node").alias("rid"), F.col("root").alias("part"), "size")
-    checked = materialise(verified(table.select("rid", "text", "sig").join(sized, "rid").select(F.col("rid").alias("rep"), "part", "size", "sig", "text")), "links")
+    checked = materialise(verified(table, materialise(sized, "parts")), "links")
     links = checked.groupBy("rep").agg(F.sum("links").alias("n_links"))
     groups = components(checked.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
     slim = table.select("rid", "doc_id", "k1", "k2")
@@ -316,7 +345,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = named.groupBy("root").agg(F.min("lead").alias("head"))
     told = named.join(heads, "root").select("k1", "k2", "copy_of", "n_links", "head")
     result = slim.join(told, ["k1", "k2"]).select("rid", "doc_id", "copy_of", F.col("head.doc_id").alias("class_id"), "n_links", (F.col("rid") == F.col("head.rid")).alias("first"))
-    return table, result
+    return written, result
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -326,5 +355,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without those that follow another of their group."""
-    table, result = join(docs)
-    return table.join(result.where("first").select("rid"), "rid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    written, result = join(docs)
+    return written.join(result.where("first").select(F.col("rid").alias(RID)), RID, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

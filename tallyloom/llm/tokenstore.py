@@ -9,7 +9,10 @@ metadata.  Each row holds a document's ids, its range (part) and its place in it
 
 Encoding goes through the tokenizers library, once for each distinct run of text
 from a blank to the next (the pre-tokenizer never joins the two sides of a single
-blank between other characters); texts with a special token's text go whole.
+blank between other characters); texts with a special token's text go whole.  A
+run is encoded by its parts: line ends and a last mark after a letter or digit are
+tokens of their own to the pre-tokenizer.  Parts of Latin letters alone are single
+pre-tokens, so they go to a copy of the tokenizer without its pattern.
 
 Null texts count as empty: just the end id.  Null doc_ids come first.  Repeated
 rows are written each, equal ids in order of their texts.  Empty table: no rows.
@@ -17,6 +20,8 @@ rows are written each, equal ids in order of their texts.  Empty table: no rows.
 
 from __future__ import annotations
 
+import array
+import json
 import re
 import uuid
 import zlib
@@ -31,16 +36,33 @@ from tallyloom.llm.common import batch_of, cut_rows, pick, shared_dir
 
 END = 2
 STRIPE, STRIDE = 16 << 20, 1000
-PIECES = 300_000
+PIECES = 400_000
 TWO_BLANKS = re.compile(r"\s\s")
 CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Letters that every version of Unicode in use knows.
+WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+MARKS = ".,!?;:"
+
+
+def word_tokenizer(spec: str):
+    """The tokenizer for texts known to be one pre-token: no pattern, no special tokens, no cache of its own."""
+    from tokenizers.models import BPE
+
+    parsed = json.loads(spec)
+    model = parsed["model"]
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    parsed["post_processor"], parsed["added_tokens"] = None, []
+    parsed["pre_tokenizer"]["use_regex"] = False
+    out = tokenizer(json.dumps(parsed))
+    out.model = BPE(model["vocab"], merges, cache_capacity=0)
+    return out
 
 
 class PieceCoder:
     """Ids of texts (arrays), each distinct piece encoded once while the cache holds it."""
 
     def __init__(self, spec: str):
-        self.library = tokenizer(spec)
+        self.library, self.words = tokenizer(spec), word_tokenizer(spec)
         self.pieces: dict[str, bytes] = {}
 
     @staticmethod
@@ -50,13 +72,38 @@ class PieceCoder:
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + p for p in rest]
 
+    @staticmethod
+    def parts(piece: str) -> list[str]:
+        if TWO_BLANKS.search(piece):
+            return [piece]
+        out = []
+        for k, x in enumerate(piece.split("\n")):
+            if k:
+                out.append("\n")
+            if len(x) > 1 and x[-1] in MARKS and x[-2].isalnum():
+                out += [x[:-1], x[-1]]
+            elif x:
+                out.append(x)
+        return out
+
+    def learn(self, new: set[str]) -> None:
+        known, word = self.pieces, WORD.fullmatch
+        plain = {p for p in new if word(p)}
+        plans = [(p, self.parts(p)) for p in new if p not in plain]
+        rest = {a for _, plan in plans for a in plan if a not in known and a not in plain}
+        words = {a for a in rest if word(a)}
+        for coder, group in ((self.words, [*plain, *words]), (self.library, list(rest - words))):
+            for a, e in zip(group, coder.encode_batch_fast(group, add_special_tokens=False), strict=True):
+                known[a] = array.array("I", e.ids).tobytes()
+        for p, plan in plans:
+            if len(plan) > 1:
+                known[p] = b"".join([known[a] for a in plan])
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.pieces) > PIECES:
             self.pieces.clear()
         plans = [None if SPECIAL in t else self.split(t) for t in texts]
-        new = list({p for plan in plans if plan for p in plan if p not in self.pieces})
-        for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self.pieces[p] = np.array(e.ids, "<u4").tobytes()
+        self.learn(set().union(*[plan for plan in plans if plan]).difference(self.pieces))
         known = self.pieces.__getitem__
         return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") if plan is None else np.frombuffer(b"".join(map(known, plan)), "<u4") for t, plan in zip(texts, plans, strict=True)]
 

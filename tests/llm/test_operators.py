@@ -219,6 +219,7 @@ def test_ngram_join(spark, rows, block, monkeypatch):
     assert Counter(map(tuple, ngram_join.near_duplicates(docs).collect())) == expected
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns and kept.count() == n_groups
+    assert {(r["rid"], r["key"], r["size"], r["score"]) for r in kept.collect()} == {(7, "k", -1, 0.5)}
 
 
 def test_bayesian_rules_keep_pairs_at_the_threshold():
@@ -384,6 +385,7 @@ def test_mixing(spark):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max()
     mix = mixing.mixture(docs)
     assert mix.columns == docs.columns
+    assert {(r["rid"], r["key"], r["size"], r["score"]) for r in mix.collect()} == {(7, "k", -1, 0.5)}
     assert mix.select(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] is not None
     passes = mixing.draws(docs, shards=8).select(F.explode("passes").alias("p")).groupBy("p.shard").count().toPandas()
     assert passes["count"].sum() == mix.count() and len(passes) <= 8
