@@ -59,9 +59,9 @@ def pct_rank(x, by: list, descending: bool = False) -> Column:
 
 
 def demean_by_median(df: DataFrame, columns: list[str], by: list) -> DataFrame:
-    """columns less the median of their group."""
+    """columns less the median of their group; the tenth decimal ends the noise of midpoints, which would break ties."""
     w = Window.partitionBy(*[col(b) for b in by])
-    return df.withColumns({c: F.col(c) - F.median(c).over(w) for c in columns})
+    return df.withColumns({c: F.round(F.col(c) - F.median(c).over(w), 10) for c in columns})
 
 
 def points(columns: dict[str, tuple[float, float]]) -> list[float]:

@@ -56,7 +56,7 @@ def rank_sql(v: str, up: bool = True, part: str = "as_of") -> str:
 
 
 def neutral_sql(columns: list[str], group: str, source: str, name: str) -> str:
-    return f"{name} AS (SELECT * REPLACE ({', '.join(f'{c} - median({c}) OVER (PARTITION BY as_of, {group}) AS {c}' for c in columns)}) FROM {source})"
+    return f"{name} AS (SELECT * REPLACE ({', '.join(f'round({c} - median({c}) OVER (PARTITION BY as_of, {group}), 10) AS {c}' for c in columns)}) FROM {source})"
 
 
 def metrics_sql(source: str, keep: str = "*") -> str:
