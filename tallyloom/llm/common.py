@@ -65,6 +65,54 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def powers(base: int, count: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64."""
+    out = np.full(count, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+BYTE_BASE = 0x9E3779B97F4A7C15
+SPAN = 1 << 18  # bytes hashed at a time
+
+
+class ByteWords:
+    """Hashes of the words of UTF-8 bytes without a Python object for each word.
+
+    A word's hash is a polynomial in random numbers for its bytes, finished by mix64 with its length.
+    """
+
+    def __init__(self):
+        self.random = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BYTE_BASE))
+        self.blank = np.zeros(256, bool)
+        self.blank[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+        self.grow(SPAN)
+
+    def grow(self, count: int) -> None:
+        self.power, self.back = powers(BYTE_BASE, count + 1), powers(pow(BYTE_BASE, -1, 1 << 64), count + 1)
+
+    def places(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words start and end."""
+        full = np.zeros(len(data) + 2, np.int8)
+        full[1:-1] = ~self.blank[data]
+        change = np.diff(full)
+        return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+
+    def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out, i = np.empty(len(start), np.uint64), 0
+        while i < len(start):
+            low = start[i]
+            j = max(i + 1, int(np.searchsorted(end, low + SPAN, "right")))
+            count = int(end[j - 1] - low)
+            if count >= len(self.power):
+                self.grow(count)
+            sums = np.zeros(count + 1, np.uint64)
+            np.cumsum(self.random[data[low : low + count]] * self.power[:count], out=sums[1:])
+            out[i:j] = (sums[end[i:j] - low] - sums[start[i:j] - low]) * self.back[start[i:j] - low]
+            i = j
+        return mix64(out + (end - start).astype(np.uint64))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

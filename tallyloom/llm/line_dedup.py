@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WordHash, cut_rows, mix64, pick
+from tallyloom.llm.common import ByteWords, cut_rows, mix64, pick, powers
 
 MIN_WORDS, EDIT_WORDS = 3, 8
 BLOOM_BITS = 26
@@ -64,29 +64,23 @@ def gaps(n: int) -> np.ndarray:
 class Lines:
     """The lines of some texts with hashes of any run of their words."""
 
-    def __init__(self, texts: list[str], hashes: WordHash):
-        words: list[bytes] = []
-        owner, place, size = [], [], []
-        self.counts = []
-        for k, text in enumerate(texts):
-            lines = text.lower().encode("utf-8", "surrogatepass").split(b"\n") if text else []
-            self.counts.append(len(lines))
-            for i, line in enumerate(lines):
-                found = line.split()
-                if len(found) >= MIN_WORDS:
-                    owner.append(k)
-                    place.append(i)
-                    size.append(len(found))
-                    words += found
-        self.owner, self.place, self.size = (np.array(x, np.int64) for x in (owner, place, size))
+    def __init__(self, texts: list[str], hashes: ByteWords):
+        lowered = [text.lower().encode("utf-8", "surrogatepass") for text in texts]
+        count = np.array([x.count(b"\n") + 1 for x in lowered], np.int64)
+        self.counts = np.where([len(x) > 0 for x in lowered], count, 0).tolist()
+        data = np.frombuffer(b"\n".join([*lowered, b""]), np.uint8)
+        start, end = hashes.places(data)
+        line = np.searchsorted(np.flatnonzero(data == 10), start)  # of each word
+        size = np.bincount(line, minlength=int(count.sum()))
+        long = size >= MIN_WORDS
+        kept = long[line]
+        h = hashes.of(data, start[kept], end[kept])
+        self.owner = np.repeat(np.arange(len(texts)), count)[long]
+        self.place = (np.arange(len(size)) - np.repeat(np.cumsum(count) - count, count))[long]
+        self.size = size[long]
         self.end = np.cumsum(self.size)
         self.start = self.end - self.size
-        h = hashes.of(words)
-        powers = np.full(len(h) + 1, BASE, np.uint64)
-        powers[0] = 1
-        back = np.full(len(h) + 1, BASE_INVERSE, np.uint64)
-        back[0] = 1
-        self.power, self.back = np.cumprod(powers), np.cumprod(back)
+        self.power, self.back = powers(BASE, len(h) + 1), powers(BASE_INVERSE, len(h) + 1)
         self.sums = [np.concatenate([[np.uint64(0)], np.cumsum(x * self.power[:-1])]) for x in (h, mix64(h))]
 
     def run(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
@@ -131,7 +125,7 @@ def shared_gaps(docs: DataFrame) -> np.ndarray:
     """Bits of the Bloom filter over the coarse keys that lines of different words share: 2^BLOOM_BITS bits, whatever the input."""
 
     def emit(batches):
-        hashes, known, seen = WordHash(), {}, set()
+        hashes, known, seen = ByteWords(), {}, set()
         for batch in batches:
             for part in cut_rows(batch, "text", PART):
                 lines = Lines(part.column("text").to_pylist(), hashes)
@@ -171,7 +165,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("other", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("place", pa.int64())])
 
     def emit(batches):
-        bits, hashes, known = shared.value, WordHash(), {}
+        bits, hashes, known = shared.value, ByteWords(), {}
         for batch in batches:
             for part in cut_rows(batch, "text", PART):
                 lines = Lines(part.column("text").to_pylist(), hashes)
