@@ -1,8 +1,10 @@
 """Line deduplication by a join of deletion neighbourhoods.
 
-A line is its lowered words; lines of under MIN_WORDS words are left alone.  Two
-lines match if their words are equal or, when both have at least EDIT_WORDS
-words, if one word put in, left out or changed makes them equal (edit bound 1).
+A line is its lowered words; only lines without a word (under MIN_WORDS) are left
+alone.  Two lines match if their words are equal or, when both have at least
+EDIT_WORDS words, if one word put in, left out or changed makes them equal (edit
+bound 1).  Shorter lines must be equal: there one word is a third of the line or
+more, and most lines within the bound are chance (figures in the README).
 A line goes if the corpus has an earlier one that matches, in the order of doc_id
 (null last), then text, then place in the text.  What it matches may itself have
 gone, so the result doesn't depend on the order of work.
@@ -21,8 +23,9 @@ one.  A Bloom filter of fixed size holds the coarse keys that several lines shar
 variants inside such gaps only.
 
 Copies of a line in a batch are settled there, so a line that a third of all
-documents hold reaches the join once for each batch.  Groups are scanned in order
-of sorted rows, never held.
+documents hold reaches the join once for each batch.  So are lines that differ in
+the same one word: all but the earliest go, and it alone stands under their key.
+Groups are scanned in order of sorted rows, never held.
 
 Null texts have no lines.  Rows of equal doc_id and text count as one document and
 get the same result.  Empty table: no rows.
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import ByteWords, cut_rows, mix64, pick, powers
 
-MIN_WORDS, EDIT_WORDS = 3, 8
+MIN_WORDS, EDIT_WORDS = 1, 4
 BLOOM_BITS = 26
 PART = 2_000_000  # bytes of text worked on at a time
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -46,8 +49,8 @@ SELF, LACKS, CHANGED, EQUAL, COUNT, GONE = 0, 1, 2, 3, 8, 9
 
 
 def step_of(n: int) -> int:
-    """Words by which the coarse gaps of a line of n words are placed: a power of two, about a third of n."""
-    return 1 << max(0, (n // 3).bit_length() - 1)
+    """Words by which the coarse gaps of a line of n words are placed: a power of two from two on, about a third of n."""
+    return 1 << max(1, (n // 3).bit_length() - 1)
 
 
 def gaps(n: int) -> np.ndarray:
@@ -194,8 +197,16 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
                 line, word = inside[:, 0], inside[:, 1]
                 s, e = lines.start[line], lines.end[line]
                 before, after, n = lines.run(s, word), lines.run(word + 1, e), lines.size[line]
-                rows.append((CHANGED, two(before, after, word - s, n), np.full(len(line), 1, np.uint64), o[line], lines.place[line]))
-                rows.append((LACKS, two(before + after * lines.power[word - s], np.uint64(0), n - 1, 0), np.full(len(line), 2, np.uint64), o[line], lines.place[line]))
+                changed = two(before, after, word - s, n)
+                lacks = two(before + after * lines.power[word - s], np.uint64(0), n - 1, 0)
+                order = np.lexsort((lines.place[line], marks[o[line]], ids[o[line]], none[o[line]], changed))
+                lead = np.ones(len(order), bool)
+                lead[1:] = changed[order][1:] != changed[order][:-1]
+                lead, late = order[lead], np.unique(line[order[~lead]])
+                rows.append((GONE, mix64(k1[late] + lines.place[late].astype(np.uint64) + marks[o[late]].view(np.uint64)), k2[late], o[late], lines.place[late]))
+                led = line[lead]
+                rows.append((CHANGED, changed[lead], np.full(len(lead), 1, np.uint64), o[led], lines.place[led]))
+                rows.append((LACKS, lacks[lead], np.full(len(lead), 2, np.uint64), o[led], lines.place[led]))
                 whole = np.unique(line)
                 rows.append((SELF, two(lines.run(lines.start[whole], lines.end[whole]), np.uint64(0), lines.size[whole], 0), np.full(len(whole), 2, np.uint64), o[whole], lines.place[whole]))
                 for kind, key, other, who, place in rows:

@@ -356,6 +356,33 @@ def test_line_dedup(spark):
     assert kept == Counter((i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])) for i, t in made)
 
 
+def test_line_dedup_of_short_lines(spark):
+    made = [(1, "Contents\nPage 1 of 9\n\nall rights are reserved here"), (2, "contents\nNext page\nPage 2 of 9\n "), (3, "next PAGE\nlast page\nall rights reserved here\nPage 3 of 9"), (4, "a b c\na b d\nof 9\npage of 9")]
+    got = {r["doc_id"]: r["dropped_lines"] for r in line_dedup.line_marks(table(spark, [(i, t, "s") for i, t in made])).collect()}
+    assert got == {1: "", 2: "0,2", 3: "0,2,3", 4: ""}
+
+
+def test_lines_within_the_bound_share_a_gap():
+    for n in range(line_dedup.EDIT_WORDS, 130):
+        own, longer = (set(map(tuple, line_dedup.gaps(k).tolist())) for k in (n, n + 1))
+        assert all(any(a <= p and b <= n - 1 - p for a, b in own) for p in range(n))
+        assert all(any(a <= p and b <= n - p for a, b in own & longer) for p in range(n + 1))
+
+
+def test_line_dedup_of_one_word_variants(spark):
+    rng = random.Random(10)
+    made = []
+    for i in range(200):
+        words = rng.choice(["page one of the book", "page of the book", "the the of of", "all of the the rights"]).split()
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            words[rng.randrange(len(words))] = rng.choice(["x", "y", "z", "the", "of"])
+        made.append((i, " ".join(words) + rng.choice(["", "\nend", "\nthe end"])))
+    gone = brute_lines(made)
+    for parts in (1, 7):
+        got = {r["doc_id"]: r["dropped_lines"] for r in line_dedup.line_marks(table(spark, [(i, t, "s") for i, t in made]).repartition(parts)).collect()}
+        assert got == {i: ",".join(map(str, sorted(gone[i]))) for i, _ in made}
+
+
 def test_mixing_targets():
     got = mixing.targets({"b": 100, "a": 1000, None: 10})
     assert got[None] == 30 and sum(got.values()) == pytest.approx(1110)
