@@ -1,8 +1,8 @@
 """License scans by sentence rules, in DataFrame functions alone.
 
-A text is cut into sentences at the end marks before white space and at line
-ends, and once more with wrapped lines joined (only empty lines cut); the cut that
-knows more sentences counts, the first if they tie.  Each sentence is normalised (letters A-Z lowered; runs of anything but
+A text is cut into sentences at the end marks before white space and at empty lines,
+wrapped lines joined.  One that isn't known as a whole is cut at its line ends, and
+its lines count, so that both layouts may stand in one paragraph.  Each sentence is normalised (letters A-Z lowered; runs of anything but
 a-z and 0-9 become one blank) and looked up among the known licence sentences.
 The identifiers found, in the order of the text, form a sequence; RULES, tried in
 their order at each place of the sequence, turn runs of identifiers into
@@ -158,12 +158,16 @@ def scan(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list |
     for c in cues:
         cue = cue | F.contains("low", F.lit(c))
 
-    def ids_by(cut: str):
-        pieces = F.transform(F.split("low", cut), lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-        return F.when(F.col("cued"), F.filter(F.transform(pieces, lambda s: ids[s]), lambda i: i.isNotNull())).otherwise(F.array().cast("array<string>"))
+    def id_of(sentence):
+        return ids[F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))]
 
-    cut = lowered.withColumn("cued", cue).select("doc_id", "low", ids_by(LINES).alias("by_line"), ids_by(PARAGRAPHS).alias("by_paragraph"))
-    found = cut.select("doc_id", F.regexp_count("low", F.lit(LINES)).cast("long").alias("n_cuts"), F.when(F.size("by_paragraph") > F.size("by_line"), F.col("by_paragraph")).otherwise(F.col("by_line")).alias("ids"))
+    def ids_of(sentence):
+        whole = id_of(sentence)
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(F.split(sentence, "\n+"), id_of))
+
+    pieces = F.transform(F.split("low", PARAGRAPHS), ids_of)
+    known_ids = F.filter(F.flatten(pieces), lambda i: i.isNotNull())
+    found = lowered.select("doc_id", F.regexp_count("low", F.lit(LINES)).cast("long").alias("n_cuts"), F.when(cue, known_ids).otherwise(F.array().cast("array<string>")).alias("ids"))
     pattern = "|".join(re.escape(r).replace(r"\-", "-") for r in runs)
     sequence = F.concat_ws("", F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))))
     hits = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(sequence, F.lit(pattern), F.lit(0)), lambda r: names[r])))

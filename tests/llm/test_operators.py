@@ -126,6 +126,22 @@ def test_licenses(spark, text, found):
     assert row["licenses"] == found and row["n_licenses"] == len([x for x in found.split(",") if x])
 
 
+GPL = "This work is licensed under the GNU General Public License, version 3\nand more text that goes on"
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        (f"{MIT}\n\n{GPL}", "GPL-3.0-only,MIT"),
+        (f"{GPL}\n \n{MIT}\n\n\nReleased under\nthe MIT License", "GPL-3.0-only,MIT"),
+        (f"{GPL}\nReleased under the MIT License\nwords\n\n{MIT}", "GPL-3.0-only,MIT"),
+        (f"{GPL}.\n{MIT}\nThis work is licensed\nunder CC BY 4.0", "GPL-3.0-only,MIT"),
+    ],
+)
+def test_licenses_of_both_layouts_in_one_text(spark, text, found):
+    assert licenses.scan(table(spark, [(1, text, "s")])).first()["licenses"] == found
+
+
 def test_license_rules_are_ordered(spark):
     sentences = {"a": "software one", "b": "software two"}
     rules = [("BOTH", ["a", "b"]), ("FIRST", ["a"]), ("SECOND", ["b"])]
