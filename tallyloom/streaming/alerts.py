@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+HOUR = 3_600_000_000  # in microseconds
+CHUNK = 10_000  # rows given back at a time
+
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """A folder of event files as a stream; watermarks need zoned timestamps."""
@@ -35,28 +40,45 @@ def deduplicated(events: DataFrame) -> DataFrame:
 def rate_limited(events: DataFrame, per_hour: int) -> DataFrame:
     """Events with accepted: at most per_hour accepted events of a type in the hour before; rejected ones don't count.
 
-    The state of a type holds the times of its accepted events of the last hour: at most per_hour numbers.
+    The state of a type holds the times of its accepted events of the last hour: at most per_hour numbers.  Events of a
+    micro-batch are judged in order of time, then id, however Spark cuts them into chunks: a type's ids and times (16 bytes
+    an event) are held by its task.  Events that come in a later micro-batch than younger ones are judged when they come.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         recent = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "event_id"])
+        chunks = [(pdf["event_id"].to_numpy(), pdf["at"].to_numpy()) for pdf in batches]
+        ids, times = (np.concatenate(x) for x in zip(*chunks, strict=True))
+        order = np.lexsort((ids, times))
+        for start in range(0, len(order), CHUNK):
+            part = order[start : start + CHUNK]
             accepted = []
-            for at in pdf["ts"].astype("int64") / 1e9:
-                recent = [x for x in recent if x > at - 3600]
+            for at in times[part].tolist():
+                recent = [x for x in recent if x > at - HOUR]
                 accepted.append(len(recent) < per_hour)
                 if accepted[-1]:
                     recent.append(at)
-            yield pd.DataFrame({"event_id": pdf["event_id"], "event_type": key[0], "accepted": accepted})
+            yield pd.DataFrame({"event_id": ids[part], "event_type": key[0], "accepted": accepted})
         state.update((recent,))
 
-    out, kept = "event_id long, event_type string, accepted boolean", "recent array<double>"
-    return events.select("event_id", "event_type", "ts").groupBy("event_type").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
+    out, kept = "event_id long, event_type string, accepted boolean", "recent array<long>"
+    timed = events.select("event_id", "event_type", F.unix_micros("ts").alias("at"))
+    return timed.groupBy("event_type").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: spark.checkpoint.dir, else (local tests) a temporary one."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallyloom-")
+    return f"{path.rstrip('/')}/tallyloom/{spark.sparkContext.applicationId}"
 
 
 def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return the table it has filled."""
+    """Run a stream over all that is there and return what it has written: Parquet files, or for other modes than append a table in memory."""
     spark = stream.sparkSession
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    writer = stream.writeStream.queryName(name).outputMode(mode).trigger(availableNow=True)
+    if mode != "append":
+        writer.format("memory").start().awaitTermination()
+        return spark.table(name)
+    path = f"{shared_dir(spark)}/{name}"
+    writer.format("parquet").option("checkpointLocation", f"{path}-state").start(f"{path}-rows").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}-rows")
