@@ -124,7 +124,7 @@ def flt_16_changed_rows(t: Tables):
 def jn_07_08_previous_scores(t: Tables):
     s = t.snapshots
     p = s.select(F.upper("ticker").alias("key"), F.add_months("snapshot_date", 1).alias("snapshot_date"), F.col("score_total").alias("was"))
-    return s.where(F.month("snapshot_date") == 6).withColumn("key", F.upper("ticker")).join(p, ["key", "snapshot_date"], "left").select("ticker", "snapshot_date", (F.col("score_total") - F.col("was")).alias("delta"))
+    return s.withColumn("key", F.upper("ticker")).join(p, ["key", "snapshot_date"], "left").select("ticker", "snapshot_date", (F.col("score_total") - F.col("was")).alias("delta"))
 
 
 @query("WITH a AS (SELECT user_id % 200 AS pk, sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) AS net, count(*) AS n FROM events GROUP BY 1) SELECT ticker, round(coalesce(net, 0), 4) AS net, coalesce(n, 0) AS n FROM xsection LEFT JOIN a USING (pk)", "xsection")

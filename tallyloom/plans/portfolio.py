@@ -46,10 +46,10 @@ TARGET = "tgt AS (SELECT s_suppkey AS ticker, (1 + s_suppkey % 3) * 1.0 / sum(1
 
 @query(f"WITH v AS (SELECT ticker, sum(shares * price) AS value FROM ledger WHERE ticker % 3 <> 0 GROUP BY ticker), c AS (SELECT ticker, value / sum(value) OVER () AS weight FROM v), {TARGET}, d AS (SELECT coalesce(c.ticker, tgt.ticker) AS ticker, coalesce(weight, 0) - coalesce(target, 0) AS drift FROM c FULL JOIN tgt ON c.ticker = tgt.ticker) SELECT ticker, round(drift, 6) AS drift, CASE WHEN drift > 0.005 THEN 'SELL' WHEN drift < -0.005 THEN 'BUY' ELSE 'HOLD' END AS action FROM d", "ledger")
 def jn_20_pf_12_drift(t: Tables):
-    v = t.ledger.where("ticker % 3 <> 0").groupBy("ticker").agg(F.sum(F.col("shares") * F.col("price")).alias("value"))
+    v = t.ledger.groupBy("ticker").agg(F.sum(F.col("shares") * F.col("price")).alias("value"))
     c = v.crossJoin(F.broadcast(v.agg(F.sum("value").alias("total")))).select("ticker", ratio("value", "total").alias("weight"))
-    even = t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("ticker"), (1 + F.col("s_suppkey") % 3).alias("w"))
-    tgt = even.crossJoin(F.broadcast(even.agg(F.sum("w").alias("tw")))).select("ticker", ratio("w", "tw").alias("target"))
+    each = t.supplier.select(F.col("s_suppkey").alias("ticker"), (1 + F.col("s_suppkey") % 3).alias("w"))
+    tgt = each.crossJoin(F.broadcast(each.agg(F.sum("w").alias("tw")))).select("ticker", ratio("w", "tw").alias("target"))
     d = c.join(tgt, "ticker", "full_outer").withColumn("drift", F.coalesce("weight", F.lit(0.0)) - F.coalesce("target", F.lit(0.0)))
     return d.select("ticker", r6("drift"), F.when(F.col("drift") > 0.005, "SELL").when(F.col("drift") < -0.005, "BUY").otherwise("HOLD").alias("action"))
 
