@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -50,14 +53,45 @@ def ml_07_combinatorial_folds(t: Tables):
     return x.withColumn("fold", fold.cast("long")).groupBy(F.col("sector_id").cast("long").alias("sector_id"), "fold").agg(F.count("*").alias("rows"), F.min("month").alias("first_month"), F.max("month").alias("last_month"))
 
 
+EULER = 0.5772156649
+# Acklam's rational approximation of the inverse normal: relative error under 1.2e-9.
+MIDDLE = ([-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00], [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0])
+TAIL = ([-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00], [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0])
+
+
+def normal_quantile(p):
+    """Value under which a standard normal number is with probability p, 0 < p < 1."""
+
+    def over(coefficients, x):
+        up, down = (functools.reduce(lambda value, c: value * x + c, rest, F.lit(first)) for first, *rest in coefficients)
+        return up / down
+
+    q = p - 0.5
+    low = over(TAIL, F.sqrt(-2 * F.ln(p)))
+    high = -over(TAIL, F.sqrt(-2 * F.ln(1 - p)))
+    return F.when(p < 0.02425, low).when(p > 1 - 0.02425, high).otherwise(q * over(MIDDLE, q * q))
+
+
 @query(None)
 def ml_08_deflated_sharpe(t: Tables):
-    """Probability that a Sharpe ratio beats the best of several trials by chance, by sector."""
+    """Probability that a Sharpe ratio beats the best of all sectors' by chance, by sector.
+
+    Each sector is a trial.  probability expects the largest by the mixture of two quantiles and simple by one quantile
+    in standard errors.
+    """
     s = t.panel.groupBy("sector_id").agg(ratio(F.avg("actual"), F.stddev_samp("actual")).alias("sharpe"), F.count("*").alias("n"), F.skewness("actual").alias("skew"), (F.kurtosis("actual") + 3).alias("kurt"))
-    expected = F.lit(1.0)  # of the largest of the trials, in deviations
-    scale = F.sqrt(1 - F.col("skew") * F.col("sharpe") + (F.col("kurt") - 1) / 4 * F.col("sharpe") ** 2)
-    z = (F.col("sharpe") - expected / F.sqrt(F.col("n"))) * F.sqrt(F.col("n") - 1.0) / scale
-    return s.select("sector_id", "sharpe", normal_cdf(z).alias("probability"))
+    trials = F.greatest(F.lit(2.0), F.col("trials"))
+    expected = (1 - EULER) * normal_quantile(1 - 1 / trials) + EULER * normal_quantile(1 - 1 / (trials * math.e))
+    most = s.agg(F.count("*").cast("double").alias("trials")).select("trials", expected.alias("expected"), normal_quantile(1 - 0.5 / F.col("trials")).alias("quantile"))
+    s = s.crossJoin(F.broadcast(most))
+    sr, skew, kurt = F.col("sharpe"), F.col("skew"), F.col("kurt")
+    spread = 1 - skew * sr + (kurt - 1) / 4 * sr**2
+    z = (sr * F.sqrt(F.col("n") - 1.0) - F.col("expected")) / F.sqrt(F.when(spread > 0, spread).otherwise(1e-8))
+    variance = (1 + sr**2 / 2 - skew * sr + (kurt - 3) / 4 * sr**2) / (F.col("n") - 1.0)
+    error = F.greatest(F.sqrt(F.greatest(variance, F.lit(0.0))), F.lit(1e-8))
+    simple = normal_cdf(sr / error - F.col("quantile"))
+    few = F.col("n") < 2
+    return s.select("sector_id", "sharpe", F.when(few | (sr <= 0), 0.0).otherwise(normal_cdf(z)).alias("probability"), F.when(few, 0.0).otherwise(simple).alias("simple"), F.col("trials").cast("long").alias("trials"))
 
 
 @query("SELECT month, ticker, round(coalesce((rank() OVER (PARTITION BY month ORDER BY p NULLS LAST) + (count(p) OVER (PARTITION BY month, p) - 1) / 2.0) / nullif(count(p) OVER (PARTITION BY month), 0) * 100 * CASE WHEN p IS NULL THEN NULL ELSE 1 END, 0), 6) AS ml_rank FROM (SELECT month, ticker, CASE WHEN ticker % 9 = 0 THEN NULL ELSE pred END AS p FROM panel)", "panel")
