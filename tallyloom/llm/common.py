@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see: spark.checkpoint.dir, else (local tests) a temporary one."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = spark.sparkContext.getCheckpointDir()
         if not current:
             current = tempfile.mkdtemp(prefix="tallyloom-")
@@ -82,8 +84,8 @@ class ByteWords:
     A word's hash is a polynomial in random numbers for its bytes, finished by mix64 with its length.
     """
 
-    def __init__(self):
-        self.random = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BYTE_BASE))
+    def __init__(self, seed: int = BYTE_BASE):
+        self.random = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(seed))
         self.blank = np.zeros(256, bool)
         self.blank[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
         self.grow(SPAN)
@@ -135,12 +137,16 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def cut_rows(batch: pa.RecordBatch, text: str, limit: int = 8_000_000):
-    """Split a batch into runs of rows with about limit bytes of text each, so that long texts don't pile up."""
-    column = batch.column(text)
-    if column.nbytes <= limit:
+def cut_rows(batch: pa.RecordBatch, text: str | pa.Array, limit: int = 8_000_000):
+    """Split a batch into runs of rows with at most limit bytes of text (a column) each or one row, so that long texts don't pile up."""
+    column = batch.column(text) if isinstance(text, str) else text
+    if column.nbytes <= limit or not batch.num_rows:
         yield batch
         return
-    step = max(1, int(batch.num_rows * limit / column.nbytes))
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
+    _, offsets, _ = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if column.type == pa.large_string() else np.int32)[column.offset : column.offset + len(column) + 1]
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(at, int(at[low]) + limit, "right")) - 1)
+        yield batch.slice(low, high - low)
+        low = high

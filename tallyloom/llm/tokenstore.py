@@ -4,25 +4,21 @@ Texts are dealt into ranges of doc_id, sorted, encoded, and written by Spark's
 ORC writer: integer run-length encoding for the ids, stripes of STRIPE bytes that
 separate tasks can read, a row index every STRIDE rows, and a Bloom filter on
 doc_id in each stripe, so a lookup of ids skips stripes and row groups by their
-metadata.  Each row holds a document's ids, its range (part) and its place in it
-(row), so a reader needs no other file to know the order.
+metadata.  Each row holds a document's ids, their number, its range (part) and its
+place in it (row), so a reader needs no other file to know the order.
 
-Encoding goes through the tokenizers library, once for each distinct run of text
-from a blank to the next (the pre-tokenizer never joins the two sides of a single
-blank between other characters); texts with a special token's text go whole.  A
-run is encoded by its parts: line ends and a last mark after a letter or digit are
-tokens of their own to the pre-tokenizer.  Parts of Latin letters alone are single
-pre-tokens, so they go to a copy of the tokenizer without its pattern.
+Encoding agrees with the tokenizers library, which encodes each distinct piece of
+text once (pieces.py says where texts are cut); texts with a special token's text
+go to it whole.
 
 Null texts count as empty: just the end id.  Null doc_ids come first.  Repeated
-rows are written each, equal ids in order of their texts.  Empty table: no rows.
+rows are written each; rows of equal ids stand in the order of their texts' first
+HEAD characters, then of a hash.  The ranges tell such rows apart, so neither null
+nor repeated ids meet in one task.  Empty table: no rows.
 """
 
 from __future__ import annotations
 
-import array
-import json
-import re
 import uuid
 import zlib
 
@@ -31,109 +27,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.bpe import SPECIAL, load, tokenizer
 from tallyloom.llm.common import batch_of, cut_rows, pick, shared_dir
+from tallyloom.llm.pieces import PieceTable, cuts, load, special_texts, table_for, text_bytes
 
 END = 2
 STRIPE, STRIDE = 16 << 20, 1000
-PIECES = 400_000
-TWO_BLANKS = re.compile(r"\s\s")
-CUT = re.compile(r"(?<=\S)(?= \S)")
-#: Letters that every version of Unicode in use knows.
-WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
-MARKS = ".,!?;:"
-
-
-def word_tokenizer(spec: str):
-    """The tokenizer for texts known to be one pre-token: no pattern, no special tokens, no cache of its own."""
-    from tokenizers.models import BPE
-
-    parsed = json.loads(spec)
-    model = parsed["model"]
-    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-    parsed["post_processor"], parsed["added_tokens"] = None, []
-    parsed["pre_tokenizer"]["use_regex"] = False
-    out = tokenizer(json.dumps(parsed))
-    out.model = BPE(model["vocab"], merges, cache_capacity=0)
-    return out
-
-
-class PieceCoder:
-    """Ids of texts (arrays), each distinct piece encoded once while the cache holds it."""
-
-    def __init__(self, spec: str):
-        self.library, self.words = tokenizer(spec), word_tokenizer(spec)
-        self.pieces: dict[str, bytes] = {}
-
-    @staticmethod
-    def split(text: str) -> list[str]:
-        if TWO_BLANKS.search(text):
-            return CUT.split(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + p for p in rest]
-
-    @staticmethod
-    def parts(piece: str) -> list[str]:
-        if TWO_BLANKS.search(piece):
-            return [piece]
-        out = []
-        for k, x in enumerate(piece.split("\n")):
-            if k:
-                out.append("\n")
-            if len(x) > 1 and x[-1] in MARKS and x[-2].isalnum():
-                out += [x[:-1], x[-1]]
-            elif x:
-                out.append(x)
-        return out
-
-    def learn(self, new: set[str]) -> None:
-        known, word = self.pieces, WORD.fullmatch
-        plain = {p for p in new if word(p)}
-        plans = [(p, self.parts(p)) for p in new if p not in plain]
-        rest = {a for _, plan in plans for a in plan if a not in known and a not in plain}
-        words = {a for a in rest if word(a)}
-        for coder, group in ((self.words, [*plain, *words]), (self.library, list(rest - words))):
-            for a, e in zip(group, coder.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                known[a] = array.array("I", e.ids).tobytes()
-        for p, plan in plans:
-            if len(plan) > 1:
-                known[p] = b"".join([known[a] for a in plan])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        plans = [None if SPECIAL in t else self.split(t) for t in texts]
-        self.learn(set().union(*[plan for plan in plans if plan]).difference(self.pieces))
-        known = self.pieces.__getitem__
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") if plan is None else np.frombuffer(b"".join(map(known, plan)), "<u4") for t, plan in zip(texts, plans, strict=True)]
+HEAD = 64
+#: One pre-token: at most a blank, then letters that every version of Unicode in use knows.
+PLAIN = r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+"
+
+
+def encode(table: PieceTable, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a column of texts, one after the other, and where each text's end (and the first one's start) is."""
+    table.room()
+    data, offsets = text_bytes(texts)
+    start, end = cuts(data, offsets[:-1], keep_blanks=True)
+    owner = np.searchsorted(offsets, start, "right") - 1
+    special = special_texts(data, offsets)
+    if len(special):
+        free = ~np.isin(owner, special)
+        start, end, owner = start[free], end[free], owner[free]
+    entries = table.entries(data, start, end)
+    if len(special):
+        owner = np.concatenate([owner, special])
+        entries = np.concatenate([entries, table.whole([data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "surrogatepass") for k in special])])
+        order = np.argsort(owner, kind="stable")
+        owner, entries = owner[order], entries[order]
+    flat, ends = table.gather(entries)
+    return flat, ends[np.searchsorted(owner, np.arange(len(offsets)))]
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end: int = END) -> None:
     """Encode every text and write its ids as ORC files under path."""
     shared = docs.sparkSession.sparkContext.broadcast(load(tokenizer_path))
     kind = pa.list_(pa.int32())
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", kind)])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", kind), ("n_tokens", pa.int64())])
 
     def run(batches):
-        coder = PieceCoder(shared.value)
+        table = table_for(shared.value, PLAIN)
         for batch in batches:
             for part in cut_rows(batch, "text", 2_000_000):
-                rows = coder.encode([t or "" for t in part.column("text").to_pylist()])
-                ends = np.cumsum([0, *(len(r) + 1 for r in rows)]).astype(np.int32)
-                flat = np.full(ends[-1], end, np.int32)
-                for r, at in zip(rows, ends, strict=False):
-                    flat[at : at + len(r)] = r
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], schema=schema)
-
-    ordered = pick(docs, "doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    coded = ordered.mapInArrow(run, "doc_id long, ids array<int>")
-    placed = coded.select("doc_id", "ids", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
+                flat, ends = encode(table, part.column("text"))
+                flat = np.insert(flat, ends[1:], end)
+                ends = ends + np.arange(len(ends))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), pa.array(np.diff(ends))], schema=schema)
+
+    # slim keys: whole texts aren't sampled for the ranges, and equal ids or equal rows spread over several of them
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("head").asc(), F.col("mark").asc()]
+    keyed = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.left(F.coalesce("text", F.lit("")), F.lit(HEAD)).alias("head"), F.xxhash64("text").alias("mark"))
+    ordered = keyed.repartitionByRange(*keys, F.monotonically_increasing_id()).sortWithinPartitions(*keys).select("doc_id", "text")
+    coded = ordered.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
+    placed = coded.select("doc_id", "ids", "n_tokens", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"))
     options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(STRIDE), "orc.create.index": "true", "orc.stripe.size": str(STRIPE), "compression": "zstd"}
     placed.write.options(**options).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, ids array<int>, part int, row long").orc(path)
+    return spark.read.schema("doc_id long, ids array<int>, n_tokens long, part int, row long").orc(path)
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -152,9 +102,9 @@ def index(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at, at[1:], strict=False)]
             yield batch_of(schema, [batch.column("doc_id"), batch.column("part"), batch.column("row"), np.diff(at).astype(np.int64), crc])
 
-    rows = read(spark, path).mapInArrow(run, "doc_id long, part int, row long, n_tokens long, ids_crc32 long")
+    rows = read(spark, path).select("doc_id", "ids", "part", "row").mapInArrow(run, "doc_id long, part int, row long, n_tokens long, ids_crc32 long")
     # one row for each range of ids: the starts of ranges are a sum over those before
-    parts = read(spark, path).groupBy("part").agg(F.sum(F.size("ids")).alias("total"))
+    parts = read(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("total"))  # reads no ids
     starts = parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
     inner = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("row")) - F.col("n_tokens")
     return rows.withColumn("inner", inner).join(starts, "part").select("doc_id", (F.col("before") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
