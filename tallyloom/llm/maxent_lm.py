@@ -5,79 +5,130 @@ the held-out tenth train.
 
 Base: a smoothed unigram score from corpus counts over all training documents.
 
-Model: words are dealt to CLASSES classes of like total frequency (frequent words
-first); P(word | context) = P(class | context) * P(word | class).  P(class |
-context) is a softmax over a bias and the weights of two hashed features, the word
-before and the word before that (a skip feature).  P(word | class) is the word's
-smoothed share of its class.  Words beyond the MOST_FREQUENT most frequent ones
-form the last class.  As classes partition the words, the model's probabilities
-are those of one distribution, like the base's.
-
-Training: each task runs gradient ascent with a rate per weight (AdaGrad) over
-the texts it reads, in batches; the tasks' weights are averaged by the number of
-tokens each has seen.  A task returns 2 * FEATURES * CLASSES weights, whatever it
-read.  Scoring works on numpy batches: rows of weights are gathered for the
-features that occur, and nothing else.
+Model: words are dealt to BRANCHES classes of like total frequency, the words of a
+class to classes of their own, and so on down to single words, so
+P(word | context) = P(class | context) * P(class in class | class, context) * ...
+Each factor is a softmax over at most BRANCHES outcomes, with a fixed bias (the
+outcomes' shares) and the weights of two hashed features: the class with the word
+before (bigram) and the class with the word before that (skip).  Words beyond the
+MOST_FREQUENT most frequent ones are one class; it is dealt by hash to
+BRANCHES^2 groups, whose softmax is learnt in the same way, and a word's share of
+its group is its smoothed count.  One unseen word belongs to each group.  So the
+probabilities of all words add up to 1 in every context, like the base's.
+
+Training: ROUNDS rounds over as many shares of the training texts (dealt by a hash
+of the text, so every text trains once).  In each, tasks sum the gradient of the
+likelihood of the round's texts under the weights so far (how often each outcome
+came with each feature, less how often the model expected it); the sums meet by
+feature, and each weight takes a step that is scaled by its own expectation, so
+what a feature's weight is doesn't depend on how many tasks have met it.
+Probabilities are summed in whole multiples of 2^-QUANTUM, so the weights don't
+depend on how texts are dealt to tasks either.  Weights are 2^ROW_BITS rows of
+BRANCHES numbers.  Scoring gathers the rows of the features that occur.
 
 Counts of frequent words (at most MOST_FREQUENT) are broadcast; all others are
 joined by word, so each text's score uses exact counts of all its words.  What is
 gathered from the corpus (a row for each word and task) grows with the input.
+Words are told apart by their bytes in the counts and by 64-bit hashes in tasks.
 
 Null texts are empty: just the end token.  Without training documents counts are
-0 and the model is uniform over classes.  Repeated rows are scored each.
+0 and words differ by their groups alone.  Repeated rows count and are scored each.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WordHash, cut_rows, id_bucket, materialise, mix64, pick
+from tallyloom.llm.common import ByteWords, cut_rows, id_bucket, materialise, mix64, pick
+from tallyloom.llm.pieces import text_bytes
 
 END = b""
 SMOOTH = 0.1
-MOST_FREQUENT = 100_000
-CLASSES = 16
-BITS = 13
-FEATURES = 1 << BITS
-RATE, BATCH = 0.3, 8192
-
-
-def tokens_of(text: str) -> list[bytes]:
-    """Words with A-Z lowered (bytes.lower leaves all else), then the end."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    words.append(END)
-    return words
+MOST_FREQUENT = 200_000
+BRANCHES = 16
+ROW_BITS = 16
+ROUNDS, PRIOR, QUANTUM = 2, 4.0, 14
+BATCH, PART = 16_384, 4_000_000
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+END_HASH = np.uint64(0x6A09E667F3BCC909)
+ODD = np.uint64(0x9E3779B97F4A7C15)
+HASHES: list[ByteWords] = []
+
+
+def hasher() -> ByteWords:
+    if not HASHES:
+        HASHES.append(ByteWords())
+    return HASHES[0]
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts start and end; no word runs on into the next text."""
+    full = np.zeros(len(data) + 2, bool)
+    full[1:-1] = ~((data == 0x20) | ((data >= 0x09) & (data <= 0x0D)))
+    begin, finish = full[1:] & ~full[:-1], full[:-1] & ~full[1:]
+    at = offsets[:-1][np.diff(offsets) > 0]
+    begin[at[full[at + 1]]] = True
+    finish[at[full[at]]] = True
+    return np.flatnonzero(begin[:-1]), np.flatnonzero(finish)
+
+
+class Tokens:
+    """The tokens of a column of texts: hash, owner, and for words their place."""
+
+    def __init__(self, column: pa.Array):
+        raw, offsets = text_bytes(column)
+        self.data = LOWER[raw]
+        self.start, self.end = word_places(self.data, offsets)
+        n = len(column)
+        owner = np.searchsorted(offsets, self.start, "right") - 1
+        # an empty text shares its offset with the next one; words belong to the last text that starts there
+        self.sizes = np.bincount(owner, minlength=n) + 1
+        last = np.cumsum(self.sizes) - 1
+        self.hash = np.full(len(owner) + n, END_HASH)
+        self.word = np.arange(len(owner)) + owner  # the token of each word
+        self.hash[self.word] = hasher().of(self.data, self.start, self.end)
+        self.owner = np.repeat(np.arange(n), self.sizes)
+        self.place = np.full(len(self.hash), -1)  # the word of each token
+        self.place[self.word] = np.arange(len(owner))
+        first = np.arange(len(self.hash)) - np.repeat(last - self.sizes + 1, self.sizes)
+        self.near, self.skip = np.zeros(len(self.hash), np.uint64), np.zeros(len(self.hash), np.uint64)
+        self.near[1:], self.skip[2:] = self.hash[:-1], self.hash[:-2]
+        self.near[first < 1] = 0  # a text begins with no words before it
+        self.skip[first < 2] = 0
+
+    def bytes_of(self, tokens: np.ndarray) -> pa.Array:
+        """The words of tokens; the end is the empty word."""
+        place = self.place[tokens]
+        real = place >= 0
+        start, size = np.zeros(len(tokens), np.int64), np.zeros(len(tokens), np.int64)
+        start[real] = self.start[place[real]]
+        size[real] = self.end[place[real]] - start[real]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.data[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)]
+        return pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
 
 
 def counts(docs: DataFrame) -> DataFrame:
     """word (binary), n over all training documents; the end is the empty word.  Written once."""
 
     def run(batches):
-        tally: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.binary()), pa.array(list(tally.values()), pa.int64())], names=["word", "n"])
-
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                tally.update(tokens_of(text))
-                if len(tally) >= 300_000:
-                    yield out()
-                    tally.clear()
-        if tally:
-            yield out()
+            for part in cut_rows(batch, "text", PART):
+                t = Tokens(part.column("text"))
+                _, first, n = np.unique(t.hash, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([t.bytes_of(first), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     train = docs.where("not held_out").select("text")
     return materialise(train.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
-def frequent(words: DataFrame, most: int = MOST_FREQUENT) -> list:
+def frequent(words: DataFrame, most: int) -> list:
     """The words that occur most, at most that many: all with a count that fewer than that many words reach."""
     sizes = words.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.col("n").desc()).limit(most).collect()
     total, least = 0, None
@@ -91,104 +142,220 @@ def frequent(words: DataFrame, most: int = MOST_FREQUENT) -> list:
     return sorted(((bytes(r["word"]), r["n"]) for r in words.where(F.col("n") >= least).collect()), key=lambda x: (-x[1], x[0]))
 
 
-def classed(common: list, total: int) -> tuple[dict[bytes, tuple[int, int]], np.ndarray]:
-    """Word to (count, class), and the tokens of each class; the last class is for all other words."""
-    share = sum(n for _, n in common) / max(1, CLASSES - 1)
-    table, mass, k, run = {}, np.zeros(CLASSES), 0, 0.0
-    for word, n in common:
-        table[word] = (n, k)
-        mass[k] += n
-        run += n
-        while k < CLASSES - 2 and run >= share * (k + 1):
-            k += 1
-    mass[CLASSES - 1] = total - mass.sum()
-    return table, mass
-
-
-class Contexts:
-    """Tokens, classes and features of a run of texts."""
-
-    def __init__(self, table: dict[bytes, tuple[int, int]]):
-        self.table, self.hashes = table, WordHash()
-        self.rest = (0, CLASSES - 1)
-
-    def of(self, texts: list[str]):
-        lists = [tokens_of(t) for t in texts]
-        flat = [w for x in lists for w in x]
-        sizes = np.array([len(x) for x in lists])
-        get, rest = self.table.get, self.rest
-        pairs = np.array([get(w, rest) for w in flat], np.int64).reshape(-1, 2)
-        h = self.hashes.of(flat)
-        starts = np.cumsum(sizes) - sizes
-        at = np.arange(len(flat)) - np.repeat(starts, sizes)
-        one, two = np.zeros(len(flat), np.uint64), np.zeros(len(flat), np.uint64)
-        one[1:], two[2:] = h[:-1], h[:-2]
-        one[at < 1] = 0  # a text begins with no words before it
-        two[at < 2] = 0
-        near = (mix64(one + np.uint64(1)) >> np.uint64(64 - BITS)).astype(np.int64)
-        skip = (mix64(two + np.uint64(0x51ED270B)) >> np.uint64(64 - BITS)).astype(np.int64)
-        return flat, sizes, pairs[:, 0], pairs[:, 1], near, skip
-
-
-def softmax_rows(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The hashes that Tokens gives to these words."""
+    out = np.full(len(words), END_HASH)
+    real = [k for k, w in enumerate(words) if w]
+    size = np.array([len(words[k]) for k in real], np.int64)
+    data = np.frombuffer(b"".join([words[k] for k in real]), np.uint8)
+    end = np.cumsum(size)
+    out[real] = hasher().of(data, end - size, end)
+    return out
 
 
-def train(docs: DataFrame, shared) -> np.ndarray:
-    """Weights, 2 x FEATURES x CLASSES, averaged over the tasks; shared holds (table, bias)."""
+def groups_of(hashes: np.ndarray) -> np.ndarray:
+    """The group of each rare word."""
+    return (mix64(hashes) >> np.uint64(64 - 2 * (BRANCHES.bit_length() - 1))).astype(np.int64)
+
+
+def group_sums(rare: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Count of tokens and of words by group; rare: word, n."""
 
     def run(batches):
-        table, bias = shared.value
-        contexts = Contexts(table)
-        w = np.zeros((2, FEATURES, CLASSES), np.float32)
-        g2 = np.full((2, FEATURES, CLASSES), 1.0, np.float32)
-        seen = 0
-        cells = FEATURES * CLASSES
+        tokens, words = np.zeros(BRANCHES**2, np.int64), np.zeros(BRANCHES**2, np.int64)
         for batch in batches:
-            for part in cut_rows(batch, "text", 500_000):
-                _, _, _, truth, near, skip = contexts.of(part.column("text").to_pylist())
-                for at in range(0, len(truth), BATCH):
-                    y, a, b = truth[at : at + BATCH], near[at : at + BATCH], skip[at : at + BATCH]
-                    p = softmax_rows(bias + w[0][a] + w[1][b])
-                    g = -p
-                    g[np.arange(len(y)), y] += 1
-                    for k, f in ((0, a), (1, b)):
-                        used, place = np.unique(f, return_inverse=True)
-                        cell = (place[:, None] * CLASSES + np.arange(CLASSES)).ravel()
-                        step = np.bincount(cell, weights=g.ravel(), minlength=len(used) * CLASSES).reshape(-1, CLASSES).astype(np.float32)
-                        g2[k][used] += step * step
-                        w[k][used] += RATE * step / np.sqrt(g2[k][used])
-                seen += len(truth)
-        if seen:
-            rows = w.reshape(2 * FEATURES, CLASSES)
-            at = np.flatnonzero(rows.any(axis=1))
-            scaled = (rows[at].astype(np.float64) * seen).astype("<f4")
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([x.tobytes() for x in scaled], pa.binary()), pa.array(np.full(len(at), 0, np.int64))], names=["feature", "weights", "seen"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([b""], pa.binary()), pa.array([seen])], names=["feature", "weights", "seen"])
+            g = groups_of(word_hashes(batch.column("word").to_pylist()))
+            np.add.at(tokens, g, batch.column("n").to_numpy())
+            words += np.bincount(g, minlength=BRANCHES**2)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BRANCHES**2)), pa.array(tokens), pa.array(words)], names=["g", "tokens", "words"])
+
+    found = rare.mapInArrow(run, "g long, tokens long, words long").groupBy("g").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).toPandas()
+    out = np.zeros((2, BRANCHES**2))
+    out[:, found["g"].to_numpy(np.int64)] = found[["tokens", "words"]].to_numpy(float).T
+    return out[0], out[1]
+
+
+class Classes:
+    """The nested classes: a path of (class, outcome) for each frequent word and for each group of rare ones."""
+
+    def __init__(self, common: list, tokens: np.ndarray, members: np.ndarray):
+        words, n = [w for w, _ in common], np.array([c for _, c in common], np.int64)
+        k = len(words)
+        self.count = np.append(n, 0)
+        self.total = tokens + SMOOTH * (members + 1)  # of each group, with its unseen word
+        mass = np.append(n.astype(float), self.total.sum())
+        order = np.argsort(-mass, kind="stable")
+        sums = np.concatenate([[0.0], np.cumsum(mass[order])])
+        bias: list[np.ndarray] = []
+        paths: list[list[tuple[int, int]]] = [[] for _ in range(k + 1)]
+        open_ranges: list[tuple[int, int, list]] = [(0, k + 1, [])]
+        while open_ranges:
+            low, high, path = open_ranges.pop()
+            if high - low == 1:
+                paths[order[low]] = path
+                continue
+            aims = sums[low] + (sums[high] - sums[low]) * np.arange(1, BRANCHES) / BRANCHES
+            cut = np.searchsorted(sums[low + 1 : high], aims) + low + 1 if high - low > BRANCHES else np.arange(low + 1, high)
+            ends = [low, *sorted({low + 1, *(int(c) for c in cut if c < high)})[: BRANCHES - 1], high]
+            node = len(bias)
+            share = np.full(BRANCHES, -1e9)
+            share[: len(ends) - 1] = np.log(np.diff(sums[ends]) / (sums[high] - sums[low]))
+            bias.append(share)
+            open_ranges += [(a, b, [*path, (node, c)]) for c, (a, b) in enumerate(zip(ends, ends[1:], strict=False))]
+        self.rest_depth = len(paths[k])
+        self.rest_node = len(bias)
+        square = self.total.reshape(BRANCHES, BRANCHES)
+        bias.append(np.log(square.sum(axis=1) / square.sum()))
+        bias += list(np.log(square / square.sum(axis=1, keepdims=True)))
+        paths[k] = [*paths[k], (self.rest_node, 0), (self.rest_node + 1, 0)]
+        self.bias = np.array(bias, np.float32)
+        self.depth = np.array([len(p) for p in paths], np.int8)
+        self.node, self.outcome = np.zeros((int(self.depth.max()), k + 1), np.int32), np.zeros((int(self.depth.max()), k + 1), np.int8)
+        for w, path in enumerate(paths):
+            for level, (node, c) in enumerate(path):
+                self.node[level, w], self.outcome[level, w] = node, c
+        self.mark = mix64(np.arange(1, len(bias) + 1, dtype=np.uint64) * ODD)  # a random number for each class
+        self.bits = max(4, int(2 * k + 1).bit_length() + 1)
+        self.keys, self.which = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, k, np.int32)
+        left, key = np.arange(k), word_hashes(words)
+        step = 0
+        while len(left):  # open addressing, all words a step further at a time
+            slot = self.slot(key[left], step)
+            free = self.keys[slot] == 0
+            _, first = np.unique(np.where(free, slot, -1 - left), return_index=True)
+            put = first[free[first]]
+            self.keys[slot[put]], self.which[slot[put]] = key[left[put]], left[put]
+            left = np.delete(left, put)
+            step += 1
+        self.steps = max(1, step)
+
+    def slot(self, key: np.ndarray, step: int) -> np.ndarray:
+        return ((key >> np.uint64(64 - self.bits)).astype(np.int64) + step) & ((1 << self.bits) - 1)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The frequent word of each hash; the number of frequent words for all others."""
+        out = np.full(len(key), len(self.count) - 1, np.int32)
+        left = np.arange(len(key))
+        for step in range(self.steps):
+            slot = self.slot(key[left], step)
+            hit = self.keys[slot] == key[left]
+            out[left[hit]] = self.which[slot[hit]]
+            left = left[~hit & (self.keys[slot] != 0)]
+            if not len(left):
+                break
+        return out
+
+    def factors(self, word: np.ndarray, hashes: np.ndarray, near: np.ndarray, skip: np.ndarray):
+        """For each level: the tokens that have it, their class, outcome, and rows of weights for the two features."""
+        group = None
+        for level in range(len(self.node)):
+            at = np.flatnonzero(self.depth[word] > level) if level else np.arange(len(word))
+            if not len(at):
+                return
+            w = word[at]
+            node, outcome = self.node[level][w].astype(np.int64), self.outcome[level][w].astype(np.int64)
+            if self.rest_depth <= level <= self.rest_depth + 1:
+                rare = np.flatnonzero(w == len(self.count) - 1)
+                group = groups_of(hashes[at[rare]])
+                if level == self.rest_depth:
+                    outcome[rare] = group // BRANCHES
+                else:
+                    node[rare] += group // BRANCHES
+                    outcome[rare] = group % BRANCHES
+            mark = self.mark[node]
+            shift = np.uint64(64 - ROW_BITS)
+            yield at, node, outcome, (((near[at] ^ mark) * ODD) >> shift).astype(np.int64), (((skip[at] + ODD ^ mark) * np.uint64(0xC2B2AE3D27D4EB4F)) >> shift).astype(np.int64)
+
+
+def row_sums(rows: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sums of p (whole numbers) over each; sums stay under 2^31 though running ones wrap."""
+    order = np.argsort(rows.astype(np.uint16) if ROW_BITS <= 16 else rows, kind="stable")
+    ranked = rows[order]
+    last = np.flatnonzero(np.append(ranked[1:] != ranked[:-1], True))
+    return ranked[last], np.diff(np.cumsum(p[order], axis=0, dtype=np.int32)[last], axis=0, prepend=np.int32(0))
+
+
+def gradient(classes: Classes, weights: np.ndarray, column: pa.Array, seen: np.ndarray, hoped: np.ndarray) -> None:
+    """Add to seen how often outcomes came with features, and to hoped how often the model expects that (times 2^QUANTUM)."""
+    t = Tokens(column)
+    word = classes.find(t.hash)
+    cells = []
+    for low in range(0, len(word), BATCH):
+        part = slice(low, low + BATCH)
+        _, node, outcome, a, b = map(np.concatenate, zip(*classes.factors(word[part], t.hash[part], t.near[part], t.skip[part]), strict=True))
+        p = classes.bias[node]
+        p += weights[a]
+        p += weights[b]
+        np.exp(p, out=p)
+        p *= (np.float32(1 << QUANTUM) / p.sum(axis=1))[:, None]
+        whole = np.rint(p, out=p).astype(np.int32)
+        for f in (a, b):
+            rows, sums = row_sums(f, whole)
+            hoped[rows] += sums
+            cells.append(f * BRANCHES + outcome)
+    seen += np.bincount(np.concatenate(cells), minlength=len(seen))
+
+
+def step(seen: np.ndarray, hoped: np.ndarray) -> np.ndarray:
+    """The step of each weight: its gradient (seen - hoped) scaled by what is expected, damped, and shared by two features."""
+    return (np.log1p((seen - hoped) / (hoped + PRIOR)) / 2).astype(np.float32)
+
+
+def train(docs: DataFrame, shared) -> np.ndarray:
+    """Weights, 2^ROW_BITS x BRANCHES; shared holds the classes."""
+    spark = docs.sparkSession
+    weights = np.zeros((1 << ROW_BITS, BRANCHES), np.float32)
+    kinds = "row long, seen binary, hoped binary"
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
-        seen = 0
         for batch in batches:
-            for f, x, n in zip(*(batch.column(c).to_pylist() for c in ("feature", "weights", "seen")), strict=True):
-                if f < 0:
-                    seen += n
-                    continue
-                x = np.frombuffer(x, "<f4").astype(np.float64)
-                total[f] = total[f] + x if f in total else x
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *total], pa.int64()), pa.array([b"", *[x.astype("<f8").tobytes() for x in total.values()]], pa.binary()), pa.array([seen, *[0] * len(total)], pa.int64())], names=["feature", "weights", "seen"])
-
-    kinds = "feature long, weights binary, seen long"
-    parts = docs.where("not held_out").select("text").mapInArrow(run, kinds)
-    # a feature's rows meet in one task: as many as there are tasks
-    rows = parts.repartition("feature").mapInArrow(add, kinds).toPandas()
-    out = np.zeros((2 * FEATURES, CLASSES))
-    seen = max(1, int(rows["seen"].sum()))
-    for f, x in zip(rows["feature"], rows["weights"], strict=True):
-        if f >= 0:
-            out[f] += np.frombuffer(x, "<f8")
-    return (out / seen).reshape(2, FEATURES, CLASSES).astype(np.float32)
+            for r, x, y in zip(*(batch.column(c).to_pylist() for c in ("row", "seen", "hoped")), strict=True):
+                both = np.stack([np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")])
+                total[r] = total[r] + both if r in total else both
+        steps = [step(x.astype(float), y.astype(float) / (1 << QUANTUM)).astype("<f4").tobytes() for x, y in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(steps, pa.binary())], names=["row", "step"])
+
+    training = docs.where("not held_out").select("text", F.pmod(F.xxhash64("text"), F.lit(ROUNDS)).alias("share"))
+    for share in range(ROUNDS):
+        now = spark.sparkContext.broadcast(weights)
+
+        def run(batches, now=now):
+            classes, w = shared.value, now.value
+            seen, hoped = np.zeros(w.size, np.int64), np.zeros(w.shape, np.int64)
+            for batch in batches:
+                for part in cut_rows(batch, "text", PART):
+                    gradient(classes, w, part.column("text"), seen, hoped)
+            at = np.flatnonzero(hoped.any(axis=1))
+            rows = lambda x: pa.array([r.tobytes() for r in x.reshape(w.shape)[at]], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(at), rows(seen), rows(hoped)], names=["row", "seen", "hoped"])
+
+        parts = training.where(F.col("share") == share).select("text").mapInArrow(run, kinds)
+        # a feature's rows meet in one task: as many as there are tasks
+        found = parts.repartition("row").mapInArrow(add, "row long, step binary").toPandas()
+        weights = weights.copy()
+        for r, x in zip(found["row"], found["step"], strict=True):
+            weights[r] += np.frombuffer(x, "<f4")
+        now.unpersist()
+    return weights
+
+
+def log_probabilities(classes: Classes, weights: np.ndarray, t: Tokens, word: np.ndarray) -> np.ndarray:
+    """log10 of each token's probability, less what the count of a rare word adds to it."""
+    out = np.zeros(len(word))
+    for low in range(0, len(word), BATCH):
+        part = slice(low, low + BATCH)
+        at, node, outcome, a, b = map(np.concatenate, zip(*classes.factors(word[part], t.hash[part], t.near[part], t.skip[part]), strict=True))
+        z = classes.bias[node]
+        z += weights[a]
+        z += weights[b]
+        chosen = z[np.arange(len(z)), outcome]
+        np.exp(z, out=z)
+        out[part] = np.bincount(at, weights=chosen - np.log(z.sum(axis=1)), minlength=len(out[part]))
+    rare = word == len(classes.count) - 1
+    out /= math.log(10)
+    out[rare] -= np.log10(classes.total[groups_of(t.hash[rare])])
+    return out
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -198,55 +365,41 @@ def score(docs: DataFrame) -> DataFrame:
     words = counts(docs)
     sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"] or 0, sums["v"]
-    common = frequent(words)
-    table, mass = classed(common, total)
-    members = np.bincount([k for _, k in table.values()], minlength=CLASSES)
-    members[CLASSES - 1] = distinct - len(table) + 1  # and one for words never seen
-    bias = np.log(mass + SMOOTH)
-    bias -= np.log(np.exp(bias).sum())
-    shared = spark.sparkContext.broadcast((table, bias))
+    common = frequent(words, MOST_FREQUENT)
+    # words counted in the broadcast table carry their share already
+    least = common[-1][1] if common else None
+    rare_words = words if least is None else words.where(F.col("n") < least)
+    shared = spark.sparkContext.broadcast(Classes(common, *group_sums(rare_words)))
     weights = spark.sparkContext.broadcast(train(docs, shared))
     base_low = total + SMOOTH * (distinct + 1)
-    inner = mass + SMOOTH * members
 
     def run(batches):
-        known_table, _ = shared.value
-        w = weights.value
-        contexts = Contexts(known_table)
+        classes, w = shared.value, weights.value
         for batch in batches:
-            for part in cut_rows(batch, "text", 1_000_000):
-                flat, sizes, c, k, near, skip = contexts.of(part.column("text").to_pylist())
-                logp = np.empty(len(flat))
-                for at in range(0, len(flat), BATCH):
-                    s = slice(at, at + BATCH)
-                    p = softmax_rows(bias + w[0][near[s]] + w[1][skip[s]])
-                    logp[s] = np.log10(p[np.arange(len(p)), k[s]])
-                owner = np.repeat(np.arange(len(sizes)), sizes)
+            for part in cut_rows(batch, "text", PART):
+                t = Tokens(part.column("text"))
+                word = classes.find(t.hash)
+                c = classes.count[word]
                 own = c > 0
-                logp -= np.log10(inner[k])
-                share = np.where(own, np.log10(c + SMOOTH), 0.0)
-                base = np.bincount(owner, weights=np.where(own, share, 0.0) - math.log10(base_low), minlength=len(sizes))
-                model = np.bincount(owner, weights=logp + share, minlength=len(sizes))
-                known = np.bincount(owner, weights=own, minlength=len(sizes)).astype(np.int64)
-                rest: Counter = Counter()
-                for i in np.flatnonzero(~own).tolist():
-                    rest[(int(owner[i]), flat[i])] += 1
+                n = part.num_rows
+                logp = log_probabilities(classes, w, t, word)
+                base = np.bincount(t.owner, weights=np.where(own, np.log10(c + SMOOTH), 0.0) - math.log10(base_low), minlength=n)
+                model = np.bincount(t.owner, weights=logp, minlength=n)
+                known = np.bincount(t.owner, weights=own, minlength=n).astype(np.int64)
                 ids, held, rows = part.column("doc_id"), part.column("held_out"), part.column("row")
-                n = len(sizes)
                 # a row for each document, its word unlike any other so that no task gets them all
                 marks = [b"\n" + str(r).encode() for r in rows.to_pylist()]
-                yield pa.RecordBatch.from_arrays([rows, ids, held, pa.array(marks, pa.binary()), pa.array(np.zeros(n, np.int64)), pa.array(sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(model)], names=names)
-                if rest:
-                    owners = pa.array([o for o, _ in rest])
-                    m, none = len(rest), pa.nulls(len(rest), pa.float64())
-                    yield pa.RecordBatch.from_arrays([rows.take(owners), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.array([x for _, x in rest], pa.binary()), pa.array(list(rest.values()), pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), none, none], names=names)
+                yield pa.RecordBatch.from_arrays([rows, ids, held, pa.array(marks, pa.binary()), pa.array(np.zeros(n, np.int64)), pa.array(t.sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(model)], names=names)
+                rest = np.flatnonzero(~own)
+                if len(rest):
+                    _, first, times = np.unique(mix64(t.hash[rest] + t.owner[rest].astype(np.uint64) * ODD), return_index=True, return_counts=True)
+                    one, m = rest[first], len(first)
+                    none = pa.nulls(m, pa.float64())
+                    yield pa.RecordBatch.from_arrays([rows.take(pa.array(t.owner[one])), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), t.bytes_of(one), pa.array(times.astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), none, none], names=names)
 
     names = ["row", "doc_id", "held_out", "word", "times", "n_tokens", "known", "base", "model"]
     scored = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "row long, doc_id long, held_out boolean, word binary, times long, n_tokens long, known long, base double, model double")
-    # words counted in the table above carry their share already
-    least = common[-1][1] if common else None
-    rare = words if least is None else words.where(F.col("n") < least)
-    joined = scored.join(rare, "word", "left")
+    joined = scored.join(rare_words, "word", "left")
     share = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)
     found = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
