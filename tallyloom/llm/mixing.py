@@ -5,25 +5,34 @@ share all words; a target stops at MOST times its source, and what is over goes
 to the others by weight until none is above.
 
 Blocks: a source's documents are dealt by a seeded hash into blocks of about
-BLOCK_WORDS words.  A target of r times the source takes every block floor(r)
-times and, in a permuted order of the blocks, one more time until the target is
-met; the block at the edge is taken once more up to a cut in its own permuted
-order.  Shards: each source's count of block draws is split among the output
-shards by a binary tree that draws multivariate-hypergeometric counts at every
-node, so that each shard gets exactly its quota and no draw goes twice.  The draws
-of a source, in permuted order, fill the shards' quotas; within a shard rows are
-put in a seeded order.
-
-The driver sees a number for each source and shard.  Everything is decided by
-hashes of ids under a seed, so reruns agree.  Documents share a block by hash, so
-a source with a third of all rows spreads over as many blocks as it needs.
-
-Null texts have size 0.  Repeated rows are each documents of their own, treated
-alike.  An empty table gives no rows.  Sources of no words have target 0.
+BLOCK_WORDS words, as many as it takes.  A source of B blocks is drawn in passes
+over its blocks, each in a permuted order of its own, so draw n is a block of pass
+n / B.  A target of r times the source needs floor(r) * B draws and those at the
+start of the next pass, up to the block that meets the target; that block's
+documents are taken up to a cut in an order of their own.
+
+Shards: the count of each source's draws is split among the output shards by a
+binary tree that draws multivariate-hypergeometric counts at every node.  A shard
+takes the next draws of its quota's number, so quotas are met exactly and no draw
+goes twice; a document is taken as often as a shard has drawn its block.  Within a
+shard rows are put in a seeded order.
+
+Sums that find the last draw run over groups of GROUP blocks, then over the blocks
+of one group, then over the documents of one block, so nothing is summed in order
+over a whole source.  The driver sees some numbers for each source and shard.
+
+Everything is decided by hashes of ids and texts under a seed, so reruns agree.
+Rows of equal (also null) ids are told apart by their texts, and rows equal in
+both by a number.
+
+Null texts have size 0.  Repeated rows are each documents of their own.  An empty
+table gives no rows.  Sources of no words have target 0.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +42,7 @@ from tallyloom.llm.common import materialise, pick
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3.0
 SHARDS = 64
-BLOCK_WORDS, MOST_BLOCKS = 20_000, 65_536
+BLOCK_WORDS, GROUP = 20_000, 4_096
 SEED = 20240
 MOST_BROADCAST = 10_000
 
@@ -53,104 +62,134 @@ def targets(sizes: dict) -> dict:
     return fixed
 
 
+def hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of n draws are good; beyond the library's limit by the normal law of the same mean and variance."""
+    if max(good, bad) < 10**9:
+        return int(rng.hypergeometric(good, bad, n))
+    total = good + bad
+    mean, spread = n * good / total, np.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1)))
+    return int(min(max(round(rng.normal(mean, spread)), n - bad, 0), good, n))
+
+
 def split_tree(colors: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
     """Counts by shard and source: a multivariate-hypergeometric draw at each node of a binary tree over the shards."""
     out = np.zeros((shards, len(colors)), np.int64)
 
-    def split(low: int, high: int, counts: np.ndarray) -> None:
+    def split(low: int, high: int, counts: list[int]) -> None:
         if high - low == 1:
             out[low] = counts
             return
         middle = (low + high) // 2
-        share = int(counts.sum()) * (middle - low) // (high - low)
-        left = rng.multivariate_hypergeometric(counts, share, method="marginals") if counts.sum() else counts
+        rest = sum(counts)
+        n, left = rest * (middle - low) // (high - low), []
+        for c in counts:  # one source after the other, each given those before
+            rest -= c
+            left.append(hypergeometric(c, rest, n, rng))
+            n -= left[-1]
         split(low, middle, left)
-        split(middle, high, counts - left)
+        split(middle, high, [c - x for c, x in zip(counts, left, strict=True)])
 
-    split(0, shards, colors.astype(np.int64))
+    split(0, shards, [int(c) for c in colors])
     return out
 
 
-def draws(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The rows of docs with size, source_size, target, copies, and passes: an array of (shard, position) for each copy.
-
-    position orders the rows of a shard.  Columns of docs by these names are replaced.
-    """
-    fresh = ["size", "source_size", "target", "copies", "passes"]
-    base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in fresh])
-    base = base.withColumn("size", word_count())
-    slim = materialise(pick(base, "doc_id", "source", "size"), "sizes")  # so that the plan reads no text again
-    return planned(base, slim, shards, seed)
+def permutation(blocks: int, rng: np.random.Generator) -> tuple[int, int]:
+    """A multiplier and a shift under which 0 .. blocks - 1 change places."""
+    while True:
+        a = int(rng.integers(1, max(2, blocks)))
+        if math.gcd(a, blocks) == 1:
+            return a, int(rng.integers(0, blocks))
 
 
 def word_count():
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def mark_of(seed: int):
+    """A number for each row from doc_id, the hash of its text, and its number among equal rows."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", "its_hash", "nth")
+
+
+KEY = ["doc_id", "source", "size", "its_hash"]
+
+
 def planned(base: DataFrame, slim: DataFrame, shards: int, seed: int) -> DataFrame:
-    """base with its plan; slim has doc_id, source and size of the same rows."""
+    """base with source_size, target and passes, an array of (shard, position): one for each time a shard takes the row.
+
+    base has source and mark; slim has source, size and mark of the same rows.
+    """
     spark = base.sparkSession
-    columns = [c for c in base.columns if c != "size"]
     sizes = {r["source"]: r["n"] for r in slim.groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    aim = targets(sizes)
+    aim, rng = targets(sizes), np.random.default_rng(seed)
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    plan = []
+    passes, plan = int(np.ceil(MOST)), []
     for k, s in enumerate(order):
         n = sizes[s]
-        ratio = aim[s] / n if n else 0.0
-        whole = int(min(MOST, np.floor(ratio + 1e-12)))
-        plan.append((k, s, n, float(aim[s]), int(min(MOST_BLOCKS, max(1, n // BLOCK_WORDS))), whole, float(aim[s] - whole * n)))
-    table = spark.createDataFrame(plan, "sid int, source string, source_size long, target double, blocks int, whole int, rest double")
+        whole = int(min(MOST, np.floor(aim[s] / n + 1e-12))) if n else 0
+        blocks = max(1, n // BLOCK_WORDS)
+        turns = [permutation(blocks, rng) for _ in range(passes)]
+        plan.append((k, s, n, float(aim[s]), blocks, whole, float(aim[s] - whole * n), [a for a, _ in turns], [c for _, c in turns]))
+    kinds = "sid int, its_source string, source_size long, target double, blocks long, whole int, rest double, times array<long>, shifts array<long>"
+    table = spark.createDataFrame(plan, kinds)
     # a row for each source; broadcast only while they are few
     small = F.broadcast if len(order) <= MOST_BROADCAST else lambda d: d
-
-    def keyed(rows: DataFrame) -> DataFrame:
-        mark = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)))
-        named = table.withColumnRenamed("source", "its_source")
-        rows = rows.join(small(named), F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
-        return rows.withColumn("mark", mark).withColumn("block", F.pmod(F.shiftright("mark", 20), F.col("blocks")).cast("int"))
-
-    light = keyed(slim)
-    blocks = light.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("whole").alias("whole"), F.first("rest").alias("rest"))
-    permuted = Window.partitionBy("sid").orderBy(F.xxhash64(F.lit(seed + 1), "sid", "block"), "block")
-    blocks = blocks.withColumn("rank", F.row_number().over(permuted) - 1).withColumn("before", F.sum("words").over(permuted) - F.col("words"))
-    # once more in full, up to the cut, or not
-    blocks = blocks.withColumn("extra", F.when(F.col("before") + F.col("words") <= F.col("rest"), 2).when(F.col("before") < F.col("rest"), 1).otherwise(0)).withColumn("room", F.col("rest") - F.col("before"))
-    blocks = materialise(blocks, "blocks")
-    # the running sum is over the blocks at the edge alone, one for each source
-    edge = light.join(small(blocks.where("extra = 1").select("sid", "block", "room")), ["sid", "block"]).select("sid", "block", "mark", "size", "room")
-    cut = edge.groupBy("sid", "block", "mark").agg(F.sum("size").alias("size"), F.first("room").alias("room"))
-    run = Window.partitionBy("sid", "block").orderBy("mark")
-    cut = cut.withColumn("so_far", F.sum("size").over(run)).where(F.col("so_far") - F.col("size") / 2 <= F.col("room")).groupBy("sid", "block").agg(F.max("mark").alias("last"))
-    blocks = blocks.join(cut, ["sid", "block"], "left")
-    placed = keyed(base).drop("whole", "rest").join(blocks.drop("words", "before", "room"), ["sid", "block"])
-    more = (F.col("extra") == 2) | ((F.col("extra") == 1) & (F.col("mark") <= F.col("last")))
-    copies = (F.col("whole") + F.coalesce(more, F.lit(False)).cast("int")).cast("int")
-    # block draws of each source, dealt to shards by the tree
-    tallies = {r["sid"]: r["n"] for r in blocks.groupBy("sid").agg(F.sum(F.col("whole") + (F.col("extra") > 0).cast("int")).alias("n")).collect()}
-    quotas = split_tree(np.array([tallies.get(k, 0) for k in range(len(order))]), shards, np.random.default_rng(seed)) if order else np.zeros((shards, 0), np.int64)
-    ends = np.cumsum(quotas, axis=0)
-    shard_ends = spark.createDataFrame([(k, [int(x) for x in ends[:, k]]) for k in range(len(order))], "sid int, ends array<long>")
-    total = F.size("ends")
-    # draw number of a copy: passes over all blocks one after the other, each in the permuted order
-    number = lambda p: p * F.col("blocks_seen") + F.col("rank")
-    counted = blocks.groupBy("sid").agg(F.count("*").alias("blocks_seen"))
-    side = shard_ends.join(counted, "sid")
-    placed = placed.join(small(side), "sid")
-    shard_of = lambda p: F.least(F.size(F.filter("ends", lambda e: e <= number(p))), total - 1)
-    passes = F.when(copies > 0, F.transform(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1), lambda p: F.struct(shard_of(p).cast("int").alias("shard"), F.xxhash64(F.lit(seed + 2), "mark", p).alias("position")))).otherwise(F.array().cast("array<struct<shard:int,position:bigint>>"))
-    return placed.select(*[F.col(f"`{c}`") for c in columns], "size", "source_size", "target", copies.alias("copies"), passes.alias("passes"))
+    block = F.pmod(F.shiftright("mark", 16), F.col("blocks"))
+    turn = lambda p: F.pmod(F.element_at("times", p + 1) * F.col("block") + F.element_at("shifts", p + 1), F.col("blocks"))
+    placed = lambda rows, side: rows.join(small(side), F.col("source").eqNullSafe(F.col("its_source"))).withColumn("block", block)
+
+    # the last draw of each source's unfinished pass: the group of blocks, the block and the cut where the target is met
+    light = placed(slim, table.where("rest > 0")).withColumn("rank", turn(F.col("whole")))
+    blocks = materialise(light.groupBy("sid", "rank", "rest").agg(F.sum("size").alias("size")).withColumn("part", F.floor(F.col("rank") / GROUP)), "blocks")
+
+    def reached(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
+        """The row of each of keys where the sum of size, in order of by, first reaches rest; rest becomes what it has to give."""
+        run = F.sum("size").over(Window.partitionBy(*keys).orderBy(by))
+        return rows.withColumn("so_far", run).where((F.col("so_far") >= F.col("rest")) & (F.col("so_far") - F.col("size") < F.col("rest"))).withColumn("rest", F.col("rest") - F.col("so_far") + F.col("size"))
+
+    parts = reached(blocks.groupBy("sid", "part", "rest").agg(F.sum("size").alias("size")), ["sid"], "part").select("sid", "part", "rest")
+    edge = materialise(reached(blocks.drop("rest").join(small(parts), ["sid", "part"]), ["sid"], "rank").select("sid", "rank", "rest"), "edges")
+    inside = light.select("sid", "rank", "size", "mark").join(small(edge), ["sid", "rank"])
+    run = Window.partitionBy("sid").orderBy("mark").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = inside.withColumn("so_far", F.sum("size").over(run)).where(F.col("so_far") - F.col("size") / 2 <= F.col("rest")).groupBy("sid").agg(F.max("mark").alias("cut"))
+    last = {r["sid"]: (r["rank"], r["cut"]) for r in edge.join(cut, "sid", "left").collect()}
+
+    # the tree's quotas decide which draws each shard takes
+    numbers = [p[5] * p[4] + (last[p[0]][0] + 1 if p[0] in last else 0) for p in plan]
+    ends = np.cumsum(split_tree(np.array(numbers, np.int64), shards, rng), axis=0) if order else np.zeros((shards, 0), np.int64)
+    final = [(p[0], p[1], p[2], p[3], p[4], p[7], p[8], [int(x) for x in ends[:, k]], n - 1 if p[0] in last else None, last.get(p[0], (None, None))[1]) for k, (p, n) in enumerate(zip(plan, numbers, strict=True))]
+    side = spark.createDataFrame(final, "sid int, its_source string, source_size long, target double, blocks long, times array<long>, shifts array<long>, ends array<long>, edge long, cut long")
+
+    def draw(p):
+        number = p * F.col("blocks") + turn(p)
+        # at the edge, rows up to the cut; none if the first row is too long already
+        beyond = (number == F.col("edge")) & (F.col("cut").isNull() | (F.col("mark") > F.col("cut")))
+        shard = F.when(~F.coalesce(beyond, F.lit(False)), F.size(F.filter("ends", lambda e: e <= number)))
+        return F.struct(shard.cast("int").alias("shard"), F.xxhash64(F.lit(seed + 2), "mark", p).alias("position"))
+
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), draw), lambda x: x["shard"] < shards)
+    kept = [F.col(f"`{c}`") for c in base.columns]
+    return placed(base, side).select(*kept, "source_size", "target", drawn.alias("passes"))
 
 
 def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix itself: the columns of docs, a row for each copy, in shards, each in its seeded order."""
-    base = docs.select("doc_id", "source", word_count().alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("its_row"))
-    slim = materialise(base.select("doc_id", "source", "size"), "sizes")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    base = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("its_hash"), row.alias("its_row"), F.monotonically_increasing_id().alias("own"))
+    equal = materialise(base.groupBy("doc_id", "its_hash").count().where("count > 1").select(F.col("doc_id").alias("same_id"), F.col("its_hash").alias("same_hash")), "equal")
+    if equal.isEmpty():
+        base = base.withColumn("nth", F.lit(0).cast("long"))
+    else:  # which of several equal rows is drawn makes no difference, so any number tells them apart
+        base = base.join(equal, F.col("doc_id").eqNullSafe(F.col("same_id")) & F.col("its_hash").eqNullSafe(F.col("same_hash")), "left").withColumn("nth", F.when(F.col("same_hash").isNotNull(), F.col("own")).otherwise(0))
+    base = base.withColumn("mark", mark_of(seed)).select("source", "size", "mark", "its_row")
+    slim = materialise(base.drop("its_row"), "sizes")  # so that the plan reads no text again
     drawn = planned(base, slim, shards, seed).select("its_row", F.explode("passes").alias("at"))
     return drawn.repartitionByRange("at.shard", "at.position").sortWithinPartitions("at.shard", "at.position").select("its_row.*")
 
 
-def taken(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row."""
-    slim = materialise(pick(docs, "doc_id", "source", "text").select("doc_id", "source", word_count().alias("size")), "sizes")
-    return planned(slim, slim, SHARDS, SEED).select("doc_id", "size", "source_size", "target", (F.size("passes") * F.col("size")).cast("long").alias("taken"))
+def taken(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken and shards (those that take the row, comma-joined) of every row."""
+    rows = pick(docs, "doc_id", "source", "text").select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("its_hash"))
+    numbered = rows.groupBy(*KEY).count().withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    slim = materialise(numbered.select("doc_id", "source", "size", mark_of(seed).alias("mark")), "sizes")
+    out = planned(slim, slim.drop("doc_id"), shards, seed)
+    return out.select("doc_id", "size", "source_size", "target", (F.size("passes") * F.col("size")).cast("long").alias("taken"), F.array_join(F.transform("passes", lambda x: x["shard"].cast("string")), ",").alias("shards"))
