@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import batch_of, pick
+from tallyloom.llm.common import batch_of, cut_rows, pick
 
 BUCKETS = 128
 LENGTH_WEIGHT, LENGTH_MOST, RATIO_WEIGHT, RATIO_MOST = 3, 30, 2, 16
@@ -73,7 +74,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("fingerprint", pa.string())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in cut_rows(whole, "text")):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             yield batch_of(schema, [batch.column("doc_id").to_pylist(), [len(t) for t in texts], [digest(t.encode("utf-8", "surrogatepass")) for t in texts]])
 
@@ -81,43 +82,46 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, runs_per_partition: int = 4) -> DataFrame:
-    """Rows dealt into runs of neighbouring ids; each run ends with a copy of the first row of the run after it.
+    """Rows dealt into runs of neighbours; each run ends with a copy of the first row of the run after it (extra).
 
-    Order: descending doc_id (null last), then the text; after the last row comes the first.  Only doc_id is read to
-    place the cuts, and what reaches the driver is two ids for each run, whose number is set by the shuffle partitions.
+    Order: descending doc_id (null last), then the hash of the text; after the last row comes the first.  Cuts are
+    quantiles of doc_id; an id that takes several of them, and null, are cut by the hash as well.  What reaches the
+    driver is a few numbers for each run, and the number of runs is set by the shuffle partitions.
     """
     spark = docs.sparkSession
-    docs = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    docs = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("mark", F.xxhash64("text"))
     runs = runs_per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = docs.agg(F.count("*").alias("all"), F.count("doc_id").alias("named")).first()
     quantiles = [k / runs for k in range(1, runs)]
-    cuts = sorted(set(docs.select("doc_id").approxQuantile("doc_id", quantiles, 1 / (20 * runs)) or []), reverse=True)
-    cuts = [int(c) for c in cuts]
-    cut_array = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    # ids above the first cut are in run 0; null ids come last of all
-    run = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(cut_array, lambda c: F.col("doc_id") <= c)))
-    placed = docs.withColumn("run", run.cast("int"))
-    firsts = {r["run"]: r["first"] for r in placed.groupBy("run").agg(F.max("doc_id").alias("first")).collect()}
-    order = sorted(firsts)
-    if not order:
-        return placed.withColumn("extra", F.lit(False))
-    # the rows with a run's largest id go to the run before it as well
-    before = [(firsts[r], order[k - 1]) for k, r in enumerate(order)]
-    target = F.lit(None).cast("int")
-    keyed = [(i, r) for i, r in before if i is not None]
-    if keyed:
-        target = F.element_at(F.map_from_arrays(F.array(*[F.lit(i).cast("long") for i, _ in keyed]), F.array(*[F.lit(r) for _, r in keyed])), F.coalesce("doc_id", F.lit(-1 << 63)))
-    for i, r in before:
-        if i is None:
-            target = F.when(F.col("doc_id").isNull(), F.lit(r)).otherwise(target)
-    target = F.when(F.col("doc_id").isNotNull() | F.lit(any(i is None for i, _ in before)), target)
-    both = placed.withColumn("copies", F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("extra")), F.struct(target.alias("run"), F.lit(True).alias("extra"))))
-    return both.select("doc_id", "text", F.explode(F.filter("copies", lambda c: c["run"].isNotNull())).alias("c")).select("doc_id", "text", "c.run", "c.extra")
+    found = docs.select("doc_id").approxQuantile("doc_id", quantiles, 1 / (20 * runs)) if n["named"] else []
+    times = Counter(int(c) for c in found or [])
+    cuts = sorted(times, reverse=True)
+    bases = np.cumsum([0, 1, *(times[c] for c in cuts)]).tolist()  # the first run of each stretch between cuts
+    for_null = max(1, round(runs * (n["all"] - n["named"]) / max(1, n["all"])))
+    numbers = lambda values, kind: F.array(*[F.lit(v).cast(kind) for v in values]) if values else F.array().cast(f"array<{kind}>")
+    # ids above the first cut are in stretch 0, and stretch k starts with the rows of cut k
+    stretch = F.size(F.filter(numbers(cuts, "long"), lambda c: F.col("doc_id") <= c))
+    share = lambda parts: F.floor((F.shiftright("mark", 32) + F.lit(1 << 31)) * parts / F.lit(1 << 32)).cast("int")
+    parts = F.element_at(numbers([1, *(times[c] for c in cuts)], "int"), F.col("stretch") + 1)
+    at_cut = F.col("doc_id") == F.get(numbers(cuts, "long"), F.col("stretch") - 1)
+    named_run = F.element_at(numbers(bases[:-1], "int"), F.col("stretch") + 1) + F.when(at_cut, share(parts)).otherwise(parts - 1)
+    run = F.when(F.col("doc_id").isNull(), F.lit(bases[-1]) + share(F.lit(for_null))).otherwise(named_run)
+    placed = docs.withColumn("stretch", stretch).withColumn("run", run.cast("int")).drop("stretch")
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not("doc_id").alias("down"), F.col("mark").alias("mark"), F.col("doc_id").alias("doc_id"))).alias("lead")
+    firsts = sorted((r["run"], r["lead"]["doc_id"], r["lead"]["mark"]) for r in placed.groupBy("run").agg(lead).collect()) if n["all"] else []
+    # a run's first row (all rows equal to it) goes to the run before it as well
+    before = [(i, m, firsts[k - 1][0]) for k, (_, i, m) in enumerate(firsts)]
+    extras = F.broadcast(spark.createDataFrame(before, "first_id long, first_mark long, before int"))
+    both = placed.join(extras, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark")), "left")
+    copies = F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("extra")), F.struct(F.col("before").alias("run"), F.lit(True).alias("extra")))
+    return both.select("doc_id", "text", "mark", F.explode(F.filter(copies, lambda c: c["run"].isNotNull())).alias("c")).select("doc_id", "text", "mark", "c.run", "c.extra")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited form, whose last half is the start of the next document.
 
     Contract columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    Documents of equal id, and those without one, follow each other by the hash of their texts.
     Empty table: no rows.  One document alone is its own next one.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -145,5 +149,5 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
             yield batch_of(schema, list(zip(*out, strict=True)))
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = with_next(docs).repartition(parts, "run").sortWithinPartitions("run", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = with_next(docs).repartition(parts, "run").sortWithinPartitions("run", "extra", F.col("doc_id").desc_nulls_last(), "mark", "text")
     return dealt.mapInArrow(edited, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

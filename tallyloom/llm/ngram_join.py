@@ -32,11 +32,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WordHash, materialise, mix64, ngram_hashes
+from tallyloom.llm.common import WordHash, cut_rows, materialise, mix64, ngram_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, BANDS = 128, 32
@@ -44,8 +45,6 @@ ROWS = HASHES // BANDS
 STEP, TOLERANCE = 16, 1e-8
 BLOCK = 1024
 BLOOM_BITS = 26
-#: Names that stand beside the columns of the documents, so unlike any of theirs.
-RID, K1, K2, SIG = "tallyloom_rid", "tallyloom_k1", "tallyloom_k2", "tallyloom_sig"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -203,16 +202,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """The rows of docs with RID (a number of the row), the class key (K1, K2) and the MinHash values SIG, written once."""
-    base = docs.select("*", F.monotonically_increasing_id().alias(RID))
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+    """The rows of docs as structs, with rid (a number of the row), the class key (k1, k2) and the MinHash values, written once."""
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid"))
+    plain = f"row {base.schema['row'].dataType.simpleString()}, rid long"
 
     def run(batches):
         a, b = minhash_parameters()
         hashes = WordHash()
-        for batch in batches:
+        for batch in (part for whole in batches for part in cut_rows(whole, pc.struct_field(whole.column("row"), "text"))):
             k1, k2, sigs = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in pc.struct_field(batch.column("row"), "text").to_pylist():
                 words = words_of(text or "")
                 key = xxhash.xxh3_128_digest(b" ".join(words))
                 k1.append(int.from_bytes(key[:8], "little", signed=True))
@@ -220,9 +219,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sigs.append(minhash(shingles(words, hashes), a, b).view(np.int32) if words else np.empty(0, np.int32))
             ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             flat = np.concatenate(sigs) if sigs else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*batch.schema.names, K1, K2, SIG])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["row", "rid", "k1", "k2", "sig"])
 
-    return materialise(base.mapInArrow(run, f"{plain}, {K1} long, {K2} long, {SIG} array<int>"), "signatures")
+    return materialise(base.mapInArrow(run, f"{plain}, k1 long, k2 long, sig array<int>"), "signatures")
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
@@ -322,13 +321,13 @@ def verified(table: DataFrame, sized: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The written rows of docs with RID, and for each rid: doc_id, copy_of, class_id, n_links and first.
+    """The written rows of docs, and for each rid: doc_id, copy_of, class_id, n_links and first.
 
     copy_of is the smallest doc_id of the texts with equal words, class_id that of the linked group, n_links the number
     of different texts linked to this one; first marks one row of each group, that of the smallest doc_id.
     """
     written = signatures(docs)
-    table = written.select(F.col(RID).alias("rid"), "doc_id", "text", F.col(K1).alias("k1"), F.col(K2).alias("k2"), F.col(SIG).alias("sig"))
+    table = written.select("rid", "row.doc_id", "row.text", "k1", "k2", "sig")
     classes = table.groupBy("k1", "k2").agg(F.min("rid").alias("rep"))
     one = table.join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
     parts = components(candidate_edges(one.select(F.col("rid").alias("rep"), "sig")))
@@ -356,4 +355,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without those that follow another of their group."""
     written, result = join(docs)
-    return written.join(result.where("first").select(F.col("rid").alias(RID)), RID, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return written.join(result.where("first").select("rid"), "rid", "left_semi").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

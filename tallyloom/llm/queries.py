@@ -31,7 +31,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("ids", "decoded")
+    return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ DIMENSIONS coordinates.
 Training: at most MAX_TRAIN labelled documents, those of smallest id hash (the
 documented bound of the sample), dealt to SHARDS groups.  Each group runs FTRL
 (a learning rate per coordinate, L1 for sparse weights) over its documents; the
-groups' weights are averaged.  The weights are sparse and at most DIMENSIONS, so
+groups' weights are averaged by their rows (a group with labels of one kind alone
+trains nothing and doesn't count).  The weights are sparse and at most DIMENSIONS, so
 they are broadcast.  Scoring reads every whole text once, without a shuffle.
 
 Null texts are empty texts; an empty text scores by the bias alone.  Without any
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WordHash, batch_of, id_bucket, mix64, pick
+from tallyloom.llm.common import WordHash, batch_of, cut_rows, id_bucket, mix64, pick
 
 BITS = 20
 DIMENSIONS = 1 << BITS
@@ -34,6 +35,7 @@ MAX_TRAIN, SHARDS, EPOCHS = 20_000, 2, 5
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 1.0
 THRESHOLD = 0.3
 STEMS = (4, 5, 6)
+ROWS = -1  # stands for the number of rows among the sums of weights
 WORD = re.compile(r"\w+")
 
 
@@ -84,12 +86,15 @@ def ftrl(texts: list[str], truth: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return at, w[at]
 
 
-def train(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def train(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
     """Averaged weights (coordinate, weight) from the labelled rows outside the held-out quarter."""
     marked = pick(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = marked.where(id_bucket(F.col("doc_id"), 4) != 2).withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(MAX_TRAIN).withColumn("shard", F.pmod("order", F.lit(SHARDS)).cast("int"))
     # at most MAX_TRAIN slim rows: a proven bound, so the texts need no shuffle to meet their labels
-    rows = pick(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "shard", F.coalesce("text", F.lit("")).alias("text"))
+    texts = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    # an id may stand on any number of rows: equal ones count once, and the bound is one of rows again
+    pairs = texts.select("doc_id", "mark").join(F.broadcast(sample), "doc_id").distinct().orderBy("order", "doc_id", "mark").limit(MAX_TRAIN)
+    rows = texts.join(F.broadcast(pairs), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("doc_id", "toxic", "shard", "text")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"])
@@ -97,17 +102,18 @@ def train(docs: DataFrame, labels: DataFrame) -> DataFrame:
         if pdf.toxic.nunique() < 2:
             return pd.DataFrame({"at": np.empty(0, np.int64), "weight": np.empty(0)})
         at, w = ftrl(pdf.text.tolist(), pdf.toxic.tolist())
-        return pd.DataFrame({"at": at, "weight": w})
+        return pd.DataFrame({"at": [*at, ROWS], "weight": [*(w * len(pdf)), float(len(pdf))]})
 
-    return rows.groupBy("shard").applyInPandas(fit, "at long, weight double").groupBy("at").agg((F.sum("weight") / SHARDS).alias("weight"))
+    sums = rows.groupBy("shard").applyInPandas(fit, "at long, weight double").groupBy("at").agg(F.sum("weight").alias("weight")).toPandas()
+    of_rows = sums["at"] == ROWS
+    return sums[~of_rows].assign(weight=lambda d: d["weight"] / sums.loc[of_rows, "weight"].sum())
 
 
-def score(docs: DataFrame, weights: DataFrame) -> DataFrame:
+def score(docs: DataFrame, weights: pd.DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; weights has at most DIMENSIONS + 1 rows."""
     spark = docs.sparkSession
     dense = np.zeros(DIMENSIONS + 1, np.float32)
-    local = weights.toPandas()
-    dense[local["at"].to_numpy(np.int64)] = local["weight"].to_numpy(np.float32)
+    dense[weights["at"].to_numpy(np.int64)] = weights["weight"].to_numpy(np.float32)
     at = np.flatnonzero(dense)
     shared = spark.sparkContext.broadcast((at.astype(np.int32), dense[at]))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -117,7 +123,7 @@ def score(docs: DataFrame, weights: DataFrame) -> DataFrame:
         w = np.zeros(DIMENSIONS + 1, np.float32)
         w[where] = what
         bias, features = float(w[DIMENSIONS]), Features()
-        for batch in batches:
+        for batch in (part for whole in batches for part in cut_rows(whole, "text")):
             ids, held, texts = (batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))
             scores = [sigmoid(bias + float(w[features.of(t or "")].sum(dtype=np.float64))) for t in texts]
             yield batch_of(schema, [ids, held, scores, [int(s >= THRESHOLD) for s in scores]])

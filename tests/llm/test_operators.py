@@ -11,11 +11,12 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyloom.llm import bpe, fingerprint, licenses, line_dedup, maxent_lm, mixing, ngram_join, quality, queries, tokenstore, toxicity
+from tallyloom.llm import bpe, fingerprint, licenses, line_dedup, maxent_lm, mixing, ngram_join, pieces, quality, queries, tokenstore, toxicity
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid long, key string, size long, score double, word string"
@@ -94,6 +95,46 @@ def test_toxicity_learns_and_keeps_held_out_rows_apart(spark):
     assert out[out.doc_id.isin([1000, 1001])].score.nunique() == 1
 
 
+def test_toxicity_counts_only_shards_that_trained(spark, monkeypatch):
+    """Labels of both kinds in one shard: its weights stand as they are.  Repeated rows of an id count once."""
+    rng = random.Random(8)
+    order = {r["i"]: r["o"] for r in spark.range(4000).selectExpr("id as i", f"pmod(xxhash64(id), {toxicity.SHARDS}) as o").collect()}
+    free = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    mixed, alone = [i for i in free if order[i] == 0][:300], [i for i in free if order[i] == 1][:200]
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(30)) + (" vile" if i in mixed and k % 3 == 0 else ""), "s") for k, i in enumerate(mixed + alone)]
+    marks = [(i, 1, int(t.endswith("vile"))) for i, t, _ in rows]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    found = toxicity.train(table(spark, rows + rows[:50] * 3), labels)
+    weights = dict(zip(found["at"].tolist(), found["weight"].tolist(), strict=True))
+    mine = [(i, t, y) for (i, t, _), (_, _, y) in zip(rows, marks, strict=True) if i in set(mixed)]
+    mine = [sorted(mine)[k] for k in np.random.default_rng(0).permutation(len(mine))]
+    at, w = toxicity.ftrl([t for _, t, _ in mine], [y for _, _, y in mine])
+    assert weights == {int(a): pytest.approx(x) for a, x in zip(at, w, strict=True)}
+
+
+def test_ftrl_against_plain_loops():
+    rng = random.Random(3)
+    made = [" ".join(rng.choice(WORDS) for _ in range(12)) + (" bad" if k % 3 == 0 else "") for k in range(60)]
+    truth = [int(k % 3 == 0) for k in range(60)]
+    features, z, n = toxicity.Features(), defaultdict(float), defaultdict(float)
+    rows = [[*features.of(t).tolist(), toxicity.DIMENSIONS] for t in made]
+
+    def weight(i):
+        l1 = 0.0 if i == toxicity.DIMENSIONS else toxicity.L1
+        return -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2) if abs(z[i]) > l1 else 0.0
+
+    for _ in range(toxicity.EPOCHS):
+        for row, y in zip(rows, truth, strict=True):
+            w = {i: weight(i) for i in row}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in row:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    at, w = toxicity.ftrl(made, truth)
+    plain = {i: weight(i) for i in z if weight(i)}
+    assert dict(zip(at.tolist(), w.tolist(), strict=True)) == {i: pytest.approx(x) for i, x in plain.items()}
+
+
 def test_toxicity_without_labels_is_undecided(spark):
     out = toxicity.toxicity(table(spark, EDGE), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert {r["score"] for r in out.collect()} == {0.5}
@@ -191,12 +232,54 @@ def test_bpe_round_trip(spark, rows):
 
 
 def test_chunks_are_reused_and_cut_by_content():
-    coder = bpe.ChunkCoder(bpe.load(public_tokenizers.path("word_bpe_49k.json")))
+    coder = bpe.ChunkCoder(pieces.load(public_tokenizers.path("word_bpe_49k.json")))
     passage = " ".join(f"passage{k * k}" for k in range(200))
-    alone = coder.encode([passage])[0]
-    coder.encode(["other words first " + passage])
-    assert coder.reused > 0.5 * len(bpe.boundaries(passage))
-    assert coder.encode([passage])[0] == alone
+    alone = coder.encode(pa.array([passage]))[0].tolist()
+    coder.encode(pa.array(["other words first " + passage]))
+    assert coder.reused > 0.5 * len(bpe.chunk_spans(*pieces.text_bytes(pa.array([passage])))[0])
+    assert coder.encode(pa.array([passage]))[0].tolist() == alone
+
+
+def test_texts_of_like_chunks_meet(spark):
+    passage = " ".join(f"passage{k * k}" for k in range(300))
+    rows = [(i, f"start {i} {passage} end {i}" if i % 2 else " ".join(f"word{i}x{k}" for k in range(200)), "s") for i in range(60)]
+    parts = bpe.by_chunks(table(spark, rows)).select("doc_id", F.spark_partition_id().alias("p")).collect()
+    assert len({r["p"] for r in parts if r["doc_id"] % 2}) <= 2 and len(parts) == 60
+
+
+ODD = [*"ab1'.,! \n\t  éÉßİΣσς×÷ \u0085\u3000 \u0301\u20dd<|>_-日本語ᾼ\x1c\x00\x0bsStTdDAB  ", "'s", "'LL", " 're", "<|endoftext|>", "<|STARTOFTEXT|>", "\r\n", "...", " the long words of a passage that comes again and again in texts, so that chunks are met twice. "]
+
+
+def odd_texts(n):
+    rng = random.Random(3)
+    return ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 60))) for _ in range(n)]
+
+
+def test_pieces_agree_with_the_library_on_odd_texts():
+    made = odd_texts(8000) + ["long " * 400_000 + "x" * 300_000]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        spec = pieces.load(public_tokenizers.path(name))
+        library = pieces.tokenizer(spec)
+        coder, speller = bpe.ChunkCoder(spec), bpe.Speller(spec)
+        for at in range(0, len(made), 500):
+            part = made[at : at + 500]
+            expected = [e.ids for e in library.encode_batch_fast(part, add_special_tokens=False)]
+            if name.startswith("byte"):
+                flat, ends = tokenstore.encode(pieces.table_for(spec, tokenstore.PLAIN), pa.array(part))
+            else:
+                flat, ends = coder.encode(pa.array(part))
+            assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == expected
+            assert [x.decode() for x in speller.spell(flat, ends)] == [library.decode(x, skip_special_tokens=False) for x in expected]
+
+
+def test_piece_table_forgets_and_stays_right(monkeypatch):
+    spec = pieces.load(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(pieces, "SLOT_BITS", 3)
+    small, made = pieces.PieceTable(spec, tokenstore.PLAIN, most=50), odd_texts(400)
+    library = pieces.tokenizer(spec)
+    for at in range(0, len(made), 20):
+        flat, ends = tokenstore.encode(small, pa.array(made[at : at + 20]))
+        assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [e.ids for e in library.encode_batch(made[at : at + 20], add_special_tokens=False)]
 
 
 def brute_links(rows):
@@ -297,24 +380,147 @@ def test_quality_keeps_clean_documents(spark):
     assert out[out.quality == 0].kept.mean() < 0.2
 
 
-def test_lm_base_scores_and_distribution(spark, rows, monkeypatch):
-    monkeypatch.setattr(maxent_lm, "MOST_FREQUENT", 20)
+def lm_tokens(text):
+    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
+
+
+def lm_held(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+
+
+@pytest.mark.parametrize("most", [20, 100_000])
+def test_lm_base_scores(spark, rows, monkeypatch, most):
+    monkeypatch.setattr(maxent_lm, "MOST_FREQUENT", most)
     got = maxent_lm.score(table(spark, rows)).collect()
     tally = Counter()
-    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     for i, t, _ in rows:
-        if not held(i):
-            tally.update(maxent_lm.tokens_of(t or ""))
+        if not lm_held(i):
+            tally.update(lm_tokens(t))
     total, distinct = sum(tally.values()), len(tally)
     expected = Counter()
     for i, t, _ in rows:
-        tokens = maxent_lm.tokens_of(t or "")
+        tokens = lm_tokens(t)
         base = sum(math.log10((tally[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in tokens)
-        expected[(i, held(i), len(tokens), sum(tally[w] > 0 for w in tokens), total, round(base, 6))] += 1
+        expected[(i, lm_held(i), len(tokens), sum(tally[w] > 0 for w in tokens), total, round(base, 6))] += 1
     assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == expected
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
 
 
+def brute_lm(texts, shares, common, rare):
+    """Classes, weights and a plain probability function, from nested loops over words and outcomes."""
+    words, tally = [w for w, _ in common], dict(rare)
+    group = {w: int(g) for w, g in zip(tally, maxent_lm.groups_of(maxent_lm.word_hashes(list(tally))), strict=True)}
+    tokens, members = np.zeros(256), np.zeros(256)
+    for w, n in rare:
+        tokens[group[w]] += n
+        members[group[w]] += 1
+    classes = maxent_lm.Classes(common, tokens, members)
+    index = {w: k for k, w in enumerate(words)}
+    weights = defaultdict(lambda: np.zeros(16))
+
+    def path(word):
+        k = index.get(word, len(words))
+        out = [(int(classes.node[level, k]), int(classes.outcome[level, k])) for level in range(classes.depth[k])]
+        if k == len(words):
+            g = int(maxent_lm.groups_of(maxent_lm.word_hashes([word]))[0])
+            out[-2:] = [(classes.rest_node, g // 16), (classes.rest_node + 1 + g // 16, g % 16)]
+        return out
+
+    def features(node, near, skip):
+        mask = (1 << 64) - 1
+        h = lambda w: 0 if w is None else int(maxent_lm.word_hashes([w])[0])
+        mark = int(classes.mark[node])
+        return ("row", ((h(near) ^ mark) * int(maxent_lm.ODD) & mask) >> 48), ("row", (((h(skip) + int(maxent_lm.ODD) & mask) ^ mark) * 0xC2B2AE3D27D4EB4F & mask) >> 48)
+
+    def softmax(node, near, skip):
+        z = np.exp(classes.bias[node] + sum(weights[f] for f in features(node, near, skip)))
+        return z / z.sum()
+
+    def contexts(text):
+        t = lm_tokens(text)
+        return [(w, t[k - 1] if k else None, t[k - 2] if k > 1 else None) for k, w in enumerate(t)]
+
+    for share in range(maxent_lm.ROUNDS):
+        seen, hoped = defaultdict(lambda: np.zeros(16)), defaultdict(lambda: np.zeros(16))
+        for text, s in zip(texts, shares, strict=True):
+            for w, near, skip in contexts(text) if s == share else []:
+                for node, c in path(w):
+                    p = softmax(node, near, skip)
+                    for f in features(node, near, skip):
+                        seen[f][c] += 1
+                        hoped[f] += p
+        for f, h in hoped.items():
+            weights[f] = weights[f] + np.log1p((seen[f] - h) / (h + maxent_lm.PRIOR)) / 2
+
+    def log10_of(word, near, skip):
+        out = sum(math.log10(softmax(node, near, skip)[c]) for node, c in path(word))
+        if word not in index:
+            g = int(maxent_lm.groups_of(maxent_lm.word_hashes([word]))[0])
+            out += math.log10((tally.get(word, 0) + 0.1) / classes.total[g])
+        return out
+
+    return lambda text: sum(log10_of(*x) for x in contexts(text)), log10_of, classes
+
+
+def test_lm_scores_against_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(maxent_lm, "MOST_FREQUENT", 30)
+    made = [(i, t, "s") for i, t in enumerate(texts(8, 25))] + [(900, None, "s"), (901, "", "s"), (None, "some words w1 w2 w3", "s")]
+    docs = table(spark, made)
+    shares = {t: s for t, s in docs.select(F.coalesce("text", F.lit("")), F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(maxent_lm.ROUNDS))).collect()}
+    train = [t or "" for i, t, _ in made if not lm_held(i)]
+    tally = Counter(w for t in train for w in lm_tokens(t))
+    by_count = Counter(tally.values())
+    total, least = 0, None
+    for n in sorted(by_count, reverse=True):
+        total += by_count[n]
+        if total > 30:
+            break
+        least = n
+    common = sorted(((w, n) for w, n in tally.items() if least and n >= least), key=lambda x: (-x[1], x[0]))
+    rare = [(w, n) for w, n in tally.items() if not least or n < least]
+    score, log10_of, _ = brute_lm(train, [shares[t] for t in train], common, rare)
+    got = sorted((r["doc_id"] or -1, r["score"]) for r in maxent_lm.score(docs).collect())
+    assert got == [(i, pytest.approx(x, rel=2e-3)) for i, x in sorted((i or -1, score(t or "")) for i, t, _ in made)]
+    # all words and an unseen one of each group share the whole probability
+    for near, skip in ((None, None), (b"w1", None), (b"w2", b"w1"), (b"never", b"seen")):
+        known = sum(10 ** log10_of(w, near, skip) for w in tally)
+        assert known < 1
+    others = [maxent_lm.score(docs.repartition(n)).select("doc_id", "score").collect() for n in (1, 5)]
+    first, second = (sorted((r["doc_id"] or -1, round(r["score"], 6)) for r in o) for o in others)
+    assert first == second
+
+
+def test_lm_probabilities_add_up_to_one():
+    rng = np.random.default_rng(1)
+    common = sorted(((f"c{k}".encode(), int(10_000 / (k + 1)) + 3) for k in range(700)), key=lambda x: (-x[1], x[0])) + [(b"", 2)]
+    rare = [f"r{k}".encode() for k in range(2000)]
+    tokens, members = np.zeros(256), np.zeros(256)
+    g = maxent_lm.groups_of(maxent_lm.word_hashes(rare))
+    np.add.at(tokens, g, 1)
+    np.add.at(members, g, 1)
+    classes = maxent_lm.Classes(common, tokens, members)
+    weights = rng.normal(0, 1, (1 << maxent_lm.ROW_BITS, 16)).astype(np.float32)
+    words = [w for w, _ in common] + rare
+    t = maxent_lm.Tokens(pa.array(["x"]))
+    t.hash = maxent_lm.word_hashes(words)
+    t.near, t.skip = np.full(len(words), 77, np.uint64), np.full(len(words), 99, np.uint64)
+    found = classes.find(t.hash)
+    assert found.tolist() == [*range(len(common)), *[len(common)] * len(rare)]
+    p = 10 ** maxent_lm.log_probabilities(classes, weights, t, found)
+    p[len(common) :] *= 1.1
+    # what the groups keep for unseen words, a word each
+    unseen_hash, left = {}, 0.0
+    k = 0
+    while len(unseen_hash) < 256:
+        w = f"unseen{k}".encode()
+        unseen_hash.setdefault(int(maxent_lm.groups_of(maxent_lm.word_hashes([w]))[0]), w)
+        k += 1
+    t.hash = maxent_lm.word_hashes(list(unseen_hash.values()))
+    t.near, t.skip = np.full(256, 77, np.uint64), np.full(256, 99, np.uint64)
+    left = (10 ** maxent_lm.log_probabilities(classes, weights, t, classes.find(t.hash)) * 0.1).sum()
+    assert p.sum() + left == pytest.approx(1, abs=1e-4)
+
+
 def test_lm_model_beats_the_unigram_base(spark):
     out = queries.op7_lm_scores(spark, "/root/testdata/sf0.01").toPandas()
     held = out[out.held_out]
@@ -430,25 +636,151 @@ def test_mixing(spark):
     assert mix.columns == docs.columns
     assert {(r["rid"], r["key"], r["size"], r["score"]) for r in mix.collect()} == {(7, "k", -1, 0.5)}
     assert mix.select(F.sum(F.size(F.split(F.trim("text"), r"\s+")))).first()[0] is not None
-    passes = mixing.draws(docs, shards=8).select(F.explode("passes").alias("p")).groupBy("p.shard").count().toPandas()
-    assert passes["count"].sum() == mix.count() and len(passes) <= 8
+    assert mix.count() == sum(len(x.split(",")) for x in got.shards if x)
+    assert Counter((r["doc_id"], r["text"]) for r in mix.select("doc_id", "text").collect()).keys() <= {(i, t) for i, t, _ in rows}
+
+
+def mixing_rows():
+    rng = random.Random(6)
+    made = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 40))), rng.choice("aab")) for i in range(300)]
+    made += [(None, " ".join(rng.choice(WORDS) for _ in range(100)), "null ids") for _ in range(300)]
+    return made + [(4000, "one text of rows that are equal", "equal")] * 400 + [(5000, " ".join(["long"] * 50_000), "c"), (5001, "", "d")] + EDGE
+
+
+def test_mixing_meets_targets_with_null_and_repeated_ids(spark):
+    got = mixing.taken(table(spark, mixing_rows())).toPandas()
+    assert len(got) == len(mixing_rows())
+    for _, g in got.groupby(["target", "source_size"]):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max() / 2 + 1
+    whole = mixing.mixture(table(spark, mixing_rows()))
+    words = lambda t: len(BLANK.findall((t or "").encode()))
+    sums, named = Counter(), {i: s for i, _, s in mixing_rows()}
+    for r in whole.collect():
+        sums[r["source"]] += words(r["text"])
+    sizes = Counter()
+    for _, t, s in mixing_rows():
+        sizes[s] += words(t)
+    for s, aim in mixing.targets(dict(sizes)).items():
+        assert abs(sums[s] - aim) <= max(words(t) for _, t, x in mixing_rows() if x == s) / 2 + 1, (s, named)
+
+
+@pytest.mark.parametrize("lost", [False, True])
+def test_mixing_by_plain_loops_over_the_draws_of_each_shard(spark, monkeypatch, lost):
+    """Blocks, permutations, cuts and shards worked out anew; with lost, a shard's quota is taken from the tree."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    tree, seen = mixing.split_tree, {}
+
+    def split(colors, shards, rng):
+        out = tree(colors, shards, rng)
+        if lost:
+            out[shards - 1] = 0
+        seen["numbers"], seen["quotas"] = [int(c) for c in colors], out
+        return out
+
+    monkeypatch.setattr(mixing, "split_tree", split)
+    docs = table(spark, mixing_rows())
+    got = Counter((r["doc_id"], r["size"], r["taken"], r["shards"]) for r in mixing.taken(docs, shards=8).collect())
+    keyed = docs.select("doc_id", "source", mixing.word_count().alias("size"), F.xxhash64("text").alias("its_hash")).groupBy(*mixing.KEY).count()
+    numbered = keyed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    rows = [(r["doc_id"], r["source"], r["size"], r["mark"]) for r in numbered.withColumn("mark", mixing.mark_of(mixing.SEED)).collect()]
+    sizes = Counter()
+    for _, s, n, _ in rows:
+        sizes[s] += n
+    aim, rng, expected = mixing.targets(dict(sizes)), np.random.default_rng(mixing.SEED), Counter()
+    for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or ""))):
+        n_blocks = max(1, sizes[s] // 300)
+        turns = [mixing.permutation(n_blocks, rng) for _ in range(3)]
+        draws = [sorted((x for x in rows if x[1] == s and (a * ((x[3] >> 16) % n_blocks) + c) % n_blocks == r), key=lambda x: x[3]) for a, c in turns for r in range(n_blocks)]
+        need, number, chosen = aim[s], 0, []
+        whole = int(min(3, math.floor(aim[s] / sizes[s] + 1e-12))) if sizes[s] else 0
+        need -= whole * sizes[s]
+        for number, block in enumerate(draws):
+            words = sum(x[2] for x in block)
+            if number < whole * n_blocks:
+                chosen.append(block)
+            elif need > 0:
+                so_far, part = 0, []
+                for x in block:
+                    so_far += x[2]
+                    if words >= need and so_far - x[2] / 2 > need:
+                        break
+                    part.append(x)
+                chosen.append(part)
+                need -= words
+        assert len(chosen) == seen["numbers"][k]
+        owner = [shard for shard, q in enumerate(seen["quotas"][:, k]) for _ in range(q)]
+        shards = defaultdict(list)
+        for part, shard in zip(chosen, owner, strict=False):
+            for x in part:
+                shards[x].append(str(shard))
+        for x in rows:
+            if x[1] == s:
+                expected[(x[0], x[2], x[2] * len(shards[x]), ",".join(shards[x]))] += 1
+    assert got == expected
 
 
-def brute_edits(rows):
-    ordered = sorted([r for r in rows if r[0] is not None], key=lambda r: (-r[0], (r[1] or "").encode("utf-8", "surrogatepass"))) + sorted([r for r in rows if r[0] is None], key=lambda r: (r[1] or ""))
+def brute_edits(spark, rows):
+    mark = {r["text"]: r["mark"] for r in table(spark, rows).select(F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), mark[r[1] or ""]))
     out = []
     for k, (i, t, _) in enumerate(ordered):
         t, nxt = t or "", ordered[(k + 1) % len(ordered)][1] or ""
         half = len(t) // 2
         new = (t[: len(t) - half] + nxt[:half]).encode("utf-8", "surrogatepass")
         own = fingerprint.digest(t.encode("utf-8", "surrogatepass"))
-        out.append((i, len(t), hashlib.sha256(new).hexdigest(), own, fingerprint.digest(new), round(fingerprint.likeness(own, fingerprint.digest(nxt.encode("utf-8", "surrogatepass"))), 9)))
+        out.append((i, len(t), hashlib.sha256(new).hexdigest(), own, fingerprint.digest(new), round(fingerprint.likeness(own, fingerprint.digest(new)), 9), round(fingerprint.likeness(own, fingerprint.digest(nxt.encode("utf-8", "surrogatepass"))), 9)))
     return out
 
 
+def brute_digest(text):
+    """The digest from plain counts of triplets."""
+    counts = [0] * 128
+    for k in range(len(text) - 2):
+        number = text[k] | text[k + 1] << 8 | text[k + 2] << 16
+        counts[(number * 2654435761 & 0xFFFFFFFF) >> 25] += 1
+    ranked = sorted(counts)
+    q = [ranked[31], ranked[63], ranked[95]]
+    bits = [sum(c > x for x in q) for c in counts]
+    body = bytes(bits[k] | bits[k + 1] << 2 | bits[k + 2] << 4 | bits[k + 3] << 6 for k in range(0, 128, 4))
+    if len(text) < 3:
+        body = text.ljust(32, b"\0")
+    first, second = (min(15, q[k] * 15 // q[2]) if q[2] else 0 for k in (0, 1))
+    return (bytes([min(255, round(8 * math.log2(len(text) + 1))), first << 4 | second]) + body).hex()
+
+
+def brute_likeness(a, b):
+    x, y = bytes.fromhex(a), bytes.fromhex(b)
+    total = min(30, 3 * abs(x[0] - y[0]) // 8) + sum(min(16, 2 * abs((x[1] >> s & 15) - (y[1] >> s & 15))) for s in (4, 0))
+    cost = {0: 0, 1: 1, 2: 2, 3: 6}
+    for p, q in zip(x[2:], y[2:], strict=True):
+        total += sum(cost[abs((p >> s & 3) - (q >> s & 3))] for s in (0, 2, 4, 6))
+    return max(0.0, 1 - total / (0.3 * (30 + 32 + 6 * 128)))
+
+
+def test_digests_and_likeness_from_plain_counts():
+    rng = random.Random(2)
+    made = [b"", b"a", b"ab", b"abc"] + [bytes(rng.randrange(97, 97 + rng.choice([2, 20])) for _ in range(rng.choice([10, 200, 3000]))) for _ in range(40)]
+    marks = [fingerprint.digest(x) for x in made]
+    assert marks == [brute_digest(x) for x in made]
+    assert all(fingerprint.likeness(a, b) == pytest.approx(brute_likeness(a, b)) for a in marks for b in marks)
+
+
+def test_fingerprints_of_many_rows_without_an_id_or_of_one(spark):
+    rng = random.Random(7)
+    made = [(rng.choice([None, None, 5, 5, k]), " ".join(rng.choice(WORDS) for _ in range(20)), "s") for k in range(400)]
+    docs = table(spark, made)
+    dealt = fingerprint.with_next(docs).where("not extra").groupBy("run").count().toPandas()
+    assert dealt["count"].max() < 80
+    got = fingerprint.edited_fingerprints(docs).collect()
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert Counter(tuple(round(r[c], 9) if c.startswith("near") else r[c] for c in names) for r in got) == Counter(brute_edits(spark, made))
+
+
 def test_fingerprints(spark, rows):
     got = fingerprint.edited_fingerprints(table(spark, rows)).collect()
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_next"], 9)) for r in got) == Counter(brute_edits(rows))
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    assert Counter(tuple(round(r[c], 9) if c.startswith("near") else r[c] for c in names) for r in got) == Counter(brute_edits(spark, rows))
     one = fingerprint.edited_fingerprints(table(spark, [(1, "abcdef", "s")])).collect()
     assert len(one) == 1 and one[0]["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest() and one[0]["near_next"] == 1.0
 

@@ -33,3 +33,29 @@ def test_stages(spark, tmp_path):
     assert sorted(got) == sorted(expected)
     ran = [(r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in P.run(spark, DATA).collect()]
     assert sorted(ran) == sorted(expected)
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, dropped array<long>, its_id long, its_mark long, row string, rid long, score double, kept boolean, n_words long, its_row string, mark long, passes int, lines string"
+
+
+def odd_documents(spark, clean):
+    more = [clean[0], clean[0], (None, None), (None, ""), (7001, " \n "), (7002, None), (None, clean[1][1]), (7003, clean[2][1] + "\n" + clean[3][1]), (7004, ("a long line of words\n" * 20 + clean[4][1] + "\n") * 3000)]
+    rows = [(i, t, "en", f"s{(i or 0) % 3}" if (i or 0) % 5 else None, None, [5], 6, 7, "r", 8, 5.5, True, 9, "q", 10, 11, "l") for i, t in clean + more]
+    return spark.createDataFrame(rows, EXTRA).repartition(3)
+
+
+def test_stages_take_odd_rows_and_clashing_columns(spark):
+    clean = [(r["doc_id"], r["text"]) for r in documents(spark, DATA).where("n_chars < 6000").collect()]
+    docs = odd_documents(spark, clean)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        got = out.drop("doc_id", "text", "lang", "source", "n_chars").distinct().collect()
+        assert [tuple(r) for r in got] == [([5], 6, 7, "r", 8, 5.5, True, 9, "q", 10, 11, "l")], name
+    assert P.STAGES[-1][1](spark, docs, DATA).count() == docs.count()
+
+
+def test_stages_of_empty_tables(spark):
+    docs = spark.createDataFrame([], EXTRA)
+    for _, stage in P.STAGES:
+        assert stage(spark, docs, DATA).count() == 0
