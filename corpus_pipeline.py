@@ -19,8 +19,7 @@ from tallyloom.llm.common import documents, labels, shared_dir
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality.quality(docs, labels(spark, sf_dir))
-    return judged.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality.good(docs, labels(spark, sf_dir))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids of each document."""
-    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")).drop("decoded")
+    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
