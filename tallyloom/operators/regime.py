@@ -11,8 +11,6 @@ from tallyloom.functions.stats import clip, ratio
 # Weights of the six signals and the cuts between regimes.
 WEIGHTS = {"trend": 0.30, "fear": 0.20, "momentum": 0.15, "breadth": 0.10, "curve": 0.10, "credit": 0.15}
 BULL, BEAR = 0.62, 0.38
-# Share of value lost by a sector for one point of rates.
-RATE_SENSITIVITY = {"Real Estate": 0.85, "Utilities": 0.70, "Technology": 0.60, "Financial Services": -0.30, "Energy": 0.20}
 
 
 def signals(market: Column, fear: Column, momentum: Column, breadth: Column, curve: Column, credit: Column) -> dict[str, Column]:

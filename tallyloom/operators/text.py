@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.stats import ratio
 
-# The sentiment lexicon and words in capitals that aren't tickers.
-POSITIVE = ["good", "great", "gain", "beat", "growth", "strong", "upgrade", "profit", "the", "on"]
-NEGATIVE = ["bad", "poor", "loss", "miss", "weak", "downgrade", "decline", "risk", "of", "and"]
+# The sentiment lexicon.
+POSITIVE = ["gain", "rise", "surge", "strong", "beat", "growth", "profit", "record", "buyback", "upgrade", "positive", "bullish", "ökar", "stiger", "rekord", "tillväxt", "vinst"]
+NEGATIVE = ["fall", "drop", "loss", "miss", "weak", "sell", "downgrade", "negative", "bearish", "cut", "decline", "risk", "faller", "minskar", "förlust", "svag", "sälj"]
+#: Words in capitals that aren't tickers.
 STOP = ["THE", "AND", "FOR", "CEO", "CFO", "IPO", "USA", "ETF", "GDP", "MIT", "GNU"]
 
 
@@ -18,8 +19,9 @@ def words(*ws: str) -> Column:
 
 
 def sentiment(c: str) -> Column:
-    """(positive - negative) / (positive + negative) over the distinct words of a text; 0 without any."""
-    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z]+"), F.lit(0)))
+    """(positive - negative) / (positive + negative) over the distinct words of a text; 0 without any or under five characters."""
+    words_of = F.array_distinct(F.split(F.lower(c), r"[ \t\n\x0b\f\r]+"))
+    found = F.when(F.length(F.trim(F.coalesce(c, F.lit("")))) >= 5, words_of).otherwise(F.array().cast("array<string>"))
     p, n = F.size(F.array_intersect(found, words(*POSITIVE))), F.size(F.array_intersect(found, words(*NEGATIVE)))
     return F.coalesce(ratio(p - n, p + n), F.lit(0.0))
 

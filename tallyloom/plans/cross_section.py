@@ -56,17 +56,26 @@ def rank_sql(v: str, up: bool = True, part: str = "as_of") -> str:
 
 
 def neutral_sql(columns: list[str], group: str, source: str, name: str) -> str:
-    return f"{name} AS (SELECT * REPLACE ({', '.join(f'{c} - median({c}) OVER (PARTITION BY as_of, {group}) AS {c}' for c in columns)}) FROM {source})"
+    """Columns less their group's median: half the lower and half the upper middle value, summed as Spark does."""
+    return f"{name} AS (SELECT * REPLACE ({', '.join(f'{c} - (0.5 * quantile_disc({c}, 0.5) OVER (PARTITION BY as_of, {group}) - 0.5 * quantile_disc(-{c}, 0.5) OVER (PARTITION BY as_of, {group})) AS {c}' for c in columns)}) FROM {source})"
+
+
+def between(values: str, p: float) -> str:
+    """A quantile of a sorted list: its two neighbours weighted as Spark does, so that both engines' last bits agree."""
+    at = f"((len({values}) - 1) * {p}::DOUBLE)"
+    low, high = (f"{values}[CAST({f}({at}) AS BIGINT) + 1]" for f in ("floor", "ceil"))
+    return f"CASE WHEN {low} = {high} THEN {low} ELSE (ceil({at}) - {at}) * {low} + ({at} - floor({at})) * {high} END"
 
 
 def metrics_sql(source: str, keep: str = "*") -> str:
     """CTEs mm, q, ww, rr: metrics, bounds, winsorized values, ranks."""
     m = ", ".join(f"{e} AS {n}" for n, (e, _, _) in SQL_METRICS.items())
     bounded = {n: b for n, (_, _, b) in SQL_METRICS.items() if b}
-    q = ", ".join(f"quantile_cont({n}, {lo}) AS lo_{n}, quantile_cont({n}, {hi}) AS hi_{n}" for n, (lo, hi) in bounded.items())
+    lists = ", ".join(f"list_sort(list({n}) FILTER ({n} IS NOT NULL)) AS l_{n}" for n in bounded)
+    q = ", ".join(f"{between(f'l_{n}', lo)} AS lo_{n}, {between(f'l_{n}', hi)} AS hi_{n}" for n, (lo, hi) in bounded.items())
     w = ", ".join(f"CASE WHEN {n} < lo_{n} THEN lo_{n} WHEN {n} > hi_{n} THEN hi_{n} ELSE {n} END AS {n}" for n in bounded)
     r = ", ".join(f"CASE WHEN count({n}) OVER (PARTITION BY as_of) >= 5 THEN {rank_sql(n, up)} END AS {n}" for n, (_, up, _) in SQL_METRICS.items())
-    return f"mm AS (SELECT {keep}, {m} FROM {source}), q AS (SELECT as_of, {q} FROM mm GROUP BY as_of), ww AS (SELECT mm.* REPLACE ({w}) FROM mm JOIN q USING (as_of)), rr AS (SELECT ww.* REPLACE ({r}) FROM ww)"
+    return f"mm AS (SELECT {keep}, {m} FROM {source}), ql AS (SELECT as_of, {lists} FROM mm GROUP BY as_of), q AS (SELECT as_of, {q} FROM ql), ww AS (SELECT mm.* REPLACE ({w}) FROM mm JOIN q USING (as_of)), rr AS (SELECT ww.* REPLACE ({r}) FROM ww)"
 
 
 def mean_sql(*cs: str) -> str:
@@ -170,7 +179,7 @@ def scr_03_region_neutral(t: Tables):
     return X.neutralise_regions(base(t)).select("ticker", "exchange_group", *[r6(c) for c in X.REGION_COLUMNS])
 
 
-@query(f"WITH {GROUPED}, {neutral_sql(X.REGION_COLUMNS, 'grp', 'g', 'n1')}, {neutral_sql(X.SECTOR_COLUMNS, chr(99) + 'oalesce(sector, ' + repr('Unknown') + ')', 'n1', 'n2')} SELECT ticker, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in X.SECTOR_COLUMNS)} FROM n2", "xsection")
+@query(f"WITH {GROUPED}, {neutral_sql(X.REGION_COLUMNS, 'grp', 'g', 'n1')}, {neutral_sql(X.SECTOR_COLUMNS, "coalesce(sector, 'Unknown')", 'n1', 'n2')} SELECT ticker, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in X.SECTOR_COLUMNS)} FROM n2", "xsection")
 def scr_04_sector_neutral(t: Tables):
     return X.neutralise_sectors(X.neutralise_regions(base(t))).select("ticker", *[r6(c) for c in X.SECTOR_COLUMNS])
 
@@ -349,11 +358,12 @@ def agg_05_coverage(t: Tables):
     return long.groupBy("metric").agg(F.count("v").alias("n"), r6(F.count("v") * 100 / F.count("*"), "pct"), r6(F.avg("v"), "mean"))
 
 
-@query("SELECT ticker, round(return_3m - CASE sector WHEN 'Technology' THEN 0.05 WHEN 'Energy' THEN -0.02 ELSE 0.01 END, 6) AS relative, CASE WHEN return_3m - CASE sector WHEN 'Technology' THEN 0.05 WHEN 'Energy' THEN -0.02 ELSE 0.01 END > 0.05 THEN 'STRONG' WHEN return_3m - CASE sector WHEN 'Technology' THEN 0.05 WHEN 'Energy' THEN -0.02 ELSE 0.01 END < -0.05 THEN 'WEAK' ELSE 'IN_LINE' END AS label FROM xsection", "xsection")
+@query("WITH p AS (SELECT sector, avg(return_3m) AS proxy FROM xsection GROUP BY sector), r AS (SELECT ticker, round(return_3m - proxy, 6) AS relative FROM xsection x JOIN p ON p.sector IS NOT DISTINCT FROM x.sector) SELECT ticker, relative, CASE WHEN relative > 0.05 THEN 'STRONG' WHEN relative < -0.05 THEN 'WEAK' ELSE 'IN_LINE' END AS label FROM r", "xsection")
 def scr_35_relative_strength(t: Tables):
-    proxy = C.lookup({"Technology": 0.05, "Energy": -0.02}, F.col("sector"), 0.01)
-    rel = F.col("return_3m") - proxy
-    return t.xsection.select("ticker", r6(rel, "relative"), F.when(rel > 0.05, "STRONG").when(rel < -0.05, "WEAK").otherwise("IN_LINE").alias("label"))
+    """Three-month return less that of the sector, whose mean stands for a sector fund."""
+    proxy = t.xsection.groupBy(F.col("sector").alias("its_sector")).agg(F.avg("return_3m").alias("proxy"))
+    rel = t.xsection.join(proxy, F.col("sector").eqNullSafe(F.col("its_sector"))).select("ticker", r6(F.col("return_3m") - F.col("proxy"), "relative"))
+    return rel.withColumn("label", F.when(F.col("relative") > 0.05, "STRONG").when(F.col("relative") < -0.05, "WEAK").otherwise("IN_LINE"))
 
 
 @query("SELECT currency, round(sum(market_cap), 2) AS value, round(sum(market_cap) * 0.01, 2) AS impact_1, round(sum(market_cap) * 0.05, 2) AS impact_5, round(sum(market_cap) * 0.10, 2) AS impact_10 FROM xsection WHERE market_cap IS NOT NULL GROUP BY currency", "xsection")

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.stats import average_rank, known, normal_cdf, pct_rank, quantile_bucket, ratio
+from tallyloom.operators import candidates as K
 from tallyloom.operators import cleaning as C
 from tallyloom.operators import factors as X
 from tallyloom.operators import regime as R
@@ -27,14 +28,18 @@ def scr_39_market_regime(t: Tables):
     return R.regimes(t.bars).where("composite is not null").select("ticker", "ts", r6("composite"), "regime")
 
 
-RATES = case_map("sector", R.RATE_SENSITIVITY, "0.4")
+SENSITIVITY, DURATION = ({s: v[k] for s, v in K.RATES.items()} for k in (0, 1))
+SENS, DUR = (f"CASE sector {' '.join(f"WHEN '{s}' THEN {x}" for s, x in table.items())} ELSE {table['Unknown']} END" for table in (SENSITIVITY, DURATION))
 
 
-@query(f"SELECT sector, round(sum(market_cap * {RATES}) / sum(market_cap), 6) AS sensitivity, round(sum(market_cap * {RATES}) * 0.01, 2) AS impact FROM xsection WHERE market_cap IS NOT NULL AND sector IS NOT NULL GROUP BY sector", "xsection")
+@query(f"WITH w AS (SELECT coalesce(currency, '') AS currency, round(sum(market_cap * {SENS}) / sum(market_cap), 1) AS sensitivity, round(sum(market_cap * {DUR}) / sum(market_cap), 1) AS duration FROM xsection WHERE market_cap IS NOT NULL GROUP BY 1) SELECT *, round(-duration, 1) AS impact_of_one_point, CASE WHEN sensitivity >= 7 THEN 'high' WHEN sensitivity >= 5 THEN 'medium' ELSE 'low' END AS level FROM w", "xsection")
 def scr_41_rate_sensitivity(t: Tables):
-    x = t.xsection.where("market_cap is not null and sector is not null").withColumn("s", C.lookup(R.RATE_SENSITIVITY, F.col("sector"), 0.4))
-    v = F.sum(F.col("market_cap") * F.col("s"))
-    return x.groupBy("sector").agg(r6(ratio(v, F.sum("market_cap")), "sensitivity"), F.round(v * 0.01, 2).alias("impact"))
+    """Value-weighted sensitivity and duration of the holdings in each currency."""
+    x = t.xsection.where("market_cap is not null").withColumn("currency", F.coalesce("currency", F.lit("")))
+    weighted = lambda table, name: F.round(ratio(F.sum(F.col("market_cap") * C.lookup(table, F.col("sector"), table["Unknown"])), F.sum("market_cap")), 1).alias(name)
+    w = x.groupBy("currency").agg(weighted(SENSITIVITY, "sensitivity"), weighted(DURATION, "duration"))
+    level = F.when(F.col("sensitivity") >= 7, "high").when(F.col("sensitivity") >= 5, "medium").otherwise("low")
+    return w.select("*", F.round(-F.col("duration"), 1).alias("impact_of_one_point"), level.alias("level"))
 
 
 @query("SELECT month, ticker, greatest(0, CAST(ceil((k - 1) * 5 / nullif(n - 1, 0)) AS BIGINT) - 1) AS label FROM (SELECT month, ticker, row_number() OVER (PARTITION BY month ORDER BY actual, ticker) AS k, count(*) OVER (PARTITION BY month) AS n FROM panel) WHERE n >= 5", "panel")
@@ -137,10 +142,27 @@ def prj_13_names(t: Tables):
     return t.part.select("p_partkey", F.when(F.contains(low, F.lit("brass")), "fund").when(F.contains(low, F.lit("steel")), "bond").otherwise("stock").alias("kind"), F.trim(F.regexp_replace(F.lower("p_name"), "[^a-z0-9]+", " ")).alias("clean"))
 
 
-@query("SELECT ticker, round(CASE WHEN pe_trailing < 6 OR pe_trailing > 200 THEN NULL ELSE pe_trailing END, 6) AS pe_trailing, round(CASE WHEN current_ratio > 20 THEN NULL WHEN current_ratio < 0 THEN 0 ELSE current_ratio END, 6) AS current_ratio FROM xsection", "xsection")
+MARGINS = ["roe", "roa", "gross_margin", "operating_margin"]
+SANE = ", ".join(
+    [
+        *[f"round(CASE WHEN {c} >= 6 AND {c} <= 200 THEN {c} END, 6) AS {c}" for c in ("pe_trailing", "pe_forward")],
+        "round(CASE WHEN dividend_yield < 0 THEN NULL WHEN dividend_yield > 0.1 THEN dividend_yield / 100 ELSE dividend_yield END, 6) AS dividend_yield",
+        "round(CASE WHEN debt_to_equity > 200 THEN NULL WHEN debt_to_equity < 0 THEN 0 ELSE debt_to_equity END, 6) AS debt_to_equity",
+        "round(CASE WHEN current_ratio > 20 THEN NULL WHEN current_ratio < 0 THEN 0 ELSE current_ratio END, 6) AS current_ratio",
+        *[f"round(CASE WHEN abs({c}) <= 5 THEN {c} END, 6) AS {c}" for c in MARGINS],
+    ]
+)
+
+
+@query(f"SELECT ticker, {SANE} FROM xsection", "xsection")
 def prj_03_save_sanity(t: Tables):
-    pe, cr = F.col("pe_trailing"), F.col("current_ratio")
-    return t.xsection.select("ticker", r6(F.when(~known((pe < 6) | (pe > 200)), pe), "pe_trailing"), r6(F.when(~known(cr > 20), F.when(cr.isNotNull(), F.greatest(cr, F.lit(0.0)))), "current_ratio"))
+    c = F.col
+    held = lambda x, most: F.when(c(x) <= most, F.greatest(c(x), F.lit(0.0)))
+    columns = {x: F.when(c(x).between(6, 200), c(x)) for x in ("pe_trailing", "pe_forward")}
+    columns["dividend_yield"] = F.when(c("dividend_yield") > 0.1, c("dividend_yield") / 100).when(c("dividend_yield") >= 0, c("dividend_yield"))
+    columns |= {"debt_to_equity": held("debt_to_equity", 200), "current_ratio": held("current_ratio", 20)}
+    columns |= {x: F.when(F.abs(x) <= 5, c(x)) for x in MARGINS}
+    return t.xsection.select("ticker", *[r6(e, n) for n, e in columns.items()])
 
 
 @query("SELECT ticker FROM xsection WHERE ticker IN (SELECT ticker FROM xsection WHERE pk % 50 = 0)", "xsection")
@@ -154,7 +176,7 @@ def flt_16_changed_rows(t: Tables):
     return t.snapshots.withColumn("delta", d).where("delta <> 0").select("ticker", "snapshot_date", "delta")
 
 
-@query("SELECT s.ticker, s.snapshot_date, s.score_total - p.score_total AS delta FROM snapshots s LEFT JOIN snapshots p ON upper(s.ticker) = upper(p.ticker) AND p.snapshot_date = s.snapshot_date - INTERVAL 1 MONTH WHERE month(s.snapshot_date) = 6", "snapshots")
+@query("SELECT s.ticker, s.snapshot_date, s.score_total - p.score_total AS delta FROM snapshots s LEFT JOIN snapshots p ON upper(s.ticker) = upper(p.ticker) AND p.snapshot_date = s.snapshot_date - INTERVAL 1 MONTH", "snapshots")
 def jn_07_08_previous_scores(t: Tables):
     s = t.snapshots
     p = s.select(F.upper("ticker").alias("key"), F.add_months("snapshot_date", 1).alias("snapshot_date"), F.col("score_total").alias("was"))

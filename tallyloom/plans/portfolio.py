@@ -41,10 +41,10 @@ def agg_13_14_concentration(t: Tables):
     return w.agg(r6(F.max("w"), "max_weight"), r6(F.sum(F.col("w") * F.col("w")), "herfindahl")).crossJoin(top.select(r6("top3")))
 
 
-TARGET = "tgt AS (SELECT s_suppkey AS ticker, (1 + s_suppkey % 3) * 1.0 / sum(1 + s_suppkey % 3) OVER () AS target FROM supplier WHERE s_suppkey % 2 = 0)"
+TARGET = "tgt AS (SELECT s_suppkey AS ticker, (1 + s_suppkey % 3) * 1.0 / sum(1 + s_suppkey % 3) OVER () AS target FROM supplier)"
 
 
-@query(f"WITH v AS (SELECT ticker, sum(shares * price) AS value FROM ledger WHERE ticker % 3 <> 0 GROUP BY ticker), c AS (SELECT ticker, value / sum(value) OVER () AS weight FROM v), {TARGET}, d AS (SELECT coalesce(c.ticker, tgt.ticker) AS ticker, coalesce(weight, 0) - coalesce(target, 0) AS drift FROM c FULL JOIN tgt ON c.ticker = tgt.ticker) SELECT ticker, round(drift, 6) AS drift, CASE WHEN drift > 0.005 THEN 'SELL' WHEN drift < -0.005 THEN 'BUY' ELSE 'HOLD' END AS action FROM d", "ledger")
+@query(f"WITH v AS (SELECT ticker, sum(shares * price) AS value FROM ledger GROUP BY ticker), c AS (SELECT ticker, value / sum(value) OVER () AS weight FROM v), {TARGET}, d AS (SELECT coalesce(c.ticker, tgt.ticker) AS ticker, coalesce(weight, 0) - coalesce(target, 0) AS drift FROM c FULL JOIN tgt ON c.ticker = tgt.ticker) SELECT ticker, round(drift, 6) AS drift, CASE WHEN drift > 0.005 THEN 'SELL' WHEN drift < -0.005 THEN 'BUY' ELSE 'HOLD' END AS action FROM d", "ledger")
 def jn_20_pf_12_drift(t: Tables):
     v = t.ledger.groupBy("ticker").agg(F.sum(F.col("shares") * F.col("price")).alias("value"))
     c = v.crossJoin(F.broadcast(v.agg(F.sum("value").alias("total")))).select("ticker", ratio("value", "total").alias("weight"))
@@ -54,7 +54,14 @@ def jn_20_pf_12_drift(t: Tables):
     return d.select("ticker", r6("drift"), F.when(F.col("drift") > 0.005, "SELL").when(F.col("drift") < -0.005, "BUY").otherwise("HOLD").alias("action"))
 
 
-SHOCKS = [("crash", "Technology", -0.45), ("crash", "_default_", -0.30), ("rates", "Real Estate", -0.25), ("rates", "_default_", -0.08)]
+# Shocks of four scenarios by sector.
+SCENARIOS = {
+    "financial crisis": {"_default_": -0.40, "Financial Services": -0.55, "Real Estate": -0.50, "Technology": -0.35, "Consumer Cyclical": -0.45, "Energy": -0.30, "Utilities": -0.20, "Healthcare": -0.20, "Consumer Defensive": -0.15},
+    "pandemic": {"_default_": -0.35, "Travel/Hospitality": -0.60, "Energy": -0.50, "Consumer Cyclical": -0.40, "Technology": -0.20, "Healthcare": -0.15, "Utilities": -0.15, "Consumer Defensive": -0.10},
+    "rate shock": {"_default_": -0.15, "Real Estate": -0.35, "Utilities": -0.25, "Technology (High Growth)": -0.25, "Financial Services": 0.05, "Energy": -0.05},
+    "stagflation": {"_default_": -0.20, "Consumer Cyclical": -0.35, "Technology": -0.30, "Energy": 0.10, "Basic Materials": 0.05, "Consumer Defensive": -0.05, "Healthcare": -0.05, "Utilities": -0.15},
+}
+SHOCKS = [(scenario, sector, shock) for scenario, shocks in SCENARIOS.items() for sector, shock in shocks.items()]
 VALUES = ", ".join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in SHOCKS)
 
 

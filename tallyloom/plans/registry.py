@@ -28,4 +28,4 @@ def flagship(spark: SparkSession, path: str) -> DataFrame:
     return QUERIES["flagship_top_signals"](spark, path)
 
 
-from tallyloom.plans import allocation, cross_section, evaluation, fundamentals, history, indicators, operations, portfolio, series, simulation, streams, text_and_sets  # noqa: E402, F401
+from tallyloom.plans import allocation, cross_section, evaluation, fundamentals, history, indicators, operations, portfolio, screening, series, simulation, streams, text_and_sets  # noqa: E402, F401

@@ -13,7 +13,7 @@ from tallyloom.sources.catalog import Tables
 q = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
 
 
-@query(f"WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS ws FROM conversations), c AS (SELECT conv_id, turn, len(list_intersect(ws, {q(X.POSITIVE)})) AS p, len(list_intersect(ws, {q(X.NEGATIVE)})) AS n FROM w) SELECT conv_id, turn, CASE WHEN p + n > 0 THEN round((p - n) * 1.0 / (p + n), 6) ELSE 0.0 END AS sentiment FROM c")
+@query(f"WITH w AS (SELECT conv_id, turn, CASE WHEN length(trim(coalesce(text, ''))) < 5 THEN []::VARCHAR[] ELSE list_distinct(regexp_split_to_array(lower(text), '[ \\t\\n\\x0b\\f\\r]+')) END AS ws FROM conversations), c AS (SELECT conv_id, turn, len(list_intersect(ws, {q(X.POSITIVE)})) AS p, len(list_intersect(ws, {q(X.NEGATIVE)})) AS n FROM w) SELECT conv_id, turn, CASE WHEN p + n > 0 THEN round((p - n) * 1.0 / (p + n), 6) ELSE 0.0 END AS sentiment FROM c")
 def fn_10_lexicon_sentiment(t: Tables):
     return t.conversations.select("conv_id", "turn", r6(X.sentiment("text"), "sentiment"))
 
