@@ -41,12 +41,13 @@ from tallyloom.llm.common import ByteWords, cut_rows, mix64, pick
 from tallyloom.llm.pieces import PieceTable, cuts, load, special_texts, table_for, text_bytes
 
 WINDOW, CHUNK_BITS = 8, 7  # a chunk has about 2^CHUNK_BITS bytes
-CHUNKS = 400_000
+CHUNKS = 100_000
 #: One pre-token in normal form: small Latin letters that every version of Unicode in use knows.
 PLAIN = "[a-zß-öø-ÿ]+"
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SPELL_LIMIT = 4_000_000  # ids spelt at a time
+SPELL = 65_536  # ids spelt at a time
+PART = 1_000_000  # bytes of text worked on at a time
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -75,10 +76,14 @@ class Speller:
 
     def spell(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The decoded bytes of runs of ids: from ends[k] to ends[k + 1]."""
-        size = self.length[ids]
-        at = np.concatenate([[0], np.cumsum(size)])
-        data = self.bytes[np.arange(at[-1]) + np.repeat(self.offset[ids] - at[:-1], size)].tobytes()
-        bounds = at[ends].tolist()
+        parts = []
+        for low in range(0, len(ids), SPELL):
+            some = ids[low : low + SPELL]
+            size = self.length[some]
+            before = np.cumsum(size) - size
+            parts.append(self.bytes[np.arange(size.sum()) + np.repeat(self.offset[some] - before, size)].tobytes())
+        data = b"".join(parts)
+        bounds = np.concatenate([[0], np.cumsum(self.length[ids])])[ends].tolist()
         out = [data[a : b - self.between if b > a else b] for a, b in zip(bounds, bounds[1:], strict=False)]
         # bytes that aren't UTF-8 become the replacement character, as in the library
         return out if self.between else [x.decode("utf-8", "replace").encode() for x in out]
@@ -162,13 +167,13 @@ class ChunkCoder:
 
 
 def least_chunk(texts: pa.Array, hashes: ByteWords) -> np.ndarray:
-    """The least hash of each text's chunks; 0 for an empty text."""
+    """A name for each text from the least hash of its chunks, mixed again, as long texts have smaller ones; 0 for an empty text."""
     data, offsets = text_bytes(texts)
     start, end = chunk_spans(data, offsets)
     out = np.zeros(len(texts), np.uint64)
     full = np.diff(offsets) > 0
     if len(start):
-        out[full] = np.minimum.reduceat(mix64(hashes.of(data, start, end)), np.searchsorted(start, offsets[:-1][full]))
+        out[full] = mix64(np.minimum.reduceat(mix64(hashes.of(data, start, end)), np.searchsorted(start, offsets[:-1][full])))
     return out.view(np.int64)
 
 
@@ -178,7 +183,7 @@ def by_chunks(docs: DataFrame) -> DataFrame:
     def run(batches):
         hashes = ByteWords()
         for batch in batches:
-            for part in cut_rows(batch, "text", 2_000_000):
+            for part in cut_rows(batch, "text", PART):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least_chunk(part.column("text"), hashes))], names=["doc_id", "text", "name"])
 
     texts = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -194,7 +199,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches):
         coder, speller = ChunkCoder(shared.value), Speller(shared.value)
         for batch in batches:
-            for part in cut_rows(batch, "text", 2_000_000):
+            for part in cut_rows(batch, "text", PART):
                 flat, ends = coder.encode(part.column("text"))
                 data = flat.astype("<u4").tobytes()
                 at = (4 * ends).tolist()

@@ -23,8 +23,8 @@ import pyarrow as pa
 from tallyloom.llm.common import mix64
 
 SHORT = 15
-SLOT_BITS = 21
-PIECES = 2_000_000
+SLOT_BITS = 20
+PIECES = 800_000
 BLANK, LINE_END, MARK, NEXT_OK, PREV_OK, ALNUM, CONTINUED = 1, 2, 4, 8, 16, 32, 64
 
 
