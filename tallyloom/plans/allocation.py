@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from tallyloom.functions import series as S
 from tallyloom.functions.stats import clip, known, ratio
 from tallyloom.operators import allocation as A
 from tallyloom.operators import strategies as G
+from tallyloom.operators.search import genetic, random_candidates
 from tallyloom.plans.cross_section import r6
 from tallyloom.plans.registry import query
 from tallyloom.plans.series import CH, W, roll
@@ -60,23 +63,51 @@ def pf_18_monte_carlo(t: Tables):
 SWEEP = [(5, 20), (10, 50), (20, 100)]
 
 
-def sweep_sql() -> str:
+def sweep_sql(pairs=tuple(SWEEP)) -> str:
     parts = []
-    for f, s in SWEEP:
+    for f, s in pairs:
         parts.append(f"SELECT ticker, {f} AS fast, {s} AS slow, avg(coalesce(x, 0)) / nullif(stddev_samp(coalesce(x, 0)), 0) * sqrt(252) AS sharpe FROM (SELECT ticker, lag(CASE WHEN f > s THEN 1 WHEN f < s THEN -1 ELSE 0 END) OVER ({W}) * r AS x FROM (SELECT ticker, ts, r, {roll('avg', 'close', f)} AS f, {roll('avg', 'close', s)} AS s FROM ch)) GROUP BY ticker")
-    return f"WITH {CH}, s AS ({' UNION ALL '.join(parts)}) SELECT ticker, fast::BIGINT AS fast, slow::BIGINT AS slow, round(sharpe, 5) AS sharpe, row_number() OVER (PARTITION BY ticker ORDER BY round(sharpe, 9) DESC, fast) AS place FROM s"
+    return f"WITH {CH}, s AS ({' UNION ALL '.join(parts)}) SELECT ticker, fast::BIGINT AS fast, slow::BIGINT AS slow, round(sharpe, 5) AS sharpe, row_number() OVER (PARTITION BY ticker ORDER BY round(sharpe, 9) DESC, fast, slow) AS place FROM s"
 
 
 @query(sweep_sql(), "bars")
 def bt_09_parameter_sweep(t: Tables):
     """Each pair of window lengths on each series, ranked by Sharpe ratio: the parameters are rows like any others."""
+    return placed(sweep(t, SWEEP))
+
+
+def sweep(t: Tables, pairs):
+    """ticker, fast, slow, sharpe of moving-average crosses for each pair of window lengths."""
     runs = []
-    for fast, slow in SWEEP:
-        m = G.metrics(G.backtest(G.ma_cross(t.bars, fast, slow))).select("ticker", F.lit(fast).cast("long").alias("fast"), F.lit(slow).cast("long").alias("slow"), "sharpe")
-        runs.append(m)
-    every = runs[0].unionByName(runs[1]).unionByName(runs[2])
-    place = F.row_number().over(Window.partitionBy("ticker").orderBy(F.round("sharpe", 9).desc(), "fast")).cast("long")
-    return every.withColumn("place", place).withColumn("sharpe", F.round("sharpe", 5))
+    for fast, slow in pairs:
+        runs.append(G.metrics(G.backtest(G.ma_cross(t.bars, fast, slow))).select("ticker", F.lit(fast).cast("long").alias("fast"), F.lit(slow).cast("long").alias("slow"), "sharpe"))
+    return reduce(lambda a, b: a.unionByName(b), runs)
+
+
+def placed(runs):
+    place = F.row_number().over(Window.partitionBy("ticker").orderBy(F.round("sharpe", 9).desc(), "fast", "slow")).cast("long")
+    return runs.withColumn("place", place).withColumn("sharpe", F.round("sharpe", 5))
+
+
+DRAWN = random_candidates([[3, 5, 8, 10, 15, 20], [25, 40, 60, 90, 120]], 5)
+
+
+@query(sweep_sql(DRAWN), "bars")
+def bt_10_random_search(t: Tables):
+    """Seeded draws of window lengths, valued and ranked like the sweep."""
+    return placed(sweep(t, DRAWN))
+
+
+@query(None)
+def bt_11_genetic_search(t: Tables):
+    """Best mean Sharpe ratio over all series by generation; each generation's new pairs are one job."""
+
+    def values(pairs):
+        rows = sweep(t, pairs).groupBy("fast", "slow").agg(F.avg("sharpe").alias("v")).collect()  # a number a candidate
+        return {(r["fast"], r["slow"]): float("-inf") if r["v"] is None else r["v"] for r in rows}
+
+    found = genetic(values, [[3, 5, 8, 10, 15, 20], [25, 40, 60, 90, 120]], size=4, generations=3)
+    return t.spark.createDataFrame([(g, *c, v) for g, c, v in found], "generation long, fast long, slow long, sharpe double")
 
 
 MONTHLY = f"""WITH m AS (SELECT ticker, CAST(date_trunc('month', ts) AS DATE) AS month, arg_max(close, ts) AS close FROM bars GROUP BY 1, 2),

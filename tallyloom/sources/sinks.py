@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,23 @@ def read_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str = "UT
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Metric logs; broken lines are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """A snapshot's Parquet files (path.parquet), or if there are none its CSV twin (path.csv) as text; names are stripped."""
+    if exists(spark, f"{path}.parquet"):
+        df = spark.read.parquet(f"{path}.parquet")
+    else:
+        df = spark.read.option("header", True).csv(f"{path}.csv")
+    return df.toDF(*[c.strip() for c in df.columns])
+
+
+def swedish_number(c) -> Column:
+    """A number written with blanks between thousands and a decimal comma; null if it isn't one."""
+    text = F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"[\s\u00a0\u202f]", "")
+    return F.replace(F.replace(text, F.lit("\u2212"), F.lit("-")), F.lit(","), F.lit(".")).try_cast("double")
+
+
+def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Files that are one JSON document each (lists of watched or barred names, alerts)."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
