@@ -189,14 +189,15 @@ def oracle() -> str:
     cue = " OR ".join(f"contains(low, {q(c)})" for c in CUES)
     pattern = "|".join(re.escape(r).replace(r"\-", "-") for r in runs)
 
-    def ids_by(cut: str) -> str:
-        return f"""CASE WHEN {cue} THEN list_filter(list_transform(regexp_split_to_array(low, {q(cut)}),
-  lambda s: map_extract({as_map(table)}, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')))[1]), lambda i: i IS NOT NULL) ELSE []::VARCHAR[] END"""
+    def id_of(sentence: str) -> str:
+        return f"map_extract(t, trim(regexp_replace({sentence}, '[^a-z0-9]+', ' ', 'g')))[1]"
 
     return f"""
-WITH l AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
-p AS (SELECT doc_id, len(regexp_extract_all(low, {q(LINES)})) AS n_cuts, {ids_by(LINES)} AS by_line, {ids_by(PARAGRAPHS)} AS by_paragraph FROM l),
-f AS (SELECT doc_id, n_cuts, CASE WHEN len(by_paragraph) > len(by_line) THEN by_paragraph ELSE by_line END AS ids FROM p),
+WITH known AS (SELECT {as_map(table)} AS t),
+l AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
+p AS (SELECT doc_id, len(regexp_extract_all(low, {q(LINES)})) AS n_cuts, CASE WHEN {cue} THEN list_transform(regexp_split_to_array(low, {q(PARAGRAPHS)}),
+  lambda s: CASE WHEN {id_of('s')} IS NOT NULL THEN [{id_of('s')}] ELSE list_transform(regexp_split_to_array(s, '\n+'), lambda x: {id_of('x')}) END) ELSE []::VARCHAR[][] END AS pieces FROM l, known),
+f AS (SELECT doc_id, n_cuts, list_filter(flatten(pieces), lambda i: i IS NOT NULL) AS ids FROM p),
 h AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(array_to_string(list_transform(ids, lambda i: '<' || i || '>'), ''), {q(pattern)}), lambda r: map_extract({as_map(runs)}, r)[1]))) AS hits FROM f)
 SELECT doc_id, n_cuts::BIGINT AS n_cuts, len(ids)::BIGINT AS n_known, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
   coalesce(array_to_string(hits, ','), '') AS licenses, len(hits)::BIGINT AS n_licenses FROM h

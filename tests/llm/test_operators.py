@@ -183,6 +183,16 @@ def test_licenses_of_both_layouts_in_one_text(spark, text, found):
     assert licenses.scan(table(spark, [(1, text, "s")])).first()["licenses"] == found
 
 
+def test_licenses_of_both_layouts_match_sql(spark):
+    both = [f"{MIT}\n\n{GPL}", f"{GPL}\n\n{MIT}", f"{GPL}.\n{MIT}\nThis work is licensed\nunder CC BY 4.0", f"x\n{GPL}\n", MIT.replace("\n", " "), "permission", "\n\n", "", None]
+    names = ["doc_id", "n_cuts", "n_known", "sentence_ids", "licenses", "n_licenses"]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array(range(len(both)), pa.int64()), "text": pa.array(both, pa.string())}))
+    theirs = con.execute(f"SELECT {', '.join(names)} FROM ({licenses.oracle()})").fetchall()
+    mine = licenses.scan(table(spark, [(i, text, "s") for i, text in enumerate(both)])).select(*names).collect()
+    assert sorted(map(tuple, mine)) == sorted(theirs) and dict(zip(names, sorted(theirs)[0], strict=True))["licenses"] == "GPL-3.0-only,MIT"
+
+
 def test_license_rules_are_ordered(spark):
     sentences = {"a": "software one", "b": "software two"}
     rules = [("BOTH", ["a", "b"]), ("FIRST", ["a"]), ("SECOND", ["b"])]
