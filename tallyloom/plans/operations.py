@@ -165,9 +165,13 @@ def prj_03_save_sanity(t: Tables):
     return t.xsection.select("ticker", *[r6(e, n) for n, e in columns.items()])
 
 
-@query("SELECT ticker FROM xsection WHERE ticker IN (SELECT ticker FROM xsection WHERE pk % 50 = 0)", "xsection")
+@query("WITH b AS (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) > 0.4) SELECT ticker, CASE WHEN pk IN (SELECT l_partkey FROM b) THEN 'blacklisted' ELSE 'failed lookup' END AS reason FROM xsection WHERE pk IN (SELECT l_partkey FROM b) OR market_cap IS NULL OR avg_volume IS NULL", "xsection")
 def flt_17_blacklisted(t: Tables):
-    return t.xsection.join(t.xsection.where("pk % 50 = 0").select("ticker"), "ticker", "left_semi").select("ticker")
+    """Parts that mostly come back stand for the blacklist, names without size or volume for failed lookups."""
+    back = F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0))
+    listed = t.lineitem.groupBy(F.col("l_partkey").alias("pk")).agg(back.alias("back")).where("back > 0.4").select("pk", F.lit(True).alias("listed"))
+    x = t.xsection.join(listed, "pk", "left").where("listed or market_cap is null or avg_volume is null")
+    return x.select("ticker", F.when(F.col("listed"), "blacklisted").otherwise("failed lookup").alias("reason"))
 
 
 @query("WITH d AS (SELECT *, score_total - lag(score_total) OVER (PARTITION BY ticker ORDER BY snapshot_date) AS delta FROM snapshots) SELECT ticker, snapshot_date, delta FROM d WHERE delta <> 0", "snapshots")
@@ -183,9 +187,9 @@ def jn_07_08_previous_scores(t: Tables):
     return s.withColumn("key", F.upper("ticker")).join(p, ["key", "snapshot_date"], "left").select("ticker", "snapshot_date", (F.col("score_total") - F.col("was")).alias("delta"))
 
 
-@query("WITH a AS (SELECT user_id % 200 AS pk, sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) AS net, count(*) AS n FROM events GROUP BY 1) SELECT ticker, round(coalesce(net, 0), 4) AS net, coalesce(n, 0) AS n FROM xsection LEFT JOIN a USING (pk)", "xsection")
+@query("WITH a AS (SELECT user_id AS pk, sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) AS net, count(*) AS n FROM events GROUP BY 1) SELECT ticker, round(coalesce(net, 0), 4) AS net, coalesce(n, 0) AS n FROM xsection LEFT JOIN a USING (pk)", "xsection")
 def jn_05_insider_totals(t: Tables):
-    a = t.events.groupBy((F.col("user_id") % 200).alias("pk")).agg(F.sum(F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0)).alias("net"), F.count("*").alias("n"))
+    a = t.events.groupBy(F.col("user_id").alias("pk")).agg(F.sum(F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0)).alias("net"), F.count("*").alias("n"))
     return t.xsection.join(a, "pk", "left").select("ticker", F.round(F.coalesce("net", F.lit(0.0)), 4).alias("net"), F.coalesce("n", F.lit(0)).alias("n"))
 
 

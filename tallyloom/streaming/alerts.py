@@ -73,12 +73,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return what it has written: Parquet files, or for other modes than append a table in memory."""
+    """Run a stream over all that is there and return what it has written as Parquet: its rows, or in complete mode those of the last batch."""
     spark = stream.sparkSession
-    writer = stream.writeStream.queryName(name).outputMode(mode).trigger(availableNow=True)
-    if mode != "append":
-        writer.format("memory").start().awaitTermination()
-        return spark.table(name)
     path = f"{shared_dir(spark)}/{name}"
-    writer.format("parquet").option("checkpointLocation", f"{path}-state").start(f"{path}-rows").awaitTermination()
+    writer = stream.writeStream.queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-state")
+    if mode == "complete":
+        writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}-rows"))
+    else:
+        writer = writer.format("parquet").option("path", f"{path}-rows")
+    writer.start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}-rows")

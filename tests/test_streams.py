@@ -36,3 +36,10 @@ def test_rows_of_streams_do_not_pass_through_the_driver(spark, tmp_path):
     spark.sql("SELECT 1L AS event_id, 'a' AS event_type, 2L AS user_id, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts").write.parquet(f"{tmp_path}/events")
     out = A.finished(A.deduplicated(A.event_stream(spark, f"{tmp_path}/events")), "once")
     assert out.count() == 1 and all(f.endswith(".parquet") for f in out.inputFiles())
+
+
+def test_complete_results_are_written_too(spark, tmp_path):
+    for k in (1, 2):
+        spark.sql(f"SELECT {k}L AS event_id, 'a' AS event_type, {k}L AS user_id, {k}.5D AS value, TIMESTAMP_NTZ '2024-01-01 00:0{k}:00' AS ts").write.mode("append").parquet(f"{tmp_path}/events")
+    out = A.finished(A.hourly_counts(A.event_stream(spark, f"{tmp_path}/events")), "hours", "complete")
+    assert [(r["n"], r["total"]) for r in out.collect()] == [(2, 4.0)] and all(f.endswith(".parquet") for f in out.inputFiles())
