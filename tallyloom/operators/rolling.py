@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.stats import average_rank, ratio
+from tallyloom.operators.evaluation import fold_calendar
 
 
 def windows(panel: DataFrame, train: int, test: int) -> DataFrame:
@@ -81,3 +82,30 @@ def partial_dependence(rows: DataFrame, predict: Callable[[DataFrame], DataFrame
     at = F.col("low") + (F.col("high") - F.col("low")) * F.col("k") / (points - 1)
     grid = one.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")).withColumn("at", at).withColumn(feature, F.col("at"))
     return predict(grid).select("at", "guess")
+
+
+def meta_scores(primary: DataFrame, labels: DataFrame, features: list[str], first: str, folds: int, months: int = 6, embargo: int = 35, least_rank: float = 90.0, trees: int = 20) -> DataFrame:
+    """fold, ticker, ts, label, probability that a buy (rank of least_rank and more) reaches its target, from a model of earlier buys.
+
+    primary: ticker, ts, rank and features (nulls count as 0); labels: ticker, ts, label.  Each fold trains on buys up to
+    an embargo before its first day, both classes weighing alike, and scores those of its months; folds that lack a
+    class or test rows in their past are left out.  One distributed fit a fold; the driver holds counts and models only.
+    """
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    buys = primary.where(F.col("rank") >= least_rank).join(labels.where("label is not null"), ["ticker", "ts"])
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(buys.fillna(0.0, features)).select("ticker", "ts", F.col("label").cast("double").alias("label"), "features")
+    out = None
+    for f in fold_calendar(primary, first, folds, months, embargo).orderBy("fold").collect():  # a row a fold
+        train = rows.where(F.col("ts") < F.lit(f["train_end"]))
+        sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}  # two rows
+        if len(sizes) < 2:
+            continue
+        weight = F.when(F.col("label") == 1.0, sum(sizes.values()) / (2 * sizes[1.0])).otherwise(sum(sizes.values()) / (2 * sizes[0.0]))
+        model = GBTClassifier(weightCol="weight", maxIter=trees, maxDepth=4, stepSize=0.05, seed=42).fit(train.withColumn("weight", weight))
+        test = rows.where((F.col("ts") >= F.lit(f["start"])) & (F.col("ts") < F.lit(f["stop"])))
+        part = model.transform(test).select(F.lit(f["fold"]).alias("fold"), "ticker", "ts", F.col("label").cast("int").alias("label"), vector_to_array("probability")[1].alias("probability"))
+        out = part if out is None else out.union(part)
+    return out if out is not None else rows.limit(0).select(F.lit(0).cast("long").alias("fold"), "ticker", "ts", F.col("label").cast("int").alias("label"), F.lit(0.0).alias("probability"))

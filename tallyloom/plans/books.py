@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import series as S
+from tallyloom.functions.stats import pct_rank, ratio
 from tallyloom.operators import book as B
 from tallyloom.operators import ledger as L
 from tallyloom.operators import polls as P
 from tallyloom.operators import rolling as R
+from tallyloom.operators import strategies as G
 from tallyloom.plans.cross_section import r6
 from tallyloom.plans.portfolio import BUYS
 from tallyloom.plans.registry import query
@@ -79,6 +81,15 @@ def ml_16_partial_dependence(t: Tables):
     return R.partial_dependence(rows, predict, names, "pred").select(r6("at"), r6("guess"))
 
 
+@query(None)
+def ml_15_meta_labels(t: Tables):
+    """Buys are the series that rose most over 20 bars on a day; targets are triple-barrier labels."""
+    x = t.bars.withColumn("momentum", F.round(S.returns("close", 20), 9)).withColumn("busy", ratio("volume", S.sma("volume", 20)))
+    x = x.withColumn("rank", pct_rank("momentum", ["ts"]))
+    out = R.meta_scores(x, G.triple_barrier(t.bars).select("ticker", "ts", "label"), ["momentum", "busy"], "1997-01-01", 2, months=12, trees=5)
+    return out.select("fold", "ticker", "ts", "label", r6("probability"))
+
+
 @query("""WITH x AS (SELECT user_id AS ticker, event_type AS headline, event_id AS id, CAST(ts AS DATE) AS day, time_bucket(INTERVAL 30 MINUTE, ts) AS poll, ts FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY ticker, poll ORDER BY ts DESC, id DESC) AS place FROM x),
 f AS (SELECT *, row_number() OVER (PARTITION BY ticker, day, headline ORDER BY poll, place) AS k FROM n WHERE place <= 2) SELECT ticker, day, headline, poll, id FROM f WHERE k = 1""")

@@ -110,3 +110,18 @@ def test_queue_leaves_old_and_banned(spark):
     tried = spark.createDataFrame(tried, "ticker string, ts timestamp, ok boolean")
     got = polls.retry_queue(tried, spark.createDataFrame([("C",), (None,)], "ticker string"), F.max("ts")).collect()
     assert {(r["ticker"], r["passes"], r["exhausted"]) for r in got} == {("a", 2, False), ("e", 5, True)}
+
+
+def test_meta_labels_learn_from_earlier_buys_alone(spark):
+    rng = random.Random(4)
+    day = lambda k: START + datetime.timedelta(days=k)
+    # the rule turns round on day 366: a model of the first fold can't know, that of the second can
+    rows = [(f"t{k}", day(d), rng.choice([50.0, 90.0, 100.0]), rng.choice([None, 0.0, 1.0])) for d in range(0, 730, 3) for k in range(3)]
+    known = [(t, d, int(bool(f)) if d < day(366) else int(not f)) for t, d, _, f in rows if rng.random() < 0.9]
+    primary, labels = spark.createDataFrame(rows, "ticker string, ts date, rank double, f double"), spark.createDataFrame(known, "ticker string, ts date, label int")
+    got = rolling.meta_scores(primary, labels, ["f"], "2024-07-01", 2, months=6, trees=3).collect()
+    place = {(t, d): (r, f) for t, d, r, f in rows}
+    expected = {(t, d) for t, d, _ in known if place[t, d][0] >= 90 and datetime.date(2024, 7, 1) <= d < datetime.date(2025, 7, 1)}
+    assert {(r["ticker"], r["ts"]) for r in got} == expected and {r["fold"] for r in got} == {0, 1}
+    assert all((r["probability"] > 0.5) == (place[r["ticker"], r["ts"]][1] == 1.0) for r in got)
+    assert rolling.meta_scores(primary, labels.where("label = 1"), ["f"], "2024-07-01", 2).count() == 0
