@@ -3,7 +3,8 @@
 A hash over the last WINDOW bytes cuts each text into chunks at places that depend
 on the text alone, so a passage that stands in many documents gives the same
 chunks in each.  A chunk is encoded once, at its first use, and its ids are reused
-wherever it comes again, in this document or another.
+wherever it comes again, in this document or another.  Chunks are known by their
+bytes: hashes cut and deal texts, but never decide that two chunks are equal.
 
 Sharing over the cluster: each document is named by the least hash of its chunks.
 Documents that share most chunks likely share this name, so rows are dealt to
@@ -41,7 +42,7 @@ from tallyloom.llm.common import ByteWords, cut_rows, mix64, pick
 from tallyloom.llm.pieces import PieceTable, cuts, load, special_texts, table_for, text_bytes
 
 WINDOW, CHUNK_BITS = 8, 7  # a chunk has about 2^CHUNK_BITS bytes
-CHUNKS = 100_000
+CHUNKS, CHUNK_BYTES = 100_000, 32_000_000  # kept by a task at most, but for those of the texts at hand
 #: One pre-token in normal form: small Latin letters that every version of Unicode in use knows.
 PLAIN = "[a-zß-öø-ÿ]+"
 LOWER = np.arange(256, dtype=np.uint8)
@@ -108,27 +109,28 @@ class ChunkCoder:
 
     def __init__(self, spec: str):
         self.table: PieceTable = table_for(spec, PLAIN)
-        self.hashes = (ByteWords(), ByteWords(0xA0761D6478BD642F))
-        self.chunks: dict[tuple[int, int], int] = {}
-        self.reused = self.seen = 0
+        self.chunks: dict[bytes, int] = {}  # by their bytes, so that equal keys are equal chunks
+        self.held = self.reused = self.seen = 0
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's end (and the first one's start) is."""
-        if self.table.count > self.table.most or len(self.chunks) > CHUNKS:
+        if self.table.count > self.table.most or len(self.chunks) > CHUNKS or self.held > CHUNK_BYTES:
             self.table.clear()
             self.chunks.clear()
+            self.held = 0
         table = self.table
         raw, offsets = text_bytes(texts)
         data = LOWER[raw]
         special = special_texts(data, offsets)
         start, end = chunk_spans(data, offsets)
-        keys = list(zip(*(h.of(data, start, end).tolist() for h in self.hashes), strict=True))
+        flat = data.tobytes()
+        keys = [flat[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
         blanks = np.flatnonzero((data == 0x20) | ((data >= 0x09) & (data <= 0x0D)))
         low, high = np.searchsorted(blanks, start), np.searchsorted(blanks, end) - 1
         inner = high > low
         first, last = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
         first[inner], last[inner] = blanks[low[inner]], blanks[high[inner]]
-        new: dict[tuple[int, int], int] = {}
+        new: dict[bytes, int] = {}
         for k in np.flatnonzero(inner).tolist():
             if keys[k] not in self.chunks:
                 new.setdefault(keys[k], k)
@@ -152,6 +154,7 @@ class ChunkCoder:
         each = np.searchsorted(chunk[inside], [order, order + 1])
         made = table.add(flat, ends[each[1]] - ends[each[0]]) if len(order) else np.empty(0, np.int64)
         self.chunks.update(zip(new, made.tolist(), strict=True))
+        self.held += sum(map(len, new))
         whole = np.flatnonzero(inner)
         places = [s[~inside], first[whole] + 1]
         items = [entries[~inside], np.fromiter((self.chunks[keys[k]] for k in whole.tolist()), np.int64, len(whole))]

@@ -67,31 +67,21 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def powers(base: int, count: int) -> np.ndarray:
-    """1, base, base^2, ... modulo 2^64."""
-    out = np.full(count, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out)
-
-
-BYTE_BASE = 0x9E3779B97F4A7C15
-SPAN = 1 << 18  # bytes hashed at a time
+BYTE_SEED = 0x9E3779B97F4A7C15
+LONG = 256  # bytes of the longest word that is hashed by eight bytes at a time
 
 
 class ByteWords:
     """Hashes of the words of UTF-8 bytes without a Python object for each word.
 
-    A word's hash is a polynomial in random numbers for its bytes, finished by mix64 with its length.
+    A word is taken eight bytes at a time; each step mixes them into the hash so far, which starts from the seed and the
+    word's length, so no pattern of bytes makes different words of one length meet.  Words over LONG bytes go to xxh3.
     """
 
-    def __init__(self, seed: int = BYTE_BASE):
-        self.random = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(seed))
+    def __init__(self, seed: int = BYTE_SEED):
+        self.seed = seed
         self.blank = np.zeros(256, bool)
         self.blank[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-        self.grow(SPAN)
-
-    def grow(self, count: int) -> None:
-        self.power, self.back = powers(BYTE_BASE, count + 1), powers(pow(BYTE_BASE, -1, 1 << 64), count + 1)
 
     def places(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where words start and end."""
@@ -101,18 +91,23 @@ class ByteWords:
         return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
 
     def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        out, i = np.empty(len(start), np.uint64), 0
-        while i < len(start):
-            low = start[i]
-            j = max(i + 1, int(np.searchsorted(end, low + SPAN, "right")))
-            count = int(end[j - 1] - low)
-            if count >= len(self.power):
-                self.grow(count)
-            sums = np.zeros(count + 1, np.uint64)
-            np.cumsum(self.random[data[low : low + count]] * self.power[:count], out=sums[1:])
-            out[i:j] = (sums[end[i:j] - low] - sums[start[i:j] - low]) * self.back[start[i:j] - low]
-            i = j
-        return mix64(out + (end - start).astype(np.uint64))
+        """The hash of each data[start:end], of one byte or more."""
+        size = end - start
+        out = mix64(size.astype(np.uint64) * np.uint64(BYTE_SEED) + np.uint64(self.seed))
+        eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+        at, place, left, own = np.arange(len(start)), start, size, out
+        if (size > LONG).any():
+            for k in np.flatnonzero(size > LONG).tolist():
+                out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes(), self.seed)
+            at = np.flatnonzero(size <= LONG)
+            place, left, own = start[at], size[at], out[at]
+        while len(at):
+            own = mix64(own ^ (eights[place] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(left, 8)) * 8).astype(np.uint64))))
+            done = left <= 8
+            out[at[done]] = own[done]
+            more = ~done
+            at, place, left, own = at[more], place[more] + 8, left[more] - 8, own[more]
+        return out
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

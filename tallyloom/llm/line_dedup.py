@@ -13,10 +13,11 @@ All variants of a line that lack one word are hashed keys; equal variants join.
 A key holds the place of the gap and the hashes of what lies before and after it,
 so lines that share the key of a changed word differ in just that word, and a
 line that equals another's variant lacks just one of its words.  The edit distance
-is verified by a second hash of the same words, independent of the first one down
-to the words' bytes, that goes with each key: lines match only if both agree.
-Two lines that aren't within the bound pass with a probability of about 2^-128;
-with the 10^12 variants of 100 TB that is under 10^-14 for all pairs together.
+is verified by a second hash of the same words under another seed, down to the
+words' bytes, that goes with each key: lines match only if both agree, within a
+batch and across them.  A hash adds up its words, each mixed with its place, and a
+word's hash mixes its bytes step by step, so no pattern of bytes or words makes
+lines agree, only chance: words are never compared across batches.
 
 Long lines have many variants and few partners.  So a first pass joins coarse
 variants, about a dozen a line: the words before and after a gap of some words,
@@ -41,13 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import ByteWords, cut_rows, mix64, pick, powers
+from tallyloom.llm.common import ByteWords, cut_rows, mix64, pick
 
 MIN_WORDS, EDIT_WORDS = 1, 4
 BLOOM_BITS = 26
 PART = 2_000_000  # bytes of text worked on at a time
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+PLACE = np.uint64(0x9E3779B97F4A7C15)
+FROM_START, MOVED_UP, FROM_END = 0, 1, 2
 SELF, LACKS, CHANGED, EQUAL, COUNT, GONE = 0, 1, 2, 3, 8, 9
 
 
@@ -86,13 +87,16 @@ class Lines:
         self.size = size[long]
         self.end = np.cumsum(self.size)
         self.start = self.end - self.size
-        self.power, self.back = powers(BASE, len(streams[0]) + 1), powers(BASE_INVERSE, len(streams[0]) + 1)
-        self.sums = [np.concatenate([[np.uint64(0)], np.cumsum(x * self.power[:-1])]) for x in streams]
+        # each word with its number from the line's start, that number less one, and its number from the line's end
+        at = np.arange(len(streams[0])) - np.repeat(self.start, self.size) + 1
+        rest = np.repeat(self.size, self.size) - at
+        numbers = (at, at - 1, ~rest)
+        self.sums = [[np.concatenate([[np.uint64(0)], np.cumsum(mix64(x + n.astype(np.uint64) * PLACE))]) for n in numbers] for x in streams]
 
-    def run(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-        """Hash of the words from start to end, the same wherever they stand."""
-        s = self.sums[which]
-        return (s[end] - s[start]) * self.back[start]
+    def run(self, start: np.ndarray, end: np.ndarray, which: int = 0, by: int = FROM_START) -> np.ndarray:
+        """Hash of the words from start to end of a line, each mixed with its place, so that no order of words cancels out."""
+        s = self.sums[which][by]
+        return s[end] - s[start]
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         n = self.size.astype(np.uint64)
@@ -110,7 +114,7 @@ class Lines:
         pairs = np.concatenate(parts) if parts else np.empty((0, 2), np.int64)
         a, b = pairs[:, 0], pairs[:, 1]
         s, e = self.start[line], self.end[line]
-        return line, a, b, two(self.run(s, s + a), self.run(e - b, e), a, b)
+        return line, a, b, two(self.run(s, s + a), self.run(e - b, e, by=FROM_END), a, b)
 
 
 def two(x: np.ndarray, y: np.ndarray, a, b) -> np.ndarray:
@@ -205,12 +209,12 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
                 s, e = lines.start[line], lines.end[line]
                 n = lines.size[line]
                 # each key twice, from independent hashes of the words
-                sides = [(lines.run(s, word, k), lines.run(word + 1, e, k)) for k in (0, 1)]
-                changed, changed2 = (two(before, after, word - s, n) for before, after in sides)
-                lacks, lacks2 = (two(before + after * lines.power[word - s], np.uint64(0), n - 1, 0) for before, after in sides)
-                order = np.lexsort((lines.place[line], marks[o[line]], ids[o[line]], none[o[line]], changed))
+                before = [lines.run(s, word, k) for k in (0, 1)]
+                changed, changed2 = (two(before[k], lines.run(word + 1, e, k), word - s, n) for k in (0, 1))
+                lacks, lacks2 = (two(before[k] + lines.run(word + 1, e, k, MOVED_UP), np.uint64(0), n - 1, 0) for k in (0, 1))
+                order = np.lexsort((lines.place[line], marks[o[line]], ids[o[line]], none[o[line]], changed2, changed))
                 lead = np.ones(len(order), bool)
-                lead[1:] = changed[order][1:] != changed[order][:-1]
+                lead[1:] = (changed[order][1:] != changed[order][:-1]) | (changed2[order][1:] != changed2[order][:-1])
                 lead, late = order[lead], np.unique(line[order[~lead]])
                 rows.append((GONE, mix64(k1[late] + lines.place[late].astype(np.uint64) + marks[o[late]].view(np.uint64)), k2[late], o[late], lines.place[late]))
                 led = line[lead]

@@ -29,7 +29,9 @@ BRANCHES numbers.  Scoring gathers the rows of the features that occur.
 Counts of frequent words (at most MOST_FREQUENT) are broadcast; all others are
 joined by word, so each text's score uses exact counts of all its words.  What is
 gathered from the corpus (a row for each word and task) grows with the input.
-Words are told apart by their bytes in the counts and by 64-bit hashes in tasks.
+Words are told apart by their bytes in the counts and where rare words are joined;
+the broadcast words are found by 64-bit hashes of their bytes, which two words of a
+corpus of V share by chance, with a probability of about V^2 / 2^65.
 
 Null texts are empty: just the end token.  Without training documents counts are
 0 and words differ by their groups alone.  Repeated rows count and are scored each.
@@ -44,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import ByteWords, cut_rows, id_bucket, materialise, mix64, pick
+from tallyloom.llm.common import LONG, ByteWords, cut_rows, id_bucket, materialise, mix64, pick
 from tallyloom.llm.pieces import text_bytes
 
 END = b""
@@ -102,6 +104,37 @@ class Tokens:
         self.near[first < 1] = 0  # a text begins with no words before it
         self.skip[first < 2] = 0
 
+    def alike(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the tokens x are of the same bytes as the tokens y."""
+        a, b = self.place[x], self.place[y]
+        out = a == b
+        words = np.flatnonzero((a >= 0) & (b >= 0))
+        a, b = self.start[a[words]], self.start[b[words]]
+        size, other = self.end[self.place[x[words]]] - a, self.end[self.place[y[words]]] - b
+        even = size == other
+        words, a, b, size = words[even], a[even], b[even], size[even]
+        if (size > LONG).any():
+            long = size > LONG
+            out[words[long]] = [bool((self.data[i : i + n] == self.data[j : j + n]).all()) for i, j, n in zip(a[long].tolist(), b[long].tolist(), size[long].tolist(), strict=True)]
+            words, a, b, size = words[~long], a[~long], b[~long], size[~long]
+        eights = np.ndarray(len(self.data) + 1, "<u8", np.concatenate([self.data, np.zeros(8, np.uint8)]), strides=(1,))
+        while len(words):
+            same = (eights[a] ^ eights[b]) << ((8 - np.minimum(size, 8)) * 8).astype(np.uint64) == 0
+            out[words[same & (size <= 8)]] = True
+            more = same & (size > 8)
+            words, a, b, size = words[more], a[more] + 8, b[more] + 8, size[more] - 8
+        return out
+
+    def runs(self, tokens: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens in order of key, cut where key or bytes change: the first of each run, and its length."""
+        order = np.argsort(key, kind="stable")
+        tokens, key = tokens[order], key[order]
+        first = np.ones(len(tokens), bool)
+        at = np.flatnonzero(key[1:] == key[:-1]) + 1
+        first[at] = ~self.alike(tokens[at - 1], tokens[at])
+        at = np.flatnonzero(first)
+        return tokens[at], np.diff(at, append=len(tokens))
+
     def bytes_of(self, tokens: np.ndarray) -> pa.Array:
         """The words of tokens; the end is the empty word."""
         place = self.place[tokens]
@@ -121,8 +154,8 @@ def counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in cut_rows(batch, "text", PART):
                 t = Tokens(part.column("text"))
-                _, first, n = np.unique(t.hash, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([t.bytes_of(first), pa.array(n.astype(np.int64))], names=["word", "n"])
+                first, n = t.runs(np.arange(len(t.hash)), t.hash)
+                yield pa.RecordBatch.from_arrays([t.bytes_of(first), pa.array(n)], names=["word", "n"])
 
     train = docs.where("not held_out").select("text")
     return materialise(train.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
@@ -392,8 +425,8 @@ def score(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows, ids, held, pa.array(marks, pa.binary()), pa.array(np.zeros(n, np.int64)), pa.array(t.sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(model)], names=names)
                 rest = np.flatnonzero(~own)
                 if len(rest):
-                    _, first, times = np.unique(mix64(t.hash[rest] + t.owner[rest].astype(np.uint64) * ODD), return_index=True, return_counts=True)
-                    one, m = rest[first], len(first)
+                    one, times = t.runs(rest, mix64(t.hash[rest] + t.owner[rest].astype(np.uint64) * ODD))
+                    m = len(one)
                     none = pa.nulls(m, pa.float64())
                     yield pa.RecordBatch.from_arrays([rows.take(pa.array(t.owner[one])), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), t.bytes_of(one), pa.array(times.astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), none, none], names=names)
 

@@ -803,3 +803,43 @@ def test_digest_properties():
     near, far = (fingerprint.likeness(fingerprint.digest(a.encode()), fingerprint.digest(x.encode())) for x in (b, c))
     assert near > 0.7 > far and fingerprint.likeness(fingerprint.digest(a.encode()), fingerprint.digest(a.encode())) == 1
     assert fingerprint.difference(fingerprint.digest(b""), fingerprint.digest(c.encode())) <= fingerprint.MOST
+
+
+def thue_morse(n):
+    return ["b" if bin(k).count("1") % 2 else "a" for k in range(n)]
+
+
+@pytest.mark.parametrize("size", [512, 1024, 2048, 4096])
+def test_texts_of_alternating_patterns_are_told_apart(spark, size):
+    """Two complementary Thue-Morse sequences have equal sums under every polynomial modulo 2^64."""
+    one = thue_morse(size)
+    other = ["a" if x == "b" else "b" for x in one]
+    # whole words
+    docs = [(k, f"x {''.join(w)} y z", "s") for k, w in enumerate((one, other))]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    for r in bpe.encode_decode(table(spark, docs), path).collect():
+        ids = library.encode(docs[r.doc_id][1], add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids
+    column = pa.array([t for _, t, _ in docs])
+    t = maxent_lm.Tokens(column)
+    assert len(set(t.hash.tolist())) == 6  # both long words, x, y, z and the end
+    trained = [(k, t, "s") for k, t, _ in docs * 8 for k in [k + 10 * len(docs)]]
+    counted = {bytes(r.word): r.n for r in maxent_lm.counts(table(spark, trained).selectExpr("text", "false as held_out")).collect()}
+    assert counted == Counter(w.encode() for _, t, _ in trained for w in [*t.split(" "), ""])
+    # lines of many words
+    lines = [(0, " ".join(one), "s"), (1, " ".join(other), "s"), (2, " ".join([*one[:5], "c", *one[6:]]), "s"), (3, " ".join(other[:9] + other[10:]), "s")]
+    for parts in (1, 4):
+        kept = {r.doc_id: r.n_kept for r in line_dedup.line_marks(table(spark, lines).repartition(parts)).collect()}
+        assert kept == {0: 1, 1: 1, 2: 0, 3: 0}
+
+
+def test_words_of_equal_hashes_are_counted_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(maxent_lm.ByteWords, "of", lambda self, data, start, end: np.full(len(start), 7, np.uint64))
+    text = "a b a longer-than-eight longer-than-nine longer-than-eight " + "y" * 300 + " " + "y" * 300 + " " + "y" * 299 + "z"
+    t = maxent_lm.Tokens(pa.array([text, "b b"]))
+    first, n = t.runs(np.arange(len(t.hash)), t.hash)
+    total = Counter()
+    for word, k in zip(t.bytes_of(first).to_pylist(), n.tolist(), strict=True):
+        total[word] += k
+    assert total == Counter([w.encode() for w in f"{text} b b".split(" ")] + [b"", b""])
