@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import bpe, fingerprint, licenses, line_dedup, maxent_lm, mixing, ngram_join, quality, tokenstore, toxicity
-from tallyloom.llm.common import documents, labels
+from tallyloom.llm import bpe, fingerprint, licenses, line_dedup, maxent_lm, merkle, mixing, ngram_join, quality, token_counts, tokenstore, toxicity, whitening
+from tallyloom.llm.common import documents, embeddings, labels
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,5 +50,17 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_token_store, op4_ngram_join, op5_quality_rules, op6_bpe_round_trip, op7_lm_scores, op8_line_dedup, op9_source_mix, op10_fingerprints)}
-ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle()}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(embeddings(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(documents(spark, sf_dir))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_license_scan, op3_token_store, op4_ngram_join, op5_quality_rules, op6_bpe_round_trip, op7_lm_scores, op8_line_dedup, op9_source_mix, op10_fingerprints, op11_whitening, op12_merkle_manifest, op13_token_counts)}
+ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle(), "op12_merkle_manifest": merkle.oracle()}
