@@ -29,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialise, pick
+from tallyloom.llm.common import materialise, numbered, pick
 
 FAN = 3
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -51,18 +51,6 @@ def group_key(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit(""))
 
 
-def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows (with key, the group) and idx, the place in the group in ascending order, from 0, and size, that of the group."""
-    keys = ["key", *order]
-    ranged = rows.repartitionByRange(*keys, F.monotonically_increasing_id()).sortWithinPartitions(*keys)
-    placed = materialise(ranged.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), name)
-    # a row for each group in each range
-    runs = placed.groupBy("key", "part").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    group = Window.partitionBy("key")
-    starts = runs.select("key", "part", F.sum("n").over(group).alias("size"), (F.sum("n").over(group.orderBy("part")) - F.col("n") - F.col("first")).alias("shift"))
-    return placed.join(starts, ["key", "part"]).withColumn("idx", F.col("at") + F.col("shift")).drop("part", "at", "shift")
-
-
 def climb(nodes: DataFrame, name: str) -> list[DataFrame]:
     """The levels of the trees of all groups, from nodes of key, idx, size and hash up to their tops.
 

@@ -4,8 +4,9 @@ Targets: sources in code point order (null last) weigh 1, 2, 3, 1, 2, 3, ... and
 share all words; a target stops at MOST times its source, and what is over goes
 to the others by weight until none is above.
 
-Blocks: a source's documents are dealt by a seeded hash into blocks of about
-BLOCK_WORDS words, as many as it takes.  A source of B blocks is drawn in passes
+Blocks: a source's documents are dealt by a seeded hash into blocks: about FEW of
+them with LEAST_WORDS words at least, and as many as it takes with BLOCK_WORDS at
+most.  A source of B blocks is drawn in passes
 over its blocks, each in a permuted order of its own, so draw n is a block of pass
 n / B.  A target of r times the source needs floor(r) * B draws and those at the
 start of the next pass, up to the block that meets the target; that block's
@@ -21,9 +22,10 @@ Sums that find the last draw run over groups of GROUP blocks, then over the bloc
 of one group, then over the documents of one block, so nothing is summed in order
 over a whole source.  The driver sees some numbers for each source and shard.
 
-Everything is decided by hashes of ids and texts under a seed, so reruns agree.
-Rows of equal (also null) ids are told apart by their texts, and rows equal in
-both by a number.
+Everything is decided by hashes of whole rows under a seed, so reruns agree, however
+the rows are dealt to tasks.  Rows that differ in any column differ in their hash;
+rows that are equal in all are told apart by a number, and as they are equal, the
+result doesn't depend on which has which.  `taken` and `mixture` decide alike.
 
 Null texts have size 0.  Repeated rows are each documents of their own.  An empty
 table gives no rows.  Sources of no words have target 0.
@@ -37,12 +39,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialise, pick
+from tallyloom.llm.common import materialise, numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3.0
 SHARDS = 64
-BLOCK_WORDS, GROUP = 20_000, 4_096
+BLOCK_WORDS, LEAST_WORDS, FEW, GROUP = 20_000, 500, 256, 4_096
 SEED = 20240
 MOST_BROADCAST = 10_000
 
@@ -105,14 +107,27 @@ def word_count():
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_hash(docs: DataFrame):
+    """A hash of all columns, in the order of their names; maps count by their entries."""
+    kinds = dict(docs.dtypes)
+    columns = [F.map_entries(f"`{c}`") if kinds[c].startswith("map<") else F.col(f"`{c}`") for c in sorted(docs.columns)]
+    # nulls are skipped by the hash, so each column's being null is hashed as well
+    return F.xxhash64(*[x for c in columns for x in (c.isNull(), c)])
+
+
 def mark_of(seed: int):
-    """A number for each row from doc_id, the hash of its text, and its number among equal rows."""
-    return F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", "its_hash", "nth")
+    """A number for each row from all it holds, and its number among rows that are equal in all."""
+    return F.xxhash64(F.lit(seed), "its_hash", "nth")
 
 
 KEY = ["doc_id", "source", "size", "its_hash"]
 
 
+def block_count(words: int) -> int:
+    """The blocks of a source: about FEW of them, in bounds for the words of a block."""
+    return max(1, words // min(BLOCK_WORDS, max(LEAST_WORDS, words // FEW)))
+
+
 def planned(base: DataFrame, slim: DataFrame, shards: int, seed: int) -> DataFrame:
     """base with source_size, target and passes, an array of (shard, position): one for each time a shard takes the row.
 
@@ -126,7 +141,7 @@ def planned(base: DataFrame, slim: DataFrame, shards: int, seed: int) -> DataFra
     for k, s in enumerate(order):
         n = sizes[s]
         whole = int(min(MOST, np.floor(aim[s] / n + 1e-12))) if n else 0
-        blocks = max(1, n // BLOCK_WORDS)
+        blocks = block_count(n)
         turns = [permutation(blocks, rng) for _ in range(passes)]
         plan.append((k, s, n, float(aim[s]), blocks, whole, float(aim[s] - whole * n), [a for a, _ in turns], [c for _, c in turns]))
     kinds = "sid int, its_source string, source_size long, target double, blocks long, whole int, rest double, times array<long>, shifts array<long>"
@@ -174,12 +189,15 @@ def planned(base: DataFrame, slim: DataFrame, shards: int, seed: int) -> DataFra
 def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix itself: the columns of docs, a row for each copy, in shards, each in its seeded order."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    base = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("its_hash"), row.alias("its_row"), F.monotonically_increasing_id().alias("own"))
-    equal = materialise(base.groupBy("doc_id", "its_hash").count().where("count > 1").select(F.col("doc_id").alias("same_id"), F.col("its_hash").alias("same_hash")), "equal")
+    base = docs.select("source", word_count().alias("size"), row_hash(docs).alias("its_hash"), row.alias("its_row"))
+    equal = materialise(base.groupBy("its_hash").count().where("count > 1").select(F.col("its_hash").alias("key")), "equal")
     if equal.isEmpty():
         base = base.withColumn("nth", F.lit(0).cast("long"))
-    else:  # which of several equal rows is drawn makes no difference, so any number tells them apart
-        base = base.join(equal, F.col("doc_id").eqNullSafe(F.col("same_id")) & F.col("its_hash").eqNullSafe(F.col("same_hash")), "left").withColumn("nth", F.when(F.col("same_hash").isNotNull(), F.col("own")).otherwise(0))
+    else:  # rows that are equal in all are numbered; which of them gets which number makes no difference
+        base = materialise(base.withColumn("own", F.monotonically_increasing_id()), "rows")
+        several = base.select(F.col("its_hash").alias("key"), "own").join(equal, "key", "left_semi")
+        numbers = materialise(numbered(several, ["own"], "several").select(F.col("own").alias("its_own"), F.col("idx").alias("nth")), "numbers")
+        base = base.join(numbers, F.col("own") == F.col("its_own"), "left").withColumn("nth", F.coalesce("nth", F.lit(0).cast("long")))
     base = base.withColumn("mark", mark_of(seed)).select("source", "size", "mark", "its_row")
     slim = materialise(base.drop("its_row"), "sizes")  # so that the plan reads no text again
     drawn = planned(base, slim, shards, seed).select("its_row", F.explode("passes").alias("at"))
@@ -188,7 +206,7 @@ def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFram
 
 def taken(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken and shards (those that take the row, comma-joined) of every row."""
-    rows = pick(docs, "doc_id", "source", "text").select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("its_hash"))
+    rows = docs.select("doc_id", "source", word_count().alias("size"), row_hash(docs).alias("its_hash"))
     numbered = rows.groupBy(*KEY).count().withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
     slim = materialise(numbered.select("doc_id", "source", "size", mark_of(seed).alias("mark")), "sizes")
     out = planned(slim, slim.drop("doc_id"), shards, seed)

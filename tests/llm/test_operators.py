@@ -674,6 +674,29 @@ def test_mixing_meets_targets_with_null_and_repeated_ids(spark):
         assert abs(sums[s] - aim) <= max(words(t) for _, t, x in mixing_rows() if x == s) / 2 + 1, (s, named)
 
 
+def test_mixes_agree_however_rows_are_dealt(spark):
+    """Rows equal in id and text differ in other columns; others are equal in all."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(30)), "ab"[i % 2], None) for i in range(80)] + [(500, "one text " * 20, "a", n) for n in [*range(60), *[7] * 30]] + [(None, None, None, 1)] * 3
+    kinds = "doc_id long, text string, source string, n_chars long"
+    mixes, takes = [], []
+    for parts in (1, 3, 5):
+        docs = spark.createDataFrame(rows, kinds).repartition(parts)
+        mixes.append(Counter(tuple(r) for r in mixing.mixture(docs, shards=8).collect()))
+        takes.append(Counter(tuple(r) for r in mixing.taken(docs, shards=8).collect()))
+    assert mixes[0] == mixes[1] == mixes[2] and takes[0] == takes[1] == takes[2]
+    often = Counter()
+    for r, n in takes[0].items():
+        often[r[0], r[1]] += n * len([x for x in r[5].split(",") if x])
+    assert sum(often.values()) == sum(mixes[0].values())
+    for (i, size), n in often.items():
+        assert n == sum(m for r, m in mixes[0].items() if r[0] == i and len((r[1] or "").split()) == size)
+
+
+def test_blocks_follow_the_size_of_their_source():
+    assert [mixing.block_count(n) for n in (0, 499, 5_000, 200_000, 2_560_000, 5_120_000, 51_200_000)] == [1, 1, 10, 256, 256, 256, 2_560]
+
+
 @pytest.mark.parametrize("lost", [False, True])
 def test_mixing_by_plain_loops_over_the_draws_of_each_shard(spark, monkeypatch, lost):
     """Blocks, permutations, cuts and shards worked out anew; with lost, a shard's quota is taken from the tree."""
@@ -691,7 +714,7 @@ def test_mixing_by_plain_loops_over_the_draws_of_each_shard(spark, monkeypatch,
     monkeypatch.setattr(mixing, "split_tree", split)
     docs = table(spark, mixing_rows())
     got = Counter((r["doc_id"], r["size"], r["taken"], r["shards"]) for r in mixing.taken(docs, shards=8).collect())
-    keyed = docs.select("doc_id", "source", mixing.word_count().alias("size"), F.xxhash64("text").alias("its_hash")).groupBy(*mixing.KEY).count()
+    keyed = docs.select("doc_id", "source", mixing.word_count().alias("size"), mixing.row_hash(docs).alias("its_hash")).groupBy(*mixing.KEY).count()
     numbered = keyed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
     rows = [(r["doc_id"], r["source"], r["size"], r["mark"]) for r in numbered.withColumn("mark", mixing.mark_of(mixing.SEED)).collect()]
     sizes = Counter()
