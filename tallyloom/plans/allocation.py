@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import series as S
 from tallyloom.functions.stats import clip, known, ratio
 from tallyloom.operators import allocation as A
-from tallyloom.operators import strategies as G
+from tallyloom.operators import walkforward as WF
 from tallyloom.operators.search import genetic, random_candidates
 from tallyloom.plans.cross_section import r6
 from tallyloom.plans.registry import query
@@ -77,11 +75,8 @@ def bt_09_parameter_sweep(t: Tables):
 
 
 def sweep(t: Tables, pairs):
-    """ticker, fast, slow, sharpe of moving-average crosses for each pair of window lengths."""
-    runs = []
-    for fast, slow in pairs:
-        runs.append(G.metrics(G.backtest(G.ma_cross(t.bars, fast, slow))).select("ticker", F.lit(fast).cast("long").alias("fast"), F.lit(slow).cast("long").alias("slow"), "sharpe"))
-    return reduce(lambda a, b: a.unionByName(b), runs)
+    """ticker, fast, slow, sharpe of moving-average crosses for each pair of window lengths: one pass over the bars."""
+    return WF.cross_returns(t.bars, pairs, ["ticker"]).groupBy("ticker", "fast", "slow").agg(WF.sharpe(F.col("x")).alias("sharpe"))
 
 
 def placed(runs):
