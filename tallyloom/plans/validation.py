@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators import markov as M
 from tallyloom.operators import ranker as K
 from tallyloom.operators import validation as V
 from tallyloom.plans.cross_section import r6
@@ -72,3 +73,13 @@ def ml_10_pairwise_ranker(t: Tables):
     x = V.training_rows(features(t)).withColumn("target_cs", F.col("actual"))
     found = K.walk_forward(x, ["pred", "before", "own_mean"], first=36, test=24, regress=lambda rows: V.weighted_line(rows, ["pred"]), rounds=3)
     return found.select("fold", "n_test", r6("ndcg"), r6("ic"), r6("spread"), r6("regression_ndcg"))
+
+
+@query(None)
+def scr_40_hidden_regimes(t: Tables):
+    """Probabilities of three hidden regimes at each bar of each series."""
+    blocks, params = M.fit(M.features(t.bars), dims=4, rounds=4)
+    found = M.regimes(blocks, params, dims=4)
+    name = F.element_at(F.array(*[F.lit(s) for s in M.STATES]), F.col("regime") + 1)
+    parts = [F.round(F.col("probabilities")[k], 4).alias(f"p_{s.lower()}") for k, s in enumerate(M.STATES)]
+    return found.select("ticker", "ts", *parts, name.alias("regime"), F.round("score", 4).alias("score"))
