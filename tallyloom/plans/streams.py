@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from tallyloom.plans.cross_section import r6
 from tallyloom.plans.registry import query
 from tallyloom.sources.catalog import Tables
+from tallyloom.sources.shared import shared_dir
 from tallyloom.streaming import alerts as A
+from tallyloom.streaming import digest as D
+from tallyloom.streaming import metrics as M
 
 
 def stream(t: Tables):
@@ -72,3 +75,25 @@ def stm_02_rate_limit_stream(t: Tables):
 @query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE value > 100 GROUP BY event_type")
 def stm_06_threshold_alerts(t: Tables):
     return t.events.where("value > 100").groupBy("event_type").agg(F.count("*").alias("n"), r6(F.avg("value"), "mean"))
+
+
+@query("""WITH o AS (SELECT max(ts) - INTERVAL 2 DAY AS closed FROM events), k AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, count(*) AS n, sum(value) AS total, max(value) AS highest FROM events GROUP BY ALL)
+SELECT user_id, day, sum(n)::BIGINT AS n, round(sum(total), 4) AS total, max(highest) AS highest, strftime(day, '%Y-%m-%d') || ': ' || sum(n) || ' alerts (' || string_agg(event_type || ' ' || n, ', ' ORDER BY event_type) || ')' AS message
+FROM k, o WHERE day + INTERVAL 1 DAY <= date_trunc('millisecond', closed) GROUP BY user_id, day""")
+def stm_10_digest_stream(t: Tables):
+    """One message for each user and day that is over, sent by timers of a stream."""
+    return A.finished(D.daily_digests(stream(t)), name()).withColumn("total", F.round("total", 4))
+
+
+BUCKETS = " UNION ALL ".join(f"SELECT 'event_value_bucket', '{b:g}', count(*) FILTER (value <= {b})::DOUBLE FROM events" for b in M.BOUNDS)
+
+
+@query(f"""SELECT 'events_total' AS metric, event_type AS label, count(*)::DOUBLE AS value FROM events GROUP BY event_type UNION ALL SELECT 'events_total', 'other', 0 UNION ALL {BUCKETS}
+UNION ALL SELECT 'event_value_bucket', '+Inf', count(value) FROM events UNION ALL SELECT 'event_value_sum', '', round(sum(value), 4) FROM events UNION ALL SELECT 'event_value_count', '', count(value) FROM events
+UNION ALL SELECT 'event_newest_timestamp_seconds', '', round(epoch_us(max(ts)) / 1e6, 4) FROM events""")
+def stm_12_exposition(t: Tables):
+    """Counters and histogram of a stream's run, observed batch by batch."""
+    kinds = [r[0] for r in t.events.select("event_type").where("event_type is not null").distinct().orderBy("event_type").collect()]  # a row a kind
+    own = name()
+    found = M.run(t.spark, stream(t), kinds, own, f"{shared_dir(t.spark)}/{own}")
+    return t.spark.createDataFrame([(m, k, round(v, 4)) for m, k, v in found.samples(kinds) if m != "event_batches_total"], "metric string, label string, value double")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyloom.sources.shared import shared_dir
+
 HOUR = 3_600_000_000  # in microseconds
 CHUNK = 10_000  # rows given back at a time
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of event files as a stream; watermarks need zoned timestamps."""
+def event_stream(spark: SparkSession, path: str, batch_files: int | None = None) -> DataFrame:
+    """A folder of event files as a stream, so many files in a micro-batch (all, if not said); watermarks need zoned timestamps."""
     schema = spark.read.parquet(path).schema
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
@@ -24,6 +25,8 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     if not files.getFileStatus(place).isDirectory():  # a stream reads folders
         path, name = path.rsplit("/", 1)
         reader = reader.option("pathGlobFilter", name)
+    if batch_files:
+        reader = reader.option("maxFilesPerTrigger", batch_files)
     return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -66,16 +69,10 @@ def rate_limited(events: DataFrame, per_hour: int) -> DataFrame:
     return timed.groupBy("event_type").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: spark.checkpoint.dir, else (local tests) a temporary one."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tallyloom-")
-    return f"{path.rstrip('/')}/tallyloom/{spark.sparkContext.applicationId}"
-
-
 def finished(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and return what it has written as Parquet: its rows, or in complete mode those of the last batch."""
     spark = stream.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
+    path = f"{shared_dir(spark)}/tallyloom/{spark.sparkContext.applicationId}/{name}"
     writer = stream.writeStream.queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-state")
     if mode == "complete":
         writer = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{path}-rows"))
