@@ -28,4 +28,4 @@ def flagship(spark: SparkSession, path: str) -> DataFrame:
     return QUERIES["flagship_top_signals"](spark, path)
 
 
-from tallyloom.plans import allocation, books, cross_section, evaluation, fundamentals, history, indicators, operations, portfolio, screening, series, signals, simulation, snapshots_io, streams, text_and_sets, validation, walkforward  # noqa: E402, F401
+from tallyloom.plans import allocation, books, broker, cross_section, evaluation, fundamentals, history, indicators, operations, portfolio, screening, series, signals, simulation, snapshots_io, streams, text_and_sets, validation, walkforward  # noqa: E402, F401
