@@ -300,31 +300,38 @@ class Classes:
             yield at, node, outcome, (((near[at] ^ mark) * ODD) >> shift).astype(np.int64), (((skip[at] + ODD ^ mark) * np.uint64(0xC2B2AE3D27D4EB4F)) >> shift).astype(np.int64)
 
 
-def row_sums(rows: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows, and the sums of p (whole numbers) over each; sums stay under 2^31 though running ones wrap."""
-    order = np.argsort(rows.astype(np.uint16) if ROW_BITS <= 16 else rows, kind="stable")
-    ranked = rows[order]
-    last = np.flatnonzero(np.append(ranked[1:] != ranked[:-1], True))
-    return ranked[last], np.diff(np.cumsum(p[order], axis=0, dtype=np.int32)[last], axis=0, prepend=np.int32(0))
+class Scores:
+    """The sums of bias and weights at factors; batches share its memory, so each overwrites the last one's."""
+
+    def __init__(self, classes: Classes, weights: np.ndarray):
+        self.classes, self.weights = classes, weights
+        self.sums = self.rows = np.empty((0, BRANCHES), np.float32)
+
+    def of(self, node: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if len(self.sums) < len(node):
+            self.sums, self.rows = (np.empty((len(node) * 5 // 4, BRANCHES), np.float32) for _ in range(2))
+        z, row = self.sums[: len(node)], self.rows[: len(node)]
+        self.classes.bias.take(node, axis=0, out=z, mode="clip")
+        for f in (a, b):
+            z += self.weights.take(f, axis=0, out=row, mode="clip")
+        return z
 
 
-def gradient(classes: Classes, weights: np.ndarray, column: pa.Array, seen: np.ndarray, hoped: np.ndarray) -> None:
-    """Add to seen how often outcomes came with features, and to hoped how often the model expects that (times 2^QUANTUM)."""
-    t = Tokens(column)
+def gradient(scores: Scores, column: pa.Array, seen: np.ndarray, hoped: np.ndarray) -> None:
+    """Add to seen how often outcomes came with features, and to hoped (by outcome, then row) how often the model expects that (times 2^QUANTUM)."""
+    classes, t = scores.classes, Tokens(column)
     word = classes.find(t.hash)
     cells = []
     for low in range(0, len(word), BATCH):
         part = slice(low, low + BATCH)
         _, node, outcome, a, b = map(np.concatenate, zip(*classes.factors(word[part], t.hash[part], t.near[part], t.skip[part]), strict=True))
-        p = classes.bias[node]
-        p += weights[a]
-        p += weights[b]
+        p = scores.of(node, a, b)
         np.exp(p, out=p)
-        p *= (np.float32(1 << QUANTUM) / p.sum(axis=1))[:, None]
-        whole = np.rint(p, out=p).astype(np.int32)
+        p *= (np.float32(1 << QUANTUM) / np.einsum("ij->i", p))[:, None]
+        whole = np.ascontiguousarray(np.rint(p, out=p).T, np.float64)  # whole numbers, so sums don't depend on their order
         for f in (a, b):
-            rows, sums = row_sums(f, whole)
-            hoped[rows] += sums
+            for outcomes, expected in zip(hoped, whole, strict=True):
+                outcomes += np.bincount(f, weights=expected, minlength=len(outcomes))
             cells.append(f * BRANCHES + outcome)
     seen += np.bincount(np.concatenate(cells), minlength=len(seen))
 
@@ -355,10 +362,11 @@ def train(docs: DataFrame, shared) -> np.ndarray:
 
         def run(batches, now=now):
             classes, w = shared.value, now.value
-            seen, hoped = np.zeros(w.size, np.int64), np.zeros(w.shape, np.int64)
+            scores, seen, expected = Scores(classes, w), np.zeros(w.size, np.int64), np.zeros(w.shape[::-1])
             for batch in batches:
                 for part in cut_rows(batch, "text", PART):
-                    gradient(classes, w, part.column("text"), seen, hoped)
+                    gradient(scores, part.column("text"), seen, expected)
+            hoped = np.ascontiguousarray(expected.T, np.int64)
             at = np.flatnonzero(hoped.any(axis=1))
             rows = lambda x: pa.array([r.tobytes() for r in x.reshape(w.shape)[at]], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(at), rows(seen), rows(hoped)], names=["row", "seen", "hoped"])
@@ -373,18 +381,16 @@ def train(docs: DataFrame, shared) -> np.ndarray:
     return weights
 
 
-def log_probabilities(classes: Classes, weights: np.ndarray, t: Tokens, word: np.ndarray) -> np.ndarray:
+def log_probabilities(scores: Scores, t: Tokens, word: np.ndarray) -> np.ndarray:
     """log10 of each token's probability, less what the count of a rare word adds to it."""
-    out = np.zeros(len(word))
+    classes, out = scores.classes, np.zeros(len(word))
     for low in range(0, len(word), BATCH):
         part = slice(low, low + BATCH)
         at, node, outcome, a, b = map(np.concatenate, zip(*classes.factors(word[part], t.hash[part], t.near[part], t.skip[part]), strict=True))
-        z = classes.bias[node]
-        z += weights[a]
-        z += weights[b]
+        z = scores.of(node, a, b)
         chosen = z[np.arange(len(z)), outcome]
         np.exp(z, out=z)
-        out[part] = np.bincount(at, weights=chosen - np.log(z.sum(axis=1)), minlength=len(out[part]))
+        out[part] = np.bincount(at, weights=chosen - np.log(np.einsum("ij->i", z)), minlength=len(out[part]))
     rare = word == len(classes.count) - 1
     out /= math.log(10)
     out[rare] -= np.log10(classes.total[groups_of(t.hash[rare])])
@@ -407,7 +413,7 @@ def score(docs: DataFrame) -> DataFrame:
     base_low = total + SMOOTH * (distinct + 1)
 
     def run(batches):
-        classes, w = shared.value, weights.value
+        classes, scores = shared.value, Scores(shared.value, weights.value)
         for batch in batches:
             for part in cut_rows(batch, "text", PART):
                 t = Tokens(part.column("text"))
@@ -415,7 +421,7 @@ def score(docs: DataFrame) -> DataFrame:
                 c = classes.count[word]
                 own = c > 0
                 n = part.num_rows
-                logp = log_probabilities(classes, w, t, word)
+                logp = log_probabilities(scores, t, word)
                 base = np.bincount(t.owner, weights=np.where(own, np.log10(c + SMOOTH), 0.0) - math.log10(base_low), minlength=n)
                 model = np.bincount(t.owner, weights=logp, minlength=n)
                 known = np.bincount(t.owner, weights=own, minlength=n).astype(np.int64)

@@ -516,7 +516,7 @@ def test_lm_probabilities_add_up_to_one():
     t.near, t.skip = np.full(len(words), 77, np.uint64), np.full(len(words), 99, np.uint64)
     found = classes.find(t.hash)
     assert found.tolist() == [*range(len(common)), *[len(common)] * len(rare)]
-    p = 10 ** maxent_lm.log_probabilities(classes, weights, t, found)
+    p = 10 ** maxent_lm.log_probabilities(maxent_lm.Scores(classes, weights), t, found)
     p[len(common) :] *= 1.1
     # what the groups keep for unseen words, a word each
     unseen_hash, left = {}, 0.0
@@ -527,7 +527,7 @@ def test_lm_probabilities_add_up_to_one():
         k += 1
     t.hash = maxent_lm.word_hashes(list(unseen_hash.values()))
     t.near, t.skip = np.full(256, 77, np.uint64), np.full(256, 99, np.uint64)
-    left = (10 ** maxent_lm.log_probabilities(classes, weights, t, classes.find(t.hash)) * 0.1).sum()
+    left = (10 ** maxent_lm.log_probabilities(maxent_lm.Scores(classes, weights), t, classes.find(t.hash)) * 0.1).sum()
     assert p.sum() + left == pytest.approx(1, abs=1e-4)
 
 
