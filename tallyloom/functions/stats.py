@@ -46,11 +46,14 @@ def row_mean(*columns) -> Column:
 
 
 def average_rank(x, by: list, descending: bool = False) -> Column:
-    """Ranks from 1, ties sharing their mean rank; null for nulls."""
+    """Ranks from 1, ties sharing their mean rank; null for nulls.
+
+    The first and the last place among ties come from one ordered window, so a rank is one shuffle and one sort.
+    """
     x = col(x)
-    order = x.desc_nulls_last() if descending else x.asc_nulls_last()
-    ties = F.count(x).over(Window.partitionBy(*by, x))
-    return F.when(x.isNotNull(), F.rank().over(Window.partitionBy(*by).orderBy(order)) + (ties - 1) / 2)
+    order = Window.partitionBy(*by).orderBy(x.desc_nulls_last() if descending else x.asc_nulls_last())
+    last = F.count(x).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.when(x.isNotNull(), (F.rank().over(order) + last) / 2)
 
 
 def pct_rank(x, by: list, descending: bool = False) -> Column:
@@ -59,9 +62,14 @@ def pct_rank(x, by: list, descending: bool = False) -> Column:
 
 
 def demean_by_median(df: DataFrame, columns: list[str], by: list) -> DataFrame:
-    """columns less the median of their group."""
-    w = Window.partitionBy(*[col(b) for b in by])
-    return df.withColumns({c: F.col(c) - F.median(c).over(w) for c in columns})
+    """columns less the median of their group (null keys form one): a row of medians for each group, joined back.
+
+    df is read twice: write it before if it is dear to work out.
+    """
+    keys = {f"its_key_{k}": col(b) for k, b in enumerate(by)}
+    medians = df.select(*[c.alias(k) for k, c in keys.items()], *columns).groupBy(*keys).agg(*[F.median(c).alias(f"median_{c}") for c in columns])
+    same = reduce(lambda a, b: a & b, [c.eqNullSafe(medians[k]) for k, c in keys.items()])
+    return df.join(medians, same).withColumns({c: F.col(c) - F.col(f"median_{c}") for c in columns}).drop(*keys, *[f"median_{c}" for c in columns])
 
 
 def points(columns: dict[str, tuple[float, float]]) -> list[float]:

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.stats import clip, demean_by_median, known, rank_metrics, ratio, row_mean
+from tallyloom.functions.stats import MIN_VALID, clip, demean_by_median, known, rank_metrics, ratio, row_mean
+from tallyloom.sources.shared import written
 
 KEYS, BY = ["as_of", "ticker"], ["as_of"]
 NEUTRAL = 50.0
@@ -128,12 +129,13 @@ def weighted(parts: list[tuple[float, Column]], seen: list[Column]) -> Column:
 
 
 def factor_scores(df: DataFrame) -> DataFrame:
-    """df plus score_* columns from 0 to 100."""
-    ranked = rank_metrics(df, KEYS, BY, metrics())
-    out = df.join(ranked, KEYS)
-    everyone = Window.partitionBy(*BY)
-    has = {m: F.count(m).over(everyone) > 0 for m in ("m_fcf_yield", "m_ev", "m_pe", "m_pb", "m_ps")}
-    out = out.withColumns({f"has_{m}": c for m, c in has.items()})
+    """df plus score_* columns from 0 to 100.  df is read for values, quantiles and scores: write it before if it is dear to work out."""
+    all_metrics = metrics()
+    ranked = rank_metrics(df, KEYS, BY, all_metrics)
+    has = ("m_fcf_yield", "m_ev", "m_pe", "m_pb", "m_ps")
+    # a metric is ranked if there are enough values of it in the cross-section; a row a date
+    flags = df.groupBy(*BY).agg(*[(F.count(all_metrics[m][0]) >= MIN_VALID).alias(f"has_{m}") for m in has])
+    out = df.join(ranked, KEYS).join(flags, BY)
     seen = lambda *ms: [F.col(f"has_{m}") for m in ms]
     primary = weighted([(0.70, F.col("m_fcf_yield")), (0.30, F.col("m_ev"))], seen("m_fcf_yield", "m_ev"))
     fallback = weighted([(0.40, F.col("m_pe")), (0.35, F.col("m_pb")), (0.25, F.col("m_ps"))], seen("m_pe", "m_pb", "m_ps"))
@@ -192,11 +194,14 @@ def composite(df: DataFrame, regime: str = "NEUTRAL") -> DataFrame:
 
 
 def scored(df: DataFrame, regime: str = "NEUTRAL", sector_neutral: bool = True) -> DataFrame:
-    """The whole scorer: neutralise, score the factors, combine."""
-    out = neutralise_regions(df)
+    """The whole scorer: neutralise, score the factors, combine.
+
+    The cross-section is worked out once and written, as it is once more when it is neutral: all else reads those.
+    """
+    out = neutralise_regions(written(df, "cross-section"))
     if sector_neutral:
         out = neutralise_sectors(out)
-    return composite(factor_scores(out), regime)
+    return composite(factor_scores(written(out, "neutral")), regime)
 
 
 def data_quality() -> Column:
