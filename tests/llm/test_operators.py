@@ -697,32 +697,14 @@ def test_blocks_follow_the_size_of_their_source():
     assert [mixing.block_count(n) for n in (0, 499, 5_000, 200_000, 2_560_000, 5_120_000, 51_200_000)] == [1, 1, 10, 256, 256, 256, 2_560]
 
 
-@pytest.mark.parametrize("lost", [False, True])
-def test_mixing_by_plain_loops_over_the_draws_of_each_shard(spark, monkeypatch, lost):
-    """Blocks, permutations, cuts and shards worked out anew; with lost, a shard's quota is taken from the tree."""
-    monkeypatch.setattr(mixing, "BLOCK_WORDS", 300)
-    monkeypatch.setattr(mixing, "GROUP", 4)
-    tree, seen = mixing.split_tree, {}
-
-    def split(colors, shards, rng):
-        out = tree(colors, shards, rng)
-        if lost:
-            out[shards - 1] = 0
-        seen["numbers"], seen["quotas"] = [int(c) for c in colors], out
-        return out
-
-    monkeypatch.setattr(mixing, "split_tree", split)
-    docs = table(spark, mixing_rows())
-    got = Counter((r["doc_id"], r["size"], r["taken"], r["shards"]) for r in mixing.taken(docs, shards=8).collect())
-    keyed = docs.select("doc_id", "source", mixing.word_count().alias("size"), mixing.row_hash(docs).alias("its_hash")).groupBy(*mixing.KEY).count()
-    numbered = keyed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
-    rows = [(r["doc_id"], r["source"], r["size"], r["mark"]) for r in numbered.withColumn("mark", mixing.mark_of(mixing.SEED)).collect()]
-    sizes = Counter()
+def plain_mix(rows, block_words, quotas):
+    """The shards that take each of rows (id, source, size, mark), and the number of draws by source; quotas: by shard and source."""
+    sizes, taken, counts = Counter(), defaultdict(list), []
     for _, s, n, _ in rows:
         sizes[s] += n
-    aim, rng, expected = mixing.targets(dict(sizes)), np.random.default_rng(mixing.SEED), Counter()
+    aim, rng = mixing.targets(dict(sizes)), np.random.default_rng(mixing.SEED)
     for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or ""))):
-        n_blocks = max(1, sizes[s] // 300)
+        n_blocks = max(1, sizes[s] // block_words)
         turns = [mixing.permutation(n_blocks, rng) for _ in range(3)]
         draws = [sorted((x for x in rows if x[1] == s and (a * ((x[3] >> 16) % n_blocks) + c) % n_blocks == r), key=lambda x: x[3]) for a, c in turns for r in range(n_blocks)]
         need, number, chosen = aim[s], 0, []
@@ -741,16 +723,37 @@ def test_mixing_by_plain_loops_over_the_draws_of_each_shard(spark, monkeypatch,
                     part.append(x)
                 chosen.append(part)
                 need -= words
-        assert len(chosen) == seen["numbers"][k]
-        owner = [shard for shard, q in enumerate(seen["quotas"][:, k]) for _ in range(q)]
-        shards = defaultdict(list)
+        counts.append(len(chosen))
+        owner = [shard for shard, q in enumerate(quotas[:, k]) for _ in range(q)]
         for part, shard in zip(chosen, owner, strict=False):
             for x in part:
-                shards[x].append(str(shard))
-        for x in rows:
-            if x[1] == s:
-                expected[(x[0], x[2], x[2] * len(shards[x]), ",".join(shards[x]))] += 1
-    assert got == expected
+                taken[x].append(str(shard))
+    return taken, counts
+
+
+@pytest.mark.parametrize("lost", [False, True])
+def test_mixing_by_plain_loops_over_the_draws_of_each_shard(spark, monkeypatch, lost):
+    """Blocks, permutations, cuts and shards worked out anew; with lost, a shard's quota is taken from the tree."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    tree, seen = mixing.split_tree, {}
+
+    def split(colors, shards, rng):
+        out = tree(colors, shards, rng)
+        if lost:
+            out[shards - 1] = 0
+        seen["numbers"], seen["quotas"] = [int(c) for c in colors], out
+        return out
+
+    monkeypatch.setattr(mixing, "split_tree", split)
+    docs = table(spark, mixing_rows())
+    got = Counter((r["doc_id"], r["size"], r["taken"], r["shards"]) for r in mixing.taken(docs, shards=8).collect())
+    keyed = docs.select("doc_id", "source", mixing.word_count().alias("size"), mixing.row_hash(docs).alias("its_hash")).groupBy(*mixing.KEY).count()
+    numbered = keyed.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    rows = [(r["doc_id"], r["source"], r["size"], r["mark"]) for r in numbered.withColumn("mark", mixing.mark_of(mixing.SEED)).collect()]
+    shards, counts = plain_mix(rows, 300, seen["quotas"])
+    assert counts == seen["numbers"]
+    assert got == Counter((x[0], x[2], x[2] * len(shards[x]), ",".join(shards[x])) for x in rows)
 
 
 def brute_edits(spark, rows):
