@@ -54,21 +54,52 @@ def true_range() -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
+CHUNK = 128  # bars of a series that a fold takes at a time
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def scan(points, start: Column, step, outputs: list[str]) -> Column:
+    """An array of structs of the outputs: fields of the accumulator that step(acc, point) carries along the array points.
+
+    The array is taken in chunks: a chunk's trail grows inside it alone and joins the others as one piece, so time grows
+    in proportion to the length (a trail that grew over the whole series would be copied for each of its points).
+    """
+    points = col(points)
+    trail = f"array<struct<{','.join(f'{o}:double' for o in outputs)}>>"
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(points) / CHUNK).cast("int") - 1), lambda k: F.slice(points, k * CHUNK + 1, F.lit(CHUNK)))
+    chunks = F.when(F.size(points) > 0, chunks)
+
+    def advance(acc, x):
+        return let(step(acc["now"], x), lambda now: F.struct(now.alias("now"), F.concat(acc["trail"], F.array(F.struct(*[now[o].alias(o) for o in outputs]))).alias("trail")))
+
+    def over_chunk(acc, chunk):
+        empty = F.struct(acc["now"].alias("now"), F.array().cast(trail).alias("trail"))
+        return let(F.aggregate(chunk, empty, advance), lambda done: F.struct(done["now"].alias("now"), F.concat(acc["trails"], F.array(done["trail"])).alias("trails")))
+
+    first = F.struct(start.alias("now"), F.array().cast(f"array<{trail}>").alias("trails"))
+    return F.flatten(F.aggregate(chunks, first, over_chunk, lambda acc: acc["trails"]))
+
+
 def ewm(df: DataFrame, c: str, alphas: dict[str, float], key: str = KEY, ts: str = TS) -> DataFrame:
     """df plus exponentially weighted means y = (1 - a) y' + a x, the first x as the start.
 
-    One fold over each key's values in order of ts; a key's series is one array, so it suits bars of days, not ticks.
+    One fold over each key's values in order of ts, in time that grows with their number; a key's values are one array.
     """
     points = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(c).cast("double").alias("x"))))
     arrays = df.groupBy(key).agg(points.alias("p"))
+    nothing = F.lit(None).cast("double")
+    start = F.struct(F.lit(True).alias("first"), *[nothing.alias(n) for n in alphas])
 
-    def fold(alpha: float) -> Column:
-        empty = F.array().cast("array<double>")
-        return F.aggregate("p", empty, lambda acc, p: F.concat(acc, F.array(F.when(F.size(acc) == 0, p["x"]).otherwise(F.element_at(acc, -1) * (1 - alpha) + p["x"] * alpha))))
+    def step(a, p):
+        return F.struct(F.lit(False).alias("first"), *[F.when(a["first"], p["x"]).otherwise(a[n] * (1 - v) + p["x"] * v).alias(n) for n, v in alphas.items()])
 
-    wide = arrays.select(key, F.transform("p", lambda p: p["t"]).alias("ts_list"), *[fold(a).alias(n) for n, a in alphas.items()])
-    rows = wide.select(key, F.explode(F.arrays_zip("ts_list", *alphas)).alias("z")).select(key, F.col("z.ts_list").alias(ts), *[F.col(f"z.{n}").alias(n) for n in alphas])
-    return df.join(rows, [key, ts])
+    folded = scan("p", start, step, list(alphas))
+    rows = arrays.select(key, F.explode(F.arrays_zip(F.transform("p", lambda p: p["t"]).alias("ts"), folded.alias("o"))).alias("z"))
+    return df.join(rows.select(key, F.col("z.ts").alias(ts), *[F.col(f"z.o.{n}").alias(n) for n in alphas]), [key, ts])
 
 
 def drawdown(equity) -> Column:

@@ -11,18 +11,11 @@ from tallyloom.functions import series as S
 def fold(df: DataFrame, columns: list[str], start: Column, step, outputs: list[str]) -> DataFrame:
     """df plus outputs: fields of an accumulator that step(acc, bar) carries along each ticker's bars.
 
-    The accumulator has the outputs and whatever else the step needs; a trail of the outputs is kept for every bar.
+    The accumulator has the outputs and whatever else the step needs.  Time grows with the number of bars.
     """
     points = F.array_sort(F.collect_list(F.struct(F.col("ts").alias("t"), *[F.col(c).cast("double").alias(c) for c in columns])))
     arrays = df.groupBy("ticker").agg(points.alias("p"))
-    trail = F.array().cast(f"array<struct<{','.join(f'{o}:double' for o in outputs)}>>")
-
-    def advance(acc, x):
-        now = step(acc["now"], x)
-        kept = F.struct(*[now[o].alias(o) for o in outputs])
-        return F.struct(now.alias("now"), F.concat(acc["trail"], F.array(kept)).alias("trail"))
-
-    folded = F.aggregate("p", F.struct(start.alias("now"), trail.alias("trail")), advance, lambda acc: acc["trail"])
+    folded = S.scan("p", start, step, outputs)
     rows = arrays.select("ticker", F.explode(F.arrays_zip(F.transform("p", lambda x: x["t"]).alias("ts"), folded.alias("o"))).alias("z"))
     return df.join(rows.select("ticker", F.col("z.ts").alias("ts"), *[F.col(f"z.o.{o}").alias(o) for o in outputs]), ["ticker", "ts"])
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.series import let
 from tallyloom.functions.stats import normal_cdf, ratio
 
 
@@ -24,6 +25,38 @@ def greeks(chain: DataFrame, rate: float = 0.03) -> DataFrame:
     )
 
 
+LOW_VOL, HIGH_VOL, HALVINGS = 0.001, 5.0, 60
+
+
+def model_value(sigma: Column, kind, spot, strike, years, rate: float) -> Column:
+    """What the model gives for an option at a volatility."""
+    root = sigma * F.sqrt(years)
+    d1 = (F.ln(spot / strike) + (rate + sigma * sigma / 2) * years) / root
+    call = spot * normal_cdf(d1) - strike * F.exp(-rate * years) * normal_cdf(d1 - root)
+    return F.when(kind == "call", call).otherwise(call - spot + strike * F.exp(-rate * years))
+
+
+def implied_volatility(chain: DataFrame, price: str = "last_price", rate: float = 0.03) -> DataFrame:
+    """chain with implied, the volatility at which the model gives the price; null where none between the bounds does.
+
+    The model's value rises with the volatility, so the interval is halved, always on the side of the price; a row's
+    halvings are one fold in the JVM.
+    """
+    years = F.when(F.col("days") > 0, F.col("days") / 365.0)
+    row = F.struct(F.col("kind"), *[F.col(c).cast("double").alias(c) for c in ("spot", "strike")], years.alias("years"), F.col(price).cast("double").alias("price"))
+    value = lambda sigma, x: model_value(sigma, x["kind"], x["spot"], x["strike"], x["years"], rate)
+
+    def halve(acc, _):
+        middle = (acc["low"] + acc["high"]) / 2
+        return let(F.struct(middle.alias("middle"), (value(middle, F.col("its_row")) < F.col("its_row.price")).alias("more")), lambda m: F.struct(F.when(m["more"], m["middle"]).otherwise(acc["low"]).alias("low"), F.when(m["more"], acc["high"]).otherwise(m["middle"]).alias("high")))
+
+    x = chain.withColumn("its_row", row)
+    start = F.struct(F.lit(LOW_VOL).alias("low"), F.lit(HIGH_VOL).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve, lambda acc: (acc["low"] + acc["high"]) / 2)
+    inside = (F.col("days") > 0) & (F.col(price) > 0) & (value(F.lit(LOW_VOL), F.col("its_row")) <= F.col(price)) & (value(F.lit(HIGH_VOL), F.col("its_row")) >= F.col(price))
+    return x.withColumn("implied", F.when(inside, found)).drop("its_row")
+
+
 def pain_at_spot(chain: DataFrame) -> DataFrame:
     """The variant that weighs each strike by its distance from the spot."""
     pain = F.abs(F.col("strike") - F.col("spot")) * F.col("open_interest")

@@ -8,6 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators import names as N
+from tallyloom.operators import options as OP
+from tallyloom.operators import regime as RG
 from tallyloom.operators import stress as ST
 from tallyloom.operators import timing as TM
 from tallyloom.plans.cross_section import r6
@@ -156,3 +158,30 @@ def str_15_factor_timing(t: Tables):
 def str_15_timed_signals(t: Tables):
     ranks, weighted = timing(t)
     return TM.timed_signals(ranks, weighted, list(FACTORS)).select("month", "ticker", r6("signal"))
+
+
+ROLES = {"market": "1-URGENT", "equal": "2-HIGH", "risky": "3-MEDIUM", "safe": "4-NOT SPECIFIED"}
+FILL = lambda c: f"last_value({c} IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS {c}"
+MEAN = lambda c, n: f"CASE WHEN count({c}) OVER (ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) = {n} THEN avg({c}) OVER (ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END"
+HELD = lambda x: f"greatest(0.0, least(1.0, {x}))"
+HALF = lambda x: f"CASE WHEN {x} IS NULL THEN 0.5 ELSE {HELD(x)} END"
+MACRO = f"""WITH d AS (SELECT ts, {', '.join(f"max(close) FILTER (ticker = '{name}') AS {role}" for role, name in ROLES.items())} FROM bars WHERE ticker IN ({', '.join(f"'{n}'" for n in ROLES.values())}) GROUP BY ts),
+j AS (SELECT coalesce(d.ts, r.ts) AS ts, market, equal, risky, safe, r.long, r.short FROM d FULL JOIN rates r ON r.ts = d.ts),
+f AS (SELECT ts, market, {', '.join(map(FILL, ('equal', 'risky', 'safe', 'long', 'short')))} FROM j),
+m AS (SELECT *, equal / market AS width, risky / safe AS spread, market / lag(market) OVER (ORDER BY ts) - 1 AS r FROM f WHERE market IS NOT NULL),
+x AS (SELECT ts, market / {MEAN('market', 200)} - 1 AS vs200, ({MEAN('r', 20).replace('avg(r)', 'stddev_samp(r)')}) * 20 AS fear, market / lag(market, 62) OVER (ORDER BY ts) - 1 AS r63, width / ({MEAN('width', 60)}) - 1 AS b, long - short AS c, spread / ({MEAN('spread', 20)}) - 1 AS cr FROM m),
+s AS (SELECT ts, {HELD('0.5 + vs200 * 5')} AS trend, {HELD('1 - (fear - 15) / 15')} AS fear, {HELD('0.5 + r63 * 6.25')} AS momentum, {HALF('0.5 + b * 5')} AS breadth, {HALF('0.5 + c / 4')} AS curve, {HALF('0.5 + cr * 10')} AS credit FROM x WHERE vs200 IS NOT NULL AND fear IS NOT NULL),
+t AS (SELECT *, trend * 0.30 + fear * 0.20 + momentum * 0.15 + breadth * 0.10 + curve * 0.10 + credit * 0.15 AS composite FROM s)"""
+
+
+@query(MACRO.replace("market / CASE", "market / (CASE", 1).replace("END - 1 AS vs200", "END) - 1 AS vs200", 1) + " SELECT ts, round(composite, 10) AS composite, CASE WHEN composite >= 0.62 THEN 'BULL' WHEN composite <= 0.38 THEN 'BEAR' ELSE 'NEUTRAL' END AS regime, round(CASE WHEN composite >= 0.62 THEN least(0.85, composite) WHEN composite <= 0.38 THEN least(0.85, 1 - composite) ELSE 0.5 END, 10) AS confidence, round(curve, 10) AS curve, round(credit, 6) AS credit, round(breadth, 6) AS breadth FROM t", "bars", "rates")
+def scr_39_macro_regime(t: Tables):
+    """All six signals of the market's regime: four series of bars stand for the instruments, taxes and discounts for yields."""
+    r = RG.macro_regimes(t.bars, t.rates, **ROLES)
+    return r.select("ts", *[F.round(c, 10).alias(c) for c in ("composite", "confidence", "curve")], "regime", r6("credit"), r6("breadth"))
+
+
+@query(None)
+def opt_02_implied_from_prices(t: Tables):
+    """The volatility that the last price of each contract implies; null where no volatility gives it."""
+    return OP.implied_volatility(t.chain).select("contract", "last_price", F.round("implied", 6).alias("implied"))

@@ -89,6 +89,9 @@ VIEWS["listings"] = f"""
 SELECT concat(n_name, {_case('n_regionkey', [v for v, _ in VENUES])}) AS ticker, CAST(o_orderdate AS DATE) AS ts, avg(o_totalprice) AS close, count(*) AS volume
 FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN {{nation}} ON c_nationkey = n_nationkey GROUP BY n_name, n_regionkey, CAST(o_orderdate AS DATE)"""
 
+VIEWS["rates"] = """
+SELECT CAST(l_shipdate AS DATE) AS ts, round(avg(l_tax) * 100, 6) AS long, round(avg(l_discount) * 60, 6) AS short FROM {lineitem} GROUP BY CAST(l_shipdate AS DATE)"""
+
 VIEWS["panel"] = """
 SELECT month, ticker, pred, actual, CAST(ticker % 11 AS INT) AS sector_id FROM (
   SELECT month, ticker, pred, total, (ticker * 7919 % 1009) / 1009e0 + total / 1000000e0 AS actual

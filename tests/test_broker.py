@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import names as N
+from tallyloom.operators import options as O
 from tallyloom.operators import stress as ST
 from tallyloom.operators import timing as TM
 from tallyloom.sources import broker as B
@@ -113,3 +114,13 @@ def test_weights_follow_a_turn_of_leadership_but_not_before_it(spark):
     assert up[15] == 0.5 and up[16:] == [0.0] * 8 and all(got[m, "up"] + got[m, "down"] == pytest.approx(1.0) for m in months)
     signal = {(r["month"], r["ticker"]): r["signal"] for r in TM.timed_signals(ranks, TM.weights(TM.factor_returns(ranks, ["up", "down"])), ["up", "down"]).collect()}
     assert signal[months[5], 19] == 1.0 and signal[months[20], 0] == 1.0 and signal[months[0], 3] == pytest.approx(signal[months[0], 4])
+
+
+def test_implied_volatility_gives_the_price_back(spark):
+    rows = [(k, kind, spot, strike, days, iv) for k, (kind, spot, strike, days, iv) in enumerate([("call", 100.0, 90.0, 30, 0.2), ("put", 100.0, 120.0, 365, 0.05), ("call", 50.0, 50.0, 7, 1.5), ("put", 250.0, 240.0, 180, 0.35)])]
+    chain = spark.createDataFrame(rows, "contract long, kind string, spot double, strike double, days int, iv double")
+    priced = O.greeks(chain).withColumn("last_price", F.col("value")).drop("d1", "d2", "delta", "gamma", "vega", "value")
+    for r in O.implied_volatility(priced).collect():
+        assert r["implied"] == pytest.approx(r["iv"], abs=2e-4)
+    none = spark.createDataFrame([(1, "call", 100.0, 50.0, 30, 10.0), (2, "put", 100.0, 50.0, 30, 200.0), (3, "call", 100.0, 100.0, 0, 5.0), (4, "call", 100.0, 100.0, 30, None), (5, "call", 100.0, 100.0, 30, -1.0)], "contract long, kind string, spot double, strike double, days int, last_price double")
+    assert [r["implied"] for r in O.implied_volatility(none).collect()] == [None] * 5
