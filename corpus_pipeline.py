@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs.  All but the last return the
-columns of documents.
+columns of documents, whatever columns those are.
+
+Every stage takes an empty table (and returns one), null doc_ids, sources and texts, texts of any length, and rows that
+are equal.  A null or empty text fails the quality rules; later stages would keep it: it has no lines to drop, all such
+texts are one group of copies, they weigh nothing in the mix, and they have no tokens.
 """
 
 from __future__ import annotations
@@ -18,18 +22,18 @@ from tallyloom.llm.common import documents, labels, shared_dir
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; equal rows are judged alike."""
     return quality.good(docs, labels(spark, sf_dir))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier line matches; n_chars follows the text."""
+    """Texts without the lines that an earlier line matches; n_chars follows the text.  Rows stay, also those left without a line."""
     left = line_dedup.deduplicate(docs)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: that of the smallest doc_id, null last."""
     return ngram_join.one_of_each(docs)
 
 

@@ -25,7 +25,9 @@ Texts that may hold a special token's text go to the library whole.  Decoding
 follows the tokenizer's decoder: with none, tokens are joined by blanks; with the
 byte-level one, their bytes are.  It works on the ids.
 
-Null texts count as empty ones: no tokens.  Repeated rows get one row each.
+Null texts count as empty ones: no tokens.  Repeated rows get one row each, those of
+null doc_id too.  Texts of any length are encoded whole.  Empty table: no rows.
+Only doc_id and text are read: other columns, also of clashing names, change nothing.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ compared by a difference that can't exceed MOST, so likeness lies in 0 to 1.
 
 Nulls count as empty texts.  Texts of under three bytes have no triplets: their
 counts are all zero and only the length code (and a hash of the text itself)
-tells them apart.  Repeated rows get one row each.
+tells them apart.  Repeated rows get one row each.  Texts of any length are taken
+whole.  Empty table: no rows.  Only doc_id and text are read: other columns, also of clashing names, change nothing.
 """
 
 from __future__ import annotations

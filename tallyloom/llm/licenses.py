@@ -9,7 +9,9 @@ their order at each place of the sequence, turn runs of identifiers into
 licences.  Sentences that aren't known don't break a run.
 
 No shuffle: each row is worked out by itself.  Null and empty texts have no
-sentences: counts of 0, empty strings.  Repeated rows get one row each.
+sentences: counts of 0, empty strings.  Repeated rows get one row each, those of null doc_id too.
+Texts of any length are scanned whole.  Empty table: no rows.
+Only doc_id and text are read: other columns, also of clashing names, change nothing.
 """
 
 from __future__ import annotations

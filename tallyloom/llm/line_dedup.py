@@ -32,7 +32,8 @@ the same one word: all but the earliest go, and it alone stands under their key.
 Groups are scanned in order of sorted rows, never held.
 
 Null texts have no lines.  Rows of equal doc_id and text count as one document and
-get the same result.  Empty table: no rows.
+get the same result.  Texts of any length are cut whole.  Empty table: no rows.  Other
+columns are carried along as they are, also those named like ours.
 """
 
 from __future__ import annotations

@@ -34,7 +34,10 @@ the broadcast words are found by 64-bit hashes of their bytes, which two words o
 corpus of V share by chance, with a probability of about V^2 / 2^65.
 
 Null texts are empty: just the end token.  Without training documents counts are
-0 and words differ by their groups alone.  Repeated rows count and are scored each.
+0 and words differ by their groups alone.  Repeated rows count and are scored each, those of null
+doc_id too (the empty id decides whether they are held out).  Texts of any length are
+scored whole.  Empty table: no rows.
+Only doc_id and text are read: other columns, also of clashing names, change nothing.
 """
 
 from __future__ import annotations

@@ -27,8 +27,8 @@ the rows are dealt to tasks.  Rows that differ in any column differ in their has
 rows that are equal in all are told apart by a number, and as they are equal, the
 result doesn't depend on which has which.  `taken` and `mixture` decide alike.
 
-Null texts have size 0.  Repeated rows are each documents of their own.  An empty
-table gives no rows.  Sources of no words have target 0.
+Null texts have size 0, long ones count whole.  Repeated rows are each documents of
+their own.  Other columns are carried along as they are.  An empty table gives no rows.  Sources of no words have target 0.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ the driver sees are counts of rows.
 
 Null and empty texts are one class without links.  Repeated rows are members of
 their class.  Ties: a class and a group are named by their smallest doc_id (null
-if all are null).  Empty table: no rows.
+if all are null).  Texts of any length are compared whole.  Empty table: no rows.
+Where whole rows are returned, other columns are carried along as they are.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ length doesn't matter; it is kept if the score is at least THRESHOLD.
 Each task sums its counts into BUCKETS cells before anything is shuffled; the
 driver gets BUCKETS numbers.  Null texts have no words.  A text without tokens
 scores 0 (and fails the base).  Without trusted documents all scores are 0.
-Repeated rows count and are judged each.
+Repeated rows count and are judged each, those of null doc_id too (they are never
+trusted).  Texts of any length are judged whole.  Empty table: no rows.  Other columns
+are carried along as they are, also those named like ours.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ go to it whole.
 Null texts count as empty: just the end id.  Null doc_ids come first.  Repeated
 rows are written each; rows of equal ids stand in the order of their texts' first
 HEAD characters, then of a hash.  The ranges tell such rows apart, so neither null
-nor repeated ids meet in one task.  Empty table: no rows.
+nor repeated ids meet in one task.  Empty table: no rows.  Only doc_id and text are read: other columns, also of clashing names, change nothing.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ they are broadcast.  Scoring reads every whole text once, without a shuffle.
 
 Null texts are empty texts; an empty text scores by the bias alone.  Without any
 labelled document of both kinds the bias is 0 and all scores are 0.5.  Repeated
-rows are scored each; of repeated labels for an id the largest counts.
+rows are scored each; of repeated labels for an id the largest counts.  Texts of any length are
+read whole.  Empty table: no rows.
+Only doc_id and text are read: other columns, also of clashing names, change nothing.
 """
 
 from __future__ import annotations
