@@ -59,7 +59,7 @@ def pf_11_stress_summary(t: Tables):
     return ST.summary(stress(t), list(NAMED))
 
 
-@query("SELECT s_suppkey, 'Bröd & Bär ' || s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN 'ISO-8859-1' WHEN 1 THEN 'UTF-8' WHEN 2 THEN 'UTF-8 with mark' ELSE 'UTF-16LE' END AS encoding, s_suppkey + 0.5 AS shares, round(s_acctbal, 2) AS current_price FROM supplier")
+@query("SELECT s_suppkey, 'Bröd & Bär ' || s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN 'ISO-8859-1' WHEN 1 THEN 'UTF-8' WHEN 2 THEN 'UTF-8 with mark' ELSE 'UTF-16LE' END AS encoding, (s_suppkey + 0.5)::DOUBLE AS shares, round(s_acctbal, 2) AS current_price FROM supplier")
 def src_07_mixed_encodings(t: Tables):
     """A folder of broker files in four encodings, read in one go: each file's own is found from its bytes."""
     path, mark = fresh(t), "﻿"
