@@ -9,8 +9,11 @@ of states, never bars, and its parameters are written before the next one.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,9 @@ from tallyloom.functions import series as S
 from tallyloom.functions.stats import clip, ratio
 from tallyloom.sources.shared import written
 
+# tasks get this module's functions and classes by value, so executors need not have the library
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATES = ("BEAR", "NEUTRAL", "BULL")
 STAY, LEAST_COVARIANCE = 0.9, 1e-3
 BLOCK = 256

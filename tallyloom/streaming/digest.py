@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import datetime
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+# tasks get this module's functions and classes by value, so executors need not have the library
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DAY_MS = 86_400_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "user_id long, day date, n long, total double, highest double, message string"
