@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.stats import clip, ratio
 
+# tasks get this module's functions by value, so executors need not have the library
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LOW, HIGH = 0.01, 0.25
 
 
