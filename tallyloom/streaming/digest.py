@@ -1,58 +1,12 @@
-"""Daily digests of alerts as a stream: state by recipient and day, sent by event-time timers when the day is over."""
+"""Daily digests of alerts as a stream: counts by recipient, day and kind, sent when event time says that the day is over."""
 
 from __future__ import annotations
 
-import datetime
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-
-# tasks get this module's functions and classes by value, so executors need not have the library
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DAY_MS = 86_400_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUT = "user_id long, day date, n long, total double, highest double, message string"
-EPOCH = datetime.date(1970, 1, 1)
-
-
-class DailyDigest(StatefulProcessor):
-    """Counts, sums and the highest value by (day, kind); a day's state goes when its timer has sent the message."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.days = handle.getMapState("days", "day int, kind string", "n long, total double, highest double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            parts = pdf.groupby(["day", "kind"], dropna=False)["value"].agg(["size", "sum", "max"])
-            for (day, kind), n, total, highest in zip(parts.index, parts["size"], parts["sum"], parts["max"], strict=True):
-                cell = (int(day), kind)
-                if self.days.containsKey(cell):
-                    old = self.days.getValue(cell)
-                    n, total, highest = n + old[0], total + old[1], max(highest, old[2])
-                self.days.updateValue(cell, (int(n), float(total), float(highest)))
-                self.handle.registerTimer((int(day) + 1) * DAY_MS)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        day = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1
-        cells = sorted((k[1], v[0], v[1], v[2]) for k, v in self.days.iterator() if k[0] == day)
-        for kind, *_ in cells:
-            self.days.removeKey((day, kind))
-        if not cells:
-            return
-        n, when = sum(c[1] for c in cells), EPOCH + datetime.timedelta(days=day)
-        message = f"{when}: {n} alerts ({', '.join(f'{kind} {count}' for kind, count, *_ in cells)})"
-        yield pd.DataFrame({"user_id": [key[0]], "day": [when], "n": [n], "total": [sum(c[2] for c in cells)], "highest": [max(c[3] for c in cells)], "message": [message]})
-
-    def close(self) -> None:
-        pass
 
 
 def daily_digests(events: DataFrame, lateness: str = "2 days") -> DataFrame:
@@ -62,11 +16,15 @@ def daily_digests(events: DataFrame, lateness: str = "2 days") -> DataFrame:
     that come once its message is sent are late: they are dropped and counted (numRowsDroppedByWatermark of the query's
     progress), and no message is sent twice.
     Order and cut of the files make no difference to the others.  Null users are a recipient; null kinds count as "other",
-    null values as 0; events without a time are left out.  A recipient's state is a few numbers a kind and open day.
+    null values as 0; events without a time are left out.  A recipient's state is a few numbers a kind and open day: rows
+    are summed before they meet it, and a day's state goes when its message is sent.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = events.where("ts is not null").withWatermark("ts", lateness)
-    day = F.floor(F.unix_micros("ts") / (DAY_MS * 1000)).cast("int")
-    slim = rows.select(F.coalesce("user_id", F.lit(-1).cast("long")).alias("user_id"), "ts", day.alias("day"), F.coalesce("event_type", F.lit("other")).alias("kind"), F.coalesce("value", F.lit(0.0)).alias("value"))
-    found = slim.groupBy("user_id").transformWithStateInPandas(DailyDigest(), OUT, "Append", "EventTime")
-    return found.withColumn("user_id", F.when(F.col("user_id") != -1, F.col("user_id")))
+    slim = rows.select("user_id", "ts", F.coalesce("event_type", F.lit("other")).alias("kind"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    kinds = slim.groupBy(F.window("ts", "1 day").alias("its_day"), "user_id", "kind").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("highest"))
+    cells = F.sort_array(F.collect_list(F.struct("kind", "n"))).alias("cells")
+    found = kinds.groupBy(F.window(F.window_time("its_day"), "1 day").alias("its_day"), "user_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("highest").alias("highest"), cells)
+    day = F.date_from_unix_date(F.floor(F.unix_millis("its_day.start") / DAY_MS).cast("int"))
+    parts = F.array_join(F.transform("cells", lambda x: F.concat(x["kind"], F.lit(" "), x["n"].cast("string"))), ", ")
+    return found.select("user_id", day.alias("day"), "n", "total", "highest", F.concat(day.cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" alerts ("), parts, F.lit(")")).alias("message"))
