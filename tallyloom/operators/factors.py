@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tallyloom.functions.stats import MIN_VALID, clip, demean_by_median, known, rank_metrics, ratio, row_mean
 from tallyloom.sources.shared import written
 
-KEYS, BY = ["as_of", "ticker"], ["as_of"]
+# a row is known by its pk: beyond 999,999 tickers repeat
+KEYS, BY = ["as_of", "pk"], ["as_of"]
 NEUTRAL = 50.0
 MAX_SCALE = 1.5
 WINSOR = (0.02, 0.98)

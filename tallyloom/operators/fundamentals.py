@@ -184,7 +184,7 @@ EARLY_FLAG, EARLY_CANDIDATE, EARLY_MIN_CAP = 70.0, 59.5, 10_000_000.0
 def early_warning(df: DataFrame) -> DataFrame:
     """Six sub-scores (missing values take the median), their weighted total, coverage, flag and candidate.
 
-    df: market_cap, free_cash_flow, price_to_sales, revenue_ttm, revenue_prev, revenue_2y, op_ttm, op_prev, net_income,
+    df: as_of, pk, market_cap, free_cash_flow, price_to_sales, revenue_ttm, revenue_prev, revenue_2y, op_ttm, op_prev, net_income,
     operating_cashflow, assets, assets_prev, sector, piotroski_f, roa.
     """
     c, w, bounds = F.col, Window.partitionBy(*BY), (0.05, 0.95)

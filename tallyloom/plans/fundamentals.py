@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators import fundamentals as A
-from tallyloom.plans.cross_section import USD, r6, rank_sql
+from tallyloom.plans.cross_section import USD, as_sql, r6, rank_sql
 from tallyloom.plans.registry import query
 from tallyloom.sources.catalog import Tables
 
@@ -78,7 +78,7 @@ SELECT ticker, round(sc_insider, 6) AS sc_insider, round(r_fcf, 6) AS sc_fcf, ro
 @query(SMALL, "smallcap")
 def scr_23_26_small_cap_scores(t: Tables):
     out = A.small_cap_scores(t.smallcap)
-    return out.select("ticker", *[r6(c) for c in ("sc_insider", "sc_fcf", "sc_growth", "sc_balance", "sc_value", "sc_total")], F.col("sc_rank").cast("long").alias("sc_rank"))
+    return out.select("ticker", *[as_sql(c) for c in ("sc_insider", "sc_fcf", "sc_growth", "sc_balance", "sc_value", "sc_total")], F.col("sc_rank").cast("long").alias("sc_rank"))
 
 
 YES = lambda c: f"(CASE WHEN {c} THEN 1 ELSE 0 END)"
@@ -143,7 +143,7 @@ def scr_30_boost(t: Tables):
 def early_view(t: Tables):
     c = F.col
     x = t.smallcap
-    return x.select("as_of", "ticker", "sector", "market_cap", "free_cash_flow", "price_to_sales", c("total_revenue").alias("revenue_ttm"), (c("total_revenue") * (0.8 + c("pk") % 5 / 10.0)).alias("revenue_prev"), (c("total_revenue") * 0.7).alias("revenue_2y"), (c("total_revenue") * c("operating_margin")).alias("op_ttm"), (c("total_revenue") * 0.1).alias("op_prev"), "net_income", "operating_cashflow", "assets", "assets_prev", "piotroski_f", "roa")
+    return x.select("as_of", "pk", "ticker", "sector", "market_cap", "free_cash_flow", "price_to_sales", c("total_revenue").alias("revenue_ttm"), (c("total_revenue") * (0.8 + c("pk") % 5 / 10.0)).alias("revenue_prev"), (c("total_revenue") * 0.7).alias("revenue_2y"), (c("total_revenue") * c("operating_margin")).alias("op_ttm"), (c("total_revenue") * 0.1).alias("op_prev"), "net_income", "operating_cashflow", "assets", "assets_prev", "piotroski_f", "roa")
 
 
 GROW = "(revenue_ttm / nullif(revenue_prev, 0) - 1)"
@@ -167,4 +167,4 @@ SELECT ticker, round(s, 6) AS early_score, cover::BIGINT AS early_coverage, coal
 
 @query(EARLY, "smallcap")
 def scr_27_28_early_warning(t: Tables):
-    return A.early_warning(early_view(t)).select("ticker", r6("early_score"), F.col("early_coverage").cast("long").alias("early_coverage"), "early_candidate")
+    return A.early_warning(early_view(t)).select("ticker", as_sql("early_score"), F.col("early_coverage").cast("long").alias("early_coverage"), "early_candidate")
